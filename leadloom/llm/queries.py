@@ -6,7 +6,8 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, token_counts, token_files
+from leadloom.llm import archive, bpe, decontamination, repetition, token_counts, token_files, toxicity
+from leadloom.llm.oracles import ORACLES  # noqa: F401
 from leadloom.plans.storage import shared_dir
 
 
@@ -20,6 +21,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(lengths)
 
 
+def op3_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive of all pages, written, then read back."""
+    path = shared_dir(spark, "archive")
+    archive.write_archive(table(spark, sf_dir, "pages"), path)
+    records = archive.read_archive(spark, path)
+    return records.select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to", "verified"
+    )
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written, then read back."""
     path = shared_dir(spark, "token-files")
@@ -32,5 +43,23 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_token_files, op5_bpe)}
-ORACLES: dict[str, str] = {}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition and verdict of all documents."""
+    return repetition.repetition_quality(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents under the benchmark's windows."""
+    out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_archive, op4_token_files, op5_bpe, op8_decontamination, op9_toxicity)}
+
