@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import archive, bpe, decontamination, repetition, token_counts, token_files, toxicity
+from leadloom.llm import archive, bpe, decontamination, repetition, suffix_dedup, token_counts, token_files, toxicity
 from leadloom.llm.oracles import ORACLES  # noqa: F401
 from leadloom.plans.storage import shared_dir
 
@@ -61,5 +61,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_archive, op4_token_files, op5_bpe, op8_decontamination, op9_toxicity)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without repeated strings of 200 bytes."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_archive, op4_token_files, op5_bpe, op8_decontamination, op9_toxicity, op10_suffix_dedup)}
 
