@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.batches import Memo, slices, texts_of
-from leadloom.llm.pieces import pieces_of
+from leadloom.llm.batches import slices, texts_of
+from leadloom.llm.word_ids import encoder_for
 
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -41,16 +41,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         end = np.array([end_id], "<i4").tobytes()
-        memo = Memo(lambda new: [np.array(e.ids, "<i4").tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)])
         part, done = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text"):
-            cut = [pieces_of(t) for t in texts_of(batch)]
-            memo.learn(set().union(*cut))
-            ids = [b"".join(map(memo.__getitem__, x)) + end for x in cut]
+        for batch in slices(batches, "text", 1_500_000):
+            ids = [x + end for x in encoder.encode(texts_of(batch))]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             before = done + np.concatenate(([0], np.cumsum(n)[:-1]))
             done += int(n.sum())
