@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.batches import Memo, slices, texts_of
 from leadloom.llm.pieces import pieces_of
+from leadloom.plans.storage import materialise
 
 #: Lengths that share a bucket of the two-level sums; one task sums this many rows, another one row per bucket.
-BUCKET = 1024
+BUCKET = 128
 
 
 def document_lengths(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,6 +51,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     than a bucket's lengths or the list of buckets, however many documents there are.
     """
     by_length = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    by_length = materialise(by_length, "lengths")  # small, and read twice; the documents are encoded once
     by_length = by_length.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("bucket", F.expr(f"n_tokens div {BUCKET}"))
     totals = by_length.groupBy("bucket").agg(F.sum("n_docs").alias("bucket_docs"), F.sum("tokens").alias("bucket_tokens"))
     above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
