@@ -59,6 +59,14 @@ def _checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that are not contaminated; each row is judged by its own text."""
+    judged = contamination(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), benchmark, percent)
+    bad = materialise(judged.filter("contaminated").select(F.col("doc_id").alias("judged_hash")).distinct(), "contaminated-texts")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("judged_hash"))
+    return join_ids(rows, bad, "judged_hash", "left_anti").select("row.*")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> DataFrame:
     """Words of each document that lie under windows of the benchmark.
 

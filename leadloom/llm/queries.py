@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import archive, bpe, decontamination, ngram_join, repetition, suffix_dedup, token_counts, token_files, toxicity
+from leadloom.llm import archive, bpe, decontamination, licenses, ngram_join, repetition, suffix_dedup, token_counts, token_files, toxicity
 from leadloom.llm.oracles import ORACLES  # noqa: F401
 from leadloom.plans.storage import shared_dir
 
@@ -53,6 +53,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents under the benchmark's windows."""
     out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -71,5 +76,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_archive, op4_token_files, op5_bpe, op6_ngram_join, op8_decontamination, op9_toxicity, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_archive, op4_token_files, op5_bpe, op6_ngram_join, op7_license_scan, op8_decontamination, op9_toxicity, op10_suffix_dedup)}
 

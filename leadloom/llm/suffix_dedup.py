@@ -240,3 +240,30 @@ def remove_repeats(docs: DataFrame, most_members: int = MOST_MEMBERS, with_text:
     whole = whole.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("data").alias("kept"))
     out = cut.unionByName(whole)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *(["kept"] if with_text else []))
+
+
+def cut_texts(docs: DataFrame, most_members: int = MOST_MEMBERS) -> DataFrame:
+    """``docs`` with all their columns, ``text`` without repeated strings and ``n_chars``, if there, to match.
+
+    A character that is cut in part goes whole. Texts of which nothing is left are dropped; texts that were null or
+    empty stay as they are.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    _, spans = repeated_spans(docs, most_members)
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    ids = spans.select("key")
+    whole = join_ids(rows, ids, "key", "left_anti").select("row.*")
+    cut = join_ids(rows, ids, "key").join(spans, "key")
+    cut = cut.select(F.struct("row").alias("held"), F.encode("row.text", "UTF-8").alias("data"), "starts", "stops").select("held.row", "data", "starts", "stops")
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _cut([pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[1:]], names=["doc_id", "data", "starts", "stops"])]):
+                kept = [x.decode("utf-8", "ignore") for x in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string())], names=["row", "left"])
+
+    kind = cut.schema["row"].dataType.simpleString()
+    cut = cut.mapInArrow(left, f"row {kind}, left string").filter("length(left) > 0")
+    fresh = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
+    columns = [(fresh[f.name].cast(f.dataType) if f.name in fresh else F.col("row")[f.name]).alias(f.name) for f in docs.schema.fields]
+    return whole.unionByName(cut.select(*columns))
