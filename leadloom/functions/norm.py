@@ -106,18 +106,14 @@ def lead_id(sites: Column, name: Column, city: Column, phones: Column) -> Column
 
 def job_boards(text: Column) -> Column:
     """Boards linked in a text: distinct (ats, token, url), systems in catalogue order."""
-    found = []
-    for ats, pattern in P.JOB_BOARDS:
+
+    def linked(ats: str, pattern: str) -> Column:
         links = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)" + pattern), F.lit(0))
-        found.append(
-            F.transform(
-                links,
-                lambda u, ats=ats, pattern=pattern: F.struct(
-                    F.lit(ats).alias("ats"), F.lower(F.regexp_extract(u, "(?i)" + pattern, 1)).alias("token"), u.alias("url")
-                ),
-            )
-        )
-    boards = F.filter(F.flatten(F.array(*found)), lambda b: ~b["token"].isin(P.JOB_BOARD_STOP))
+        token = lambda u: F.lower(F.regexp_extract(u, "(?i)" + pattern, 1))
+        return F.transform(links, lambda u: F.struct(F.lit(ats).alias("ats"), token(u).alias("token"), u.alias("url")))
+
+    found = F.flatten(F.array(*(linked(ats, pattern) for ats, pattern in P.JOB_BOARDS)))
+    boards = F.filter(found, lambda b: ~b["token"].isin(P.JOB_BOARD_STOP))
     return first_by(boards, lambda b: F.concat_ws("/", b["ats"], b["token"]))
 
 
@@ -199,13 +195,13 @@ _INN_12 = [3, *_INN_11]
 
 
 def _checksum(number: Column, weights: list[int]) -> Column:
-    terms = [F.substring(number, i + 1, 1).cast("int") * w for i, w in enumerate(weights)]
+    terms = [F.substring(number, i + 1, 1).try_cast("int") * w for i, w in enumerate(weights)]
     return reduce(lambda a, b: a + b, terms) % 11 % 10
 
 
 def inn_ok(number: Column) -> Column:
     """Whether a tax id of 10 or 12 digits has right check digits."""
-    digit = lambda i: F.substring(number, i, 1).cast("int")
+    digit = lambda i: F.substring(number, i, 1).try_cast("int")
     ten = number.rlike(r"^\d{10}$") & (_checksum(number, _INN_10) == digit(10))
     twelve = number.rlike(r"^\d{12}$") & (_checksum(number, _INN_11) == digit(11)) & (_checksum(number, _INN_12) == digit(12))
     return F.coalesce(ten | twelve, F.lit(False))
