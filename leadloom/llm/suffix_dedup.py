@@ -1,11 +1,13 @@
 """Removal of every byte under a string of ``SPAN`` bytes that starts anywhere else in the corpus.
 
 Method: anchors are the least hashed grams of ``GRAM`` bytes in each window of ``SPAN`` bytes, so equal strings of
-``SPAN`` bytes hold equal anchors at equal places. Anchors meet by their hash; around those that occur twice or more
-the text to the right, and to the left reversed, is sorted by deep-shallow suffix sorting, and the common prefixes of
-the two orders tell how far each occurrence is repeated (see ``suffix_sort``). Only the text around shared anchors
-moves. Anchors with more than ``MOST_MEMBERS`` occurrences are not brought together: their strings are hashed one by
-one and counted by a distributed aggregation. Texts that occur as a whole more than once are removed as a whole.
+``SPAN`` bytes hold equal anchors at equal places. Anchors meet by their hash in one shuffle of hashes and places.
+Occurrences whose whole surroundings are equal by hash repeat each other as far as an anchor can tell, and one of them
+stands for all. Around what then still differs, the text to the right, and to the left reversed, is sorted by
+deep-shallow suffix sorting, and the common prefixes of the two orders tell how far each occurrence is repeated (see
+``suffix_sort``). Only that text moves. Anchors with more than ``MOST_MEMBERS`` different surroundings are not brought
+together: their strings are hashed one by one and counted by a distributed aggregation. Texts that occur as a whole
+more than once are removed as a whole.
 """
 
 from __future__ import annotations
@@ -37,14 +39,22 @@ class Minimizers:
     """Anchors of texts that lie one after the other in a buffer."""
 
     def __init__(self):
-        n = (1 << _CHUNK_BITS) + SPAN + 1
-        back = pow(_STEP, -1, 1 << 64)
-        self.up = np.cumprod(np.concatenate(([1], np.full(n - 1, _STEP, np.uint64))).astype(np.uint64))
-        self.down = np.cumprod(np.concatenate(([1], np.full(n - 1, back, np.uint64))).astype(np.uint64))
-
-    def find(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of anchors in ``data``, and their hashes. ``ends`` are the texts' ends, ascending."""
-        places, hashes = [], []
+        self.up, self.down = (self._powers(x) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
+
+    @staticmethod
+    def _powers(x: int) -> np.ndarray:
+        out = np.full((1 << _CHUNK_BITS) + SPAN + 1, x, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    def find(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of anchors in ``data``, their hashes and those of their surroundings, within the texts.
+
+        ``ends`` are the texts' ends, ascending. Surroundings that reach over a chunk of a long text get hashes of
+        their own and thus equal no others; they are compared by their bytes later.
+        """
+        places, hashes, around = [], [], []
+        begins = np.concatenate(([0], ends[:-1]))
         for c in range(0, max(0, data.size - SPAN + 1), 1 << _CHUNK_BITS):
             part = data[c : c + (1 << _CHUNK_BITS) + SPAN - 1]
             sums = np.zeros(part.size + 1, np.uint64)
@@ -70,13 +80,21 @@ class Minimizers:
             inside = start + SPAN <= ends[np.searchsorted(ends, start, "right")]
             at = (least[inside] & np.uint64((1 << (_CHUNK_BITS + 1)) - 1)).astype(np.int64)
             at = at[np.concatenate(([True], at[1:] != at[:-1]))] if at.size else at
+            row = np.searchsorted(ends, at + c, "right")
+            low, high = np.maximum(begins[row], at + c - LEFT) - c, np.minimum(ends[row], at + c + SPAN) - c
+            inside = (low >= 0) & (high <= part.size)
+            low, high = np.maximum(low, 0), np.minimum(high, part.size)
+            near = (sums[high] - sums[low]) * self.down[low] + (at - low).astype(np.uint64) * _M1 + (high - at).astype(np.uint64) * _M2
+            near = np.where(inside, near ^ (near >> np.uint64(29)), h[at] + (at + c).astype(np.uint64) * _M1)
             places.append(at + c)
             hashes.append(h[at])
+            around.append(near)
         if not places:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        places, hashes = np.concatenate(places), np.concatenate(hashes)
+            none = np.empty(0, np.int64)
+            return none, none, none
+        places, hashes, around = np.concatenate(places), np.concatenate(hashes), np.concatenate(around)
         first = np.concatenate(([True], places[1:] != places[:-1]))  # a chunk's last anchor may be the next one's first
-        return places[first], hashes[first].view(np.int64)
+        return places[first], hashes[first].view(np.int64), around[first].view(np.int64)
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,14 +104,58 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, around, key, at, room): room is what of ``SPAN`` bytes the text has from the anchor on."""
     finder = Minimizers()
     for batch in slices(batches, "data"):
         data, ends = _bytes_of(batch.column(1))
-        at, hashes = finder.find(data, ends)
+        at, hashes, around = finder.find(data, ends)
         row = np.searchsorted(ends, at, "right")
         begin = np.concatenate(([0], ends[:-1]))[row] if at.size else at
+        room = np.minimum(ends[row] - at, SPAN) if at.size else at
         keys = batch.column(0).to_numpy(zero_copy_only=False)[row]
-        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(keys), pa.array((at - begin).astype(np.int32))], names=["anchor", "key", "at"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hashes), pa.array(around), pa.array(keys), pa.array((at - begin).astype(np.int32)), pa.array(room.astype(np.int16))],
+            names=["anchor", "around", "key", "at", "room"],
+        )
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of anchors sorted with their surroundings: what equal surroundings repeat, and what must be compared.
+
+    Rows (anchor, key, at, stop): with a stop, the bytes from ``at`` to there are repeated; without, the surroundings
+    of this anchor stand for their equals and meet different ones. Of an anchor that goes on in the next batch only its
+    first and its last row are carried, however often it occurs.
+    """
+    carried: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        if not rows.shape[1]:
+            continue
+        told, shown = np.zeros((2, rows.shape[1]), bool)
+        if carried is not None:
+            rows = np.concatenate([carried[0], rows], axis=1)
+            told, shown = np.concatenate([carried[1], told]), np.concatenate([carried[2], shown])
+        anchor, around, key, at, room = rows
+        same_place = (anchor[1:] == anchor[:-1]) & (key[1:] == key[:-1]) & (at[1:] == at[:-1])
+        fresh = np.concatenate(([True], ~same_place))
+        rows, told, shown = rows[:, fresh], told[fresh], shown[fresh]
+        anchor, around, key, at, room = rows
+        joint = anchor[1:] == anchor[:-1]
+        equal = joint & (around[1:] == around[:-1])
+        repeated = np.concatenate(([False], equal)) | np.concatenate((equal, [False]))
+        first = np.flatnonzero(np.concatenate(([True], ~equal)))
+        pair = anchor[first][1:] == anchor[first][:-1]
+        meets = np.zeros(anchor.size, bool)
+        meets[first] = np.concatenate(([False], pair)) | np.concatenate((pair, [False]))
+        span, stand = repeated & ~told, meets & ~shown
+        head = int(np.searchsorted(anchor, anchor[-1]))
+        keep = [head, anchor.size - 1] if head < anchor.size - 1 else [head]
+        carried = rows[:, keep], (told | span)[keep], (shown | stand)[keep]
+        out_at = np.concatenate([np.maximum(at[span] - LEFT, 0), at[stand]])
+        stop = np.concatenate([at[span] + room[span], np.full(int(stand.sum()), -1)])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([anchor[span], anchor[stand]])), pa.array(np.concatenate([key[span], key[stand]])), pa.array(out_at), pa.array(stop)], names=["anchor", "key", "at", "stop"]
+        )
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,18 +265,19 @@ def repeated_spans(docs: DataFrame, most_members: int = MOST_MEMBERS) -> tuple[D
     copies = texts.filter(F.octet_length("data") >= SPAN).groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("data")).cast("long").alias("stop"))
     copies = copies.filter("n > 1").select("key", F.lit(0).cast("long").alias("start"), "stop")
 
-    anchors = texts.select("key", "data").mapInArrow(_anchors, "anchor long, key long, at int")
-    place = F.xxhash64("key", "at")
-    twice = anchors.groupBy("anchor").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.count("*").alias("n")).filter("least <> most")
-    members = anchors.join(twice.select("anchor", "n"), "anchor").distinct()
-    members = materialise(members, "shared-anchors")
+    anchors = texts.select("key", "data").mapInArrow(_anchors, "anchor long, around long, key long, at int, room short")
+    anchors = anchors.repartition("anchor").sortWithinPartitions("anchor", "around", "key", "at")
+    classes = materialise(anchors.mapInArrow(_classes, "anchor long, key long, at long, stop long"), "anchor-classes")
+    equal = classes.filter("stop >= 0").select("key", F.col("at").alias("start"), "stop")
+    members = classes.filter("stop < 0").select("anchor", "key", F.col("at").cast("int").alias("at"))
+    members = members.join(members.groupBy("anchor").agg(F.count("*").alias("n")), "anchor")
 
     own = join_ids(texts, members.select("key").distinct(), "key").dropDuplicates(["key"]).select("key", "data")
     usual = members.filter(F.col("n") <= most_members).groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("at").alias("ats"))
     around = own.join(usual, "key").select("key", "data", "anchors", "ats")
     around = around.mapInArrow(_contexts, "anchor long, key long, at int, left binary, right binary")
     spans = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_groups, "key long, start long, stop long")
-    spans = spans.unionByName(copies)
+    spans = spans.unionByName(equal).unionByName(copies)
     hot = members.filter(F.col("n") > most_members).select("key", "at")
     if hot.limit(1).count():
         spans = spans.unionByName(_hot_spans(own, hot))
