@@ -27,7 +27,7 @@ from leadloom.plans.components import connected_components
 from leadloom.plans.storage import join_ids, materialise
 
 #: Sets of one chunk of a cluster; a block holds two chunks at most.
-CHUNK = 1500
+CHUNK = 600
 
 _ODD = np.random.default_rng(7).integers(1, 1 << 62, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -47,7 +47,7 @@ class ShingleSets:
         import xxhash
 
         self.n = n
-        self.memo = Memo(lambda new: [xxhash.xxh64_intdigest(w) for w in new], most=400_000)
+        self.memo = Memo(lambda new: [xxhash.xxh64_intdigest(w) for w in new], most=150_000)
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         words = [t.encode("utf-8", "replace").lower().split() for t in texts]
@@ -144,31 +144,23 @@ class PrefixTree:
 
     def linked(self, query: np.ndarray, percent: int, alive: np.ndarray) -> np.ndarray:
         """Sets (by their first numbering, among ``alive`` rows) with Jaccard similarity of ``percent`` or more."""
-        has = np.zeros(self.universe, np.int64)
+        has = np.zeros(self.universe, np.int32)
         has[query] = 1
         n, q = self.size.size, query.size
-        overlap = np.zeros(n, np.int64)
-        open_ = np.zeros(n, bool)
-        sums: dict[int, np.ndarray] = {}
-        start = np.zeros(n, np.int64)
+        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(has[self.runs], dtype=np.int64)))  # along all branches
+        start, open_ = np.zeros(n, np.int64), np.zeros(n, bool)
         for k, rows in enumerate(self.levels):
             if k:
                 rows = rows[open_[self.parent[rows]]]
+                p = self.parent[rows]
+                start[rows] = start[p] + upto[self.begin[p] + self.depth[rows] - self.depth[p]] - upto[self.begin[p]]
             if not rows.size:
                 break
-            if k:
-                p = self.parent[rows]
-                inside = [int(sums[a][d - e]) for a, d, e in zip(p.tolist(), self.depth[rows].tolist(), self.depth[p].tolist(), strict=True)]
-                start[rows] = start[p] + np.array(inside, np.int64)
             need = np.maximum(q, self.least[rows]) * percent
             reach = start[rows] + np.minimum(q - start[rows], self.most[rows] - self.depth[rows])
             fits = (reach * 100 >= need) & (np.maximum(q, self.least[rows]) * percent <= 100 * np.minimum(q, self.most[rows]))
-            rows = rows[fits]
-            open_[rows] = True
-            for i in rows.tolist():
-                run = np.cumsum(has[self.runs[self.begin[i] : self.begin[i + 1]]])
-                sums[i] = np.concatenate(([0], run))
-                overlap[i] = start[i] + (run[-1] if run.size else 0)
+            open_[rows[fits]] = True
+        overlap = start + upto[self.begin[1:]] - upto[self.begin[:-1]]
         hit = open_ & alive & (100 * overlap >= percent * (q + self.size - overlap))
         return np.flatnonzero(hit)
 
