@@ -14,7 +14,7 @@ import regex
 
 from leadloom.llm.batches import Memo
 
-_ODD = regex.compile("<\\||[\x1c-\x1f\u0130]")
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u0130")
 _PARTS = regex.compile(r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -25,18 +25,26 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.parts = Memo(self._encode, most=500_000)
-        self.words = Memo(self._encode_words, most=300_000)
+        self.parts = Memo(self._encode, most=600_000)
+        self.words = Memo(self._encode_words, most=700_000)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words, from those of their letters, digits and signs; ASCII letters of either case count as one."""
-        cut = [_PARTS.findall(w) for w in words]
-        cut = [[p.lower() if p.isascii() else p for p in ps] for ps in cut]
+        cut = []
+        for w in words:
+            if w.isalpha():
+                ps = (w,)
+            elif w[-1] in ".,;:!?" and w[:-1].isalpha():
+                ps = (w[:-1], w[-1])
+            else:
+                ps = _PARTS.findall(w)
+            cut.append([p.lower() for p in ps] if w.isascii() else ps)
         self.parts.learn(set().union(*cut))
-        return [b"".join(map(self.parts.__getitem__, ps)) for ps in cut]
+        known = self.parts
+        return [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -44,7 +52,7 @@ class WordEncoder:
         cut: dict[int, list[str]] = {}
         odd = []
         for i, t in enumerate(texts):
-            if unicodedata.is_normalized("NFC", t) and not _ODD.search(t):
+            if unicodedata.is_normalized("NFC", t) and not any(x in t for x in _ODD):
                 cut[i] = t.split()
             else:
                 odd.append(i)
