@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
-import zlib
+import contextlib
+import ctypes
+import shutil
+import tempfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.sql import SparkSession
+
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Text handled at once inside a task. Bounds a worker's memory whatever the size of Arrow's batches.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
+#: Rows of a batch between Spark and its Python workers. Texts are long: the default of 10,000 would hold tens of MB.
+BATCH_ROWS = 2_000
+
+_shipped: set[str] = set()
+
+
+def ready(spark: SparkSession) -> None:
+    """Make a session ready for this package's Python tasks.
+
+    Executors get the package's code once per application, so that they need no copy of it, and batches are cut to
+    ``BATCH_ROWS`` where the session leaves Spark's default.
+    """
+    if spark.conf.get(_ROWS_KEY) == "10000":
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(tempfile.mkdtemp() + "/" + root.name, "zip", root.parent, root.name)
+        sc.addPyFile(archive)
+        _shipped.add(sc.applicationId)
+
+
+def release() -> None:
+    """Give memory that a task is done with back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -25,6 +59,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
             end = max(begin + 1, int(offsets.searchsorted(base + most, "right")))
             yield batch.slice(begin, end - begin)
             begin, base = end, int(offsets[end - 1])
+    release()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -32,11 +67,6 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x if x is not None else "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def held_out_mod(doc_id) -> int:
-    """crc32 of an id's decimal text, modulo 4."""
-    return zlib.crc32(str(doc_id).encode()) % 4
-
-
 class Memo(dict):
     """What was computed for distinct pieces; emptied when it holds ``most`` entries, so its size is bounded."""
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from leadloom.llm.batches import Memo, slices, texts_of
+from leadloom.llm.batches import Memo, ready, slices, texts_of
 from leadloom.llm.pieces import pieces_of
 
 _NONE = np.int64(1) << 62
@@ -160,6 +160,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids:
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    ready(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(run, schema)

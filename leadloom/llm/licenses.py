@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from leadloom.llm.batches import slices, texts_of
+from leadloom.llm.batches import ready, slices, texts_of
 
 # Notices of public licences, as their texts or usual headers word them.
 TEMPLATES = {
@@ -167,5 +167,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
             lists = [pa.array([[m[k] for m in x] for x in found], pa.list_(t)) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array([len(x) for x in found], pa.int64())], names=["doc_id", "licenses", "shares", "first_words", "n_licenses"])
 
+    ready(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, licenses array<string>, shares array<double>, first_words array<long>, n_licenses long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.batches import Memo, slices, texts_of
+from leadloom.llm.batches import Memo, ready, slices, texts_of
 from leadloom.plans.components import connected_components
 from leadloom.plans.storage import join_ids, materialise
 
@@ -202,7 +202,7 @@ def _segment_rows(n: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, schemes = ShingleSets(n), SegmentSchemes(percent)
-        for batch in slices(batches, "text", 1_500_000):
+        for batch in slices(batches, "text"):
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
             sets = shingles.of(texts_of(batch))
             hashes = [schemes.hashes(s) if s.size else s for s in sets]
@@ -253,7 +253,7 @@ def _join_rows(n: int, percent: int):
             links = join_block(np.array(names, np.int64), sets, percent)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in slices(batches, "text", 1_500_000):
+        for batch in slices(batches, "text"):
             for key, name, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingles.of(texts_of(batch)), strict=True):
                 if key != block:
                     if len(sets) > 1:
@@ -275,6 +275,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int =
     the document's own if it has no words. Rows that repeat an id are one document with the links of each; a null id
     links with nothing and has a null component. Null texts have no words. Copies of a text are joined once.
     """
+    ready(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
     narrow = materialise(rows.select("doc_id", "k1", "k2"), "text-keys")

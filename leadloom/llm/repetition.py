@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leadloom.llm.batches import slices, texts_of
+from leadloom.llm.batches import ready, slices, texts_of
 
 _BLANKS = " \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
@@ -144,6 +144,7 @@ def repetition_quality(docs: DataFrame, rules: RepetitionRules = RepetitionRules
                 names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words", "longest_repeat", "covered_share"],
             )
 
+    ready(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered_words long, longest_repeat long, covered_share double"
     return docs.select("doc_id", "text").mapInArrow(run, schema)

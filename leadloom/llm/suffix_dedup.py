@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.batches import slices
+from leadloom.llm.batches import ready, release, slices
 from leadloom.llm.suffix_sort import shared_reach
 from leadloom.plans.storage import join_ids, materialise
 
@@ -28,7 +28,7 @@ LEFT = SPAN - GRAM
 #: Occurrences of one anchor that a task may hold (about 20 MB of text).
 MOST_MEMBERS = 50_000
 
-_CHUNK_BITS = 20
+_CHUNK_BITS = 18
 _RNG = np.random.default_rng(20240101)
 _TABLE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
@@ -212,6 +212,7 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried.append(batch.slice(cut))
     if carried:
         yield spans(pa.Table.from_batches(carried))
+    release()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +261,7 @@ def repeated_spans(docs: DataFrame, most_members: int = MOST_MEMBERS) -> tuple[D
 
     ``key`` is a 64-bit hash of the whole text, shared by copies. Spans may overlap.
     """
+    ready(docs.sparkSession)
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), data.alias("data"))
     copies = texts.filter(F.octet_length("data") >= SPAN).groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("data")).cast("long").alias("stop"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.batches import Memo, slices, texts_of
+from leadloom.llm.batches import Memo, ready, slices, texts_of
 from leadloom.llm.pieces import pieces_of
 from leadloom.plans.storage import materialise
 
@@ -38,6 +38,7 @@ def document_lengths(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             n = [sum(map(memo.__getitem__, x)) for x in cut]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
 
+    ready(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(count, f"`{id_col}` {kind}, n_tokens long")
 

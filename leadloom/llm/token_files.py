@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.batches import slices, texts_of
+from leadloom.llm.batches import ready, slices, texts_of
 from leadloom.llm.word_ids import encoder_for
 
 ORC_OPTIONS = {
@@ -38,13 +38,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     order among themselves. An empty table gives an empty folder.
     """
     spark = docs.sparkSession
+    ready(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer_path)
         end = np.array([end_id], "<i4").tobytes()
         part, done = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 1_500_000):
+        for batch in slices(batches, "text"):
             ids = [x + end for x in encoder.encode(texts_of(batch))]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             before = done + np.concatenate(([0], np.cumsum(n)[:-1]))
