@@ -25,6 +25,11 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return norm.blank_to_null(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, group))
 
 
+def unquote(text: Column) -> Column:
+    """Percent escapes resolved; plus signs stay, and so does a text with broken escapes."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
 def hrefs(html: Column) -> Column:
     return F.transform(_all(html, r"(?i)href\s*=\s*[\"']([^\"']+)", 1), norm.unescape_html)
 
@@ -71,12 +76,12 @@ def emails_in(html: Column, text: Column) -> Column:
     """Addresses of mail links first, then of the text; cleaned, in order, distinct."""
     mails = F.transform(F.filter(hrefs(html), lambda h: h.rlike("^(?i)mailto:")), lambda h: F.substring(h, 8, 500))
     found = F.concat(mails, _all(text, norm.IGNORE_CASE + P.EMAIL))
-    return norm.ordered_distinct(F.transform(found, lambda e: norm.clean_email(F.coalesce(F.try_url_decode(e), e))))
+    return norm.ordered_distinct(F.transform(found, lambda e: norm.clean_email(unquote(e))))
 
 
 def phones_in(html: Column) -> Column:
     """Numbers of telephone links with seven digits or more."""
-    links = F.transform(F.filter(hrefs(html), lambda h: h.rlike("^(?i)tel:")), lambda h: F.regexp_replace(F.coalesce(F.try_url_decode(F.substring(h, 5, 100)), h), r"[^\d+]", ""))
+    links = F.transform(F.filter(hrefs(html), lambda h: h.rlike("^(?i)tel:")), lambda h: F.regexp_replace(unquote(F.substring(h, 5, 100)), r"[^\d+]", ""))
     return norm.ordered_distinct(F.filter(links, lambda d: F.length(F.regexp_replace(d, r"\D", "")) >= 7))
 
 
@@ -104,16 +109,20 @@ def legal_names(text: Column, most: int = 3) -> Column:
 def people_in(text: Column, most: int = 8) -> Column:
     """Names next to roles: the last stretch before a role if it is a name, else the first after it.
 
-    The text is cut at its roles; each role sees 60 characters to either side of itself.
+    Each role sees 60 characters to either side; these are cut at words that are no part of a name, roles included.
     """
     source = F.coalesce(text, F.lit(""))
     role = norm.IGNORE_CASE + R.ROLE
     roles = F.regexp_extract_all(source, F.lit(role), F.lit(1))
-    marked = F.split(F.regexp_replace(source, role, "\u0001"), "\u0001")
+    between = F.split(F.regexp_replace(source, role, "\u0001"), "\u0001")
+    pieces = F.flatten(F.zip_with(between, roles, lambda m, r: F.array(m, F.coalesce(r, F.lit("")))))
+    near = 2 * 10  # a role has two letters at least, so ten roles with what lies between fill any 60 characters
+    prior = lambda i: F.right(F.array_join(F.slice(pieces, F.greatest(F.lit(1), 2 * i + 2 - near), F.least(F.lit(near), 2 * i + 1)), ""), F.lit(60))
+    later = lambda i: F.left(F.array_join(F.slice(pieces, 2 * i + 3, near), ""), F.lit(60))
     stretch = lambda t: F.filter(F.transform(F.split(t, norm.IGNORE_CASE + R.NAME_CUT), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     person = lambda t: F.when(t.rlike(f"^(?U)(?:{R.PERSON})$"), t)
-    before = lambda i: person(F.try_element_at(stretch(F.right(F.get(marked, i), F.lit(60))), F.lit(-1)))
-    after = lambda i: person(F.get(stretch(F.left(F.get(marked, i + 1), F.lit(60))), F.lit(0)))
+    before = lambda i: person(F.try_element_at(stretch(prior(i)), F.lit(-1)))
+    after = lambda i: person(F.get(stretch(later(i)), F.lit(0)))
     found = F.transform(roles, lambda r, i: F.struct(F.coalesce(before(i), after(i)).alias("name"), F.trim(r).alias("role"), F.lit("site").alias("source")))
     named = F.filter(found, lambda p: p["name"].isNotNull())
     return F.slice(norm.first_by(named, lambda p: p["name"]), 1, most)
