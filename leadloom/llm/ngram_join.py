@@ -3,13 +3,14 @@
 Candidates: if two sets differ in at most d elements and the space of hashes is cut into more than d segments, at least
 one segment holds the same elements in both. Sets are classed by size so that linked sets lie in the same class or in
 neighbours; each document emits a hash of each of its segments for the scheme of its own class and of the class below,
-and documents that share one are candidates of each other. No link is lost, and chance or a common passage rarely makes
-a whole segment equal. Candidates form clusters; each cluster is joined by a prefix tree.
+and documents that share one stay. No link is lost, and most documents go. Of those that stay the elements are counted, and
+each set's rarest elements, as many as linked sets must share one of, make the candidates: a document that shares a
+common passage but has much of its own has none. Candidates form clusters; each cluster is joined by prefix trees.
 
 Prefix tree: the sets of a block, their elements in one global order (most frequent first), are stored in a trie whose
 branches hold runs of elements. A query walks the branches level by level; the overlap of a shared prefix is computed
 once for all sets below it, and subtrees whose remaining length cannot reach the required overlap are pruned. Large
-clusters are dealt to blocks of bounded size so that every pair meets in one.
+clusters are dealt to chunks; members of chunks that are not linked yet then meet all other members, block by block.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ from leadloom.plans.storage import join_ids, materialise
 
 #: Sets of one chunk of a cluster; a block holds two chunks at most.
 CHUNK = 600
+#: Members of a large cluster that each of its chunks gets besides its own.
+HUBS = 8
+#: Frequency from which elements count as equally common.
+COMMON = 1000
 
 _ODD = np.random.default_rng(7).integers(1, 1 << 62, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -267,6 +272,75 @@ def _join_rows(n: int, percent: int):
     return run
 
 
+def _token_rows(n: int):
+    """Rows (hash, node, size) of the elements of each document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = ShingleSets(n)
+        for batch in slices(batches, "text"):
+            sets = shingles.of(texts_of(batch))
+            many = np.array([s.size for s in sets], np.int64)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), many)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(np.repeat(many, many), pa.int32())], names=["hash", "node", "size"])
+
+    return run
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (hash, node, size) sorted by hash, those of elements that two or more sets have, with their frequency.
+
+    Frequencies of ``COMMON`` and more count as that, so no more than so many rows of an element are ever held back.
+    """
+    held = np.empty((3, 0), np.int64)
+    common = None  # the hash of a common element whose rows are given out as they come
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        if not rows.shape[1]:
+            continue
+        rows = np.concatenate([held, rows], axis=1)
+        begin = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+        size = np.diff(np.append(begin, rows.shape[1]))
+        df = np.minimum(size, COMMON)
+        if rows[0][0] == common:
+            df[0] = COMMON
+        if df[-1] < COMMON:
+            held, common = rows[:, begin[-1] :], None
+            df[-1] = 0
+        else:
+            held, common = rows[:, :0], rows[0][-1]
+        each = np.repeat(df, size)
+        give = each > 1
+        yield pa.RecordBatch.from_arrays([*(pa.array(r[give]) for r in rows[:2]), pa.array(rows[2][give], pa.int32()), pa.array(each[give], pa.int32())], names=["hash", "node", "size", "df"])
+    if held.shape[1] > 1:
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(held[2], pa.int32()), pa.array(np.full(held.shape[1], held.shape[1]), pa.int32())], names=["hash", "node", "size", "df"])
+
+
+def _rare_prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+    """(hash, node) of the rarest elements of each set, of which linked sets share at least one.
+
+    A set of n elements needs its n - ⌈n · percent / 100⌉ + 1 rarest. Those that no other set has come first and meet
+    nothing; a set with that many of them has no link at all and is gone.
+    """
+    sets = tokens.groupBy("node").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("shared"))
+    wanted = F.expr(f"size - (size * {percent} + 99) div 100 + 1")
+    met = (wanted - (F.col("size") - F.size("shared"))).cast("int")
+    return materialise(sets.withColumn("met", met).filter("met > 0").select("node", F.explode(F.expr("slice(shared, 1, met)")).alias("e")).select("e.hash", "node"), "prefixes")
+
+
+def _chunked(clusters: DataFrame, chunk: int) -> DataFrame:
+    """Members of clusters with ``mine``, the chunk of their cluster that they are dealt to."""
+    return clusters.withColumn("mine", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / chunk)).cast("int"))
+
+
+def _links(kept: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links of blocks (node, block) of documents, by prefix trees."""
+    dealt = materialise(dealt, "blocks")
+    texts = join_ids(kept, dealt.select("node").distinct(), "node").select("node", "text")
+    blocks = texts.join(dealt, "node").select("block", "node", "text")
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_join_rows(n, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
@@ -290,17 +364,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int =
     shared = materialise(shared, "shared-segments")
     sizes = shared.filter("size >= 0").groupBy("node").agg(F.max("size").alias("size"))
     candidates = shared.filter("size < 0").select("hash", "node")
-    first = candidates.groupBy("hash").agg(F.min("node").alias("b"))
-    stars = candidates.join(first, "hash").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    clusters = connected_components(stars)
-    chunks = clusters.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    clusters = clusters.join(chunks, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), F.col("mine")))
-    dealt = clusters.select("node", "component", "mine", F.explode(other).alias("other"))
-    dealt = dealt.select("node", F.concat_ws("/", "component", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"))
-    texts = join_ids(kept, clusters.select("node"), "node").select("node", "text")
-    blocks = texts.join(materialise(dealt, "blocks"), "node").select("block", "node", "text")
-    links = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_join_rows(n, percent), "a long, b long")
+    survivors = join_ids(kept, candidates.select("node").distinct(), "node").select("node", "text")
+    tokens = survivors.mapInArrow(_token_rows(n), "hash long, node long, size int")
+    tokens = tokens.repartition("hash").sortWithinPartitions("hash").mapInArrow(_frequencies, "hash long, node long, size int, df int")
+    prefixes = _rare_prefixes(tokens, percent)
+    first = prefixes.groupBy("hash").agg(F.min("node").alias("b"))
+    stars = prefixes.join(first, "hash").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    clusters = connected_components(stars).withColumnRenamed("component", "cluster")
+    counts = clusters.groupBy("cluster").agg(F.count("*").alias("members"), F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(HUBS)]).alias("hubs"))
+    clusters = materialise(_chunked(clusters.join(counts.withColumn("hubs", F.when(F.col("members") > chunk, F.col("hubs"))), "cluster"), chunk), "clusters")
+
+    # First every chunk by itself, with a few members of the cluster that all its chunks have.
+    alone = clusters.select("node", F.concat_ws("/", "cluster", "mine").alias("block"))
+    hubs = clusters.filter("hubs is not null").select("cluster", "mine", "hubs").distinct().select(F.explode("hubs").alias("node"), F.concat_ws("/", "cluster", "mine").alias("block"))
+    near = materialise(_links(kept, alone.unionByName(hubs).distinct(), n, percent), "links")
+    parts = clusters.filter(F.col("members") > chunk).join(connected_components(near), "node", "left")
+    parts = parts.withColumn("component", F.coalesce("component", "node"))
+    sizes_of = parts.groupBy("cluster", "component").agg(F.count("*").alias("k"))
+    largest = sizes_of.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    # Then, in clusters of several chunks that are not one yet, all members outside the largest part with all members.
+    parts = parts.join(largest, "cluster")
+    strays = _chunked(parts.filter("component <> main").select("node", "cluster").join(parts.filter("component <> main").groupBy("cluster").agg(F.count("*").alias("members")), "cluster"), chunk)
+    rows_of = parts.select("cluster", F.col("mine").alias("row"), "node")
+    pairs = strays.select("cluster", F.col("mine").alias("col")).distinct().join(rows_of.select("cluster", "row").distinct(), "cluster")
+    name = F.concat_ws("/", "cluster", "row", "col").alias("block")
+    crossed = pairs.join(rows_of, ["cluster", "row"]).select("node", name).unionByName(pairs.join(strays.select("cluster", F.col("mine").alias("col"), "node"), ["cluster", "col"]).select("node", name))
+    links = near
+    if largest.limit(1).count():
+        links = near.unionByName(_links(kept, crossed.distinct(), n, percent))
     found = connected_components(links)
 
     nodes = classes.join(sizes, "node", "left").join(found, "node", "left")
