@@ -184,7 +184,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 
 def site_rollup(extracted: DataFrame) -> DataFrame:
-    """One row a site: what its home page says of itself, contacts and ids of all its pages in order, home first."""
+    """One row a site: what its home page says of itself, contacts and ids of all its pages in order, home first.
+
+    A site is reachable if any of its pages was read; else it has the error and status of its first page.
+    """
     order = F.struct((~F.col("is_home")).alias("inner"), F.col("url").alias("url"))
     ok = extracted.filter("error is null").withColumn("order", order)
     listed = lambda c: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("order", F.col(c).alias("v")))), lambda x: x["v"]))
@@ -208,9 +211,12 @@ def site_rollup(extracted: DataFrame) -> DataFrame:
     people = F.when(F.size("inner_people") > 0, F.col("inner_people")).otherwise(F.col("all_people"))
     out = out.withColumns({"socials": merged("social_list", 3), "registry_ids": merged("id_list", 1000), "people": F.slice(norm.first_by(people, lambda p: p["name"]), 1, 8), "builder": site_builder(F.col("tech"))})
     out = out.withColumns({"https": F.startswith("final_url", F.lit("https")), "reachable": F.lit(True)})
-    down = extracted.groupBy("site").agg(F.min_by("error", F.when(F.col("is_home"), F.lit(0))).alias("error"), F.min_by("status", F.when(F.col("is_home"), F.lit(0))).alias("status"), F.max("checked").alias("tried"))
-    joined = down.join(out.drop("inner_people", "all_people", "social_list", "id_list"), "site", "left")
-    return joined.withColumns({"reachable": F.coalesce("reachable", F.lit(False)) & F.col("error").isNull(), "checked": F.coalesce("checked", "tried")}).drop("tried")
+    tried = extracted.groupBy("site").agg(F.min_by("error", order).alias("first_error"), F.min_by("status", order).alias("first_status"), F.max("checked").alias("tried"))
+    joined = tried.join(out.drop("inner_people", "all_people", "social_list", "id_list"), "site", "left")
+    reachable = F.coalesce("reachable", F.lit(False))
+    return joined.withColumns({
+        "error": F.when(~reachable, F.col("first_error")), "status": F.when(~reachable, F.col("first_status")), "checked": F.coalesce("checked", "tried"), "reachable": reachable,
+    }).drop("tried", "first_error", "first_status")
 
 
 def reduce_lists(entries: Column, most: int) -> Column:

@@ -11,6 +11,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadloom.functions import patterns as P
 from leadloom.operators import market
 from leadloom.plans.storage import materialise
 
@@ -292,4 +293,11 @@ t AS (
 SELECT t.*, round(demand_distinct / d, 3) AS demand_part, round(coalesce(gap, 0) / g, 3) AS gap_part, round(coalesce(reach, 0) / r, 3) AS reach_part, round(-coalesce(median_offers, 0) / o, 3) + 0.0 AS competition_part,
   round(0.4 * demand_distinct / d + 0.3 * coalesce(gap, 0) / g + 0.2 * coalesce(reach, 0) / r - 0.1 * coalesce(median_offers, 0) / o, 3) AS score
 FROM t, m""",
+    "market_terms": r"""WITH t AS (
+  SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\p{L}{3,}'), lambda w: NOT list_contains([""" + ", ".join("'" + w.replace("'", "''") + "'" for w in P.STOP_WORDS) + r"""], w)) AS w FROM documents
+), found AS (
+  SELECT DISTINCT 'word' AS kind, doc_id, unnest(list_filter(w, lambda x: length(x) >= 4)) AS term FROM t
+  UNION ALL SELECT DISTINCT 'pair', doc_id, a || ' ' || b FROM (SELECT doc_id, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM t WHERE len(w) > 1) WHERE a <> b
+), counted AS (SELECT kind, term, count(*) AS orders FROM found GROUP BY 1, 2)
+SELECT * FROM (SELECT kind, term, orders, row_number() OVER (PARTITION BY kind ORDER BY orders DESC, term) AS rank FROM counted WHERE kind = 'word' OR orders > 1) WHERE rank <= 40""",
 }

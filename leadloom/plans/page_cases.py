@@ -57,4 +57,8 @@ SELECT page_id, CASE WHEN failed THEN 'HTTPError' END AS error, left(trim(replac
   coalesce(regexp_matches(html, '(?i)<meta[^>]+name=["'']viewport'), false) AS mobile, coalesce(html ILIKE '%<form%', false) AS has_form, coalesce(regexp_matches(html, '(?i)privacy|datenschutz|confidential|privacidad|privacidade'), false) AS privacy_link,
   coalesce(length(html), 0) AS bytes, coalesce(len(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"'']+)', 1)), 0) AS n_links, coalesce(len(regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["''][^"'']+["''][^>]*>.*?</a>')), 0) AS n_anchors FROM p""",
     "site_pages": _SITES + """ SELECT site, n > 0 AS reachable, CASE WHEN n > 0 THEN n ELSE NULL END AS n_pages, CASE WHEN n > 0 THEN has_form END AS has_form, starts_with(home, 'https') AS https, CASE WHEN n > 0 THEN 'other' END AS builder FROM homes""",
+    "site_signal_counts": _SITES + """, t AS (
+  SELECT unnest(list_filter([CASE WHEN NOT coalesce(starts_with(home, 'https'), false) THEN 'no_https' END, CASE WHEN NOT cert_ok THEN 'broken_ssl' END, CASE WHEN NOT coalesce(mobile, false) THEN 'not_mobile_friendly' END,
+    CASE WHEN has_form AND NOT privacy THEN 'form_without_privacy_link' END], lambda x: x IS NOT NULL)) AS type FROM homes WHERE n > 0
+) SELECT type, count(*) AS sites FROM t GROUP BY 1""",
 }
