@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import norm
 from leadloom.functions import patterns as P
+from leadloom.plans.storage import materialise
 
 ORDER_FIELDS = ["source_id", "url", "title", "description", "budget", "budget_max", "currency", "category", "offers", "created", "type", "channel", "buyer"]
 
@@ -149,10 +150,14 @@ def unrated_counts(orders: DataFrame) -> DataFrame:
 
 
 def prepare_orders(raw: DataFrame, cfg: MarketConfig, as_of: datetime.date) -> DataFrame:
-    """Current orders with their product and amount."""
-    orders = current_orders(latest_orders(normalize_orders(raw)), cfg, as_of)
-    currency = main_currency(orders, cfg)
-    return orders.withColumns({"product": product_label(cfg), "amount": amount(currency, cfg.rates)})
+    """Current orders with their product and amount.
+
+    Cleaning and labelling texts is the costly part and every table reads the result several times, so it is written
+    once; the amount depends on the currency that most of the written orders have.
+    """
+    orders = current_orders(latest_orders(normalize_orders(raw)), cfg, as_of).withColumn("product", product_label(cfg))
+    orders = materialise(orders, "orders")
+    return orders.withColumn("amount", amount(main_currency(orders, cfg), cfg.rates))
 
 
 # --- statistics of groups of orders ----------------------------------------------------------------------------------

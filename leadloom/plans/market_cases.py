@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import patterns as P
 from leadloom.operators import market
-from leadloom.plans.storage import materialise
 
 AS_OF = datetime.date(2001, 8, 2)
 CONFIG = market.MarketConfig(
@@ -228,7 +227,7 @@ def market_top_tech(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def market_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments ranked by demand, gap, reach and competition."""
-    out = market.segment_scores(materialise(prepared(spark, sf_dir), "orders"), business_leads(spark, sf_dir), CONFIG)
+    out = market.segment_scores(prepared(spark, sf_dir), business_leads(spark, sf_dir), CONFIG)
     return out.drop("note")
 
 
