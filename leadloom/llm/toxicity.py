@@ -201,10 +201,9 @@ class TermCounter:
     def __call__(self, text: str) -> tuple[tuple[str, int], ...]:
         pieces = text.split()
         memo = self.memo
+        if len(memo) > self.most:
+            memo.clear()
         for p in set(pieces).difference(memo):
-            if len(memo) > self.most:
-                memo.clear()
-                return self(text)
             memo[p] = tuple(t for t in terms_of(p) if t in self.idf)
         counts: Counter = Counter()
         for found in filter(None, map(memo.__getitem__, pieces)):

@@ -133,6 +133,14 @@ def test_toxicity_learns_terms_and_scores_all_rows(spark, frame):
     assert toxicity.score(frame(docs), toxicity.fit(frame(docs), marks.limit(0))).count() == len(docs)
 
 
+def test_term_counter_takes_texts_of_more_pieces_than_it_remembers(spark, frame):
+    docs = [(i, f"common word{i} " + ("vile" if i % 3 == 0 else "kind")) for i in range(60)]
+    model = toxicity.fit(frame(docs), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int"))
+    small, text = toxicity.TermCounter(model.idf, most=5), " ".join(f"word{i}" for i in range(200)) + " vile vile"
+    for t in (text, "vile kind", text, ""):
+        assert repr(small(t)) == repr(toxicity.TermCounter(model.idf)(t))
+
+
 def test_licences(frame):
     mit = licenses.TEMPLATES["MIT"][1]
     rows = [(1, "a b c " * 50 + "\nReleased under the MIT License.\n" + "d e " * 300), (2, "x " * 500 + mit.upper().replace("CHARGE", "FEE") + " y" * 90), (3, "Licensed under a roof"), (4, None), (5, ""), (6, "licensed"), (7, "Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0."), (7, "MIT"), (8, "w" * 9000)]
