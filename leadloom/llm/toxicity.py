@@ -1,19 +1,24 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
 
-Training takes a bounded sample of labelled documents. Terms are words and word beginnings; those that toxic examples
-hold far more often than others become the dimensions, weighted by tf times idf. Examples with equal vectors share one
-entry of the index with the counts of both labels, so the index is bounded by the sample. A query sums per block of
-entries the largest products that the block can reach, scores blocks in falling order of that bound and stops when no
-block can reach the k-th best cosine, which makes the neighbours exact. They vote with weights that fall with distance,
-smoothed by the share of toxic examples. Texts without any of the terms get the smoothed share among examples without.
+Training takes a bounded sample of labelled documents. Terms are words and word beginnings, and all terms of the sample
+are dimensions. A weight is tf times idf, times 1 + z² where toxic examples hold the term z standard deviations more often
+than chance gives: no term is left out, and what says nothing about the label keeps its plain TF-IDF weight. Examples with
+equal vectors share one entry of the index with the counts of both labels, so the index is bounded by the sample.
+
+The most frequent terms are stored as rows over blocks of entries, with the largest weight of each term in each block, the
+others as postings. Of a query the postings are summed first; with the largest products of the frequent terms they bound
+what a block can reach. Blocks that can reach the k-th best cosine found so far are summed too, which makes the neighbours
+exact; their cosines are then computed anew in double precision. They vote with weights that fall with distance, smoothed
+by the share of toxic examples. Texts without any of the terms get the smoothed share among examples without.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +31,24 @@ from leadloom.plans.storage import materialise
 
 _WORD = regex.compile(r"[^\W_]+")
 _LONG_PIECE = 200
+#: Pieces whose terms are looked up in one call, and queries that meet the index together.
+_PIECES, _QUERIES = 20_000, 64
+#: Terms stored as rows; more than the error of sums in single precision.
+_FREQUENT, _MARGIN = 768, 1e-4
+
+#: Places of a text's terms in the model, ascending, and how often it holds each.
+Vector = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``examples`` bounds the labelled rows that a model is fitted on, ``terms`` its dimensions. A term needs
-    ``least_z`` standard deviations more toxic examples than chance gives."""
+    """``examples`` bounds the labelled rows that a model is fitted on."""
 
     examples: int = 20_000
-    terms: int = 400
     neighbours: int = 25
     threshold: float = 0.3
     prior_weight: float = 2.0
     softness: float = 0.1
-    least_toxic_docs: int = 4
-    least_share: float = 0.5
-    least_z: float = 6.5
     block: int = 64
 
 
@@ -54,90 +61,217 @@ def terms_of(piece: str) -> list[str]:
     return found
 
 
+class Terms(Mapping):
+    """Weights of a model's terms by term. Terms are found by 64-bit hashes, in whose order they have their places."""
+
+    def __init__(self, names: list[str], weights: np.ndarray):
+        keys = self.hashes(names)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.weights, self.names = keys[order], np.asarray(weights, float)[order], pa.array(names, pa.string()).take(pa.array(order))
+
+    @staticmethod
+    def hashes(names: list[str]) -> np.ndarray:
+        import xxhash
+
+        return np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in names), np.uint64, len(names))
+
+    def places(self, names: list[str]) -> np.ndarray:
+        """Places of terms, -1 for unknown ones."""
+        h = self.hashes(names)
+        if not self.keys.size:
+            return np.full(h.size, -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, h), self.keys.size - 1)
+        return np.where(self.keys[at] == h, at, -1).astype(np.int32)
+
+    def __len__(self) -> int:
+        return self.keys.size
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.names.to_pylist())
+
+    def __getitem__(self, term: str) -> float:
+        at = int(self.places([term])[0])
+        if at < 0:
+            raise KeyError(term)
+        return float(self.weights[at])
+
+
 @dataclass
 class ToxicityModel:
-    """Dimensions and examples of a fitted model; small, sent to every task."""
+    """Terms and examples of a fitted model: vectors one after the other, with the counts of both labels."""
 
     params: ToxicityParams
-    idf: dict[str, float] = field(default_factory=dict)
-    vectors: list[tuple[tuple[tuple[str, int], ...], int, int]] = field(default_factory=list)
+    idf: Terms
+    begin: np.ndarray
+    places: np.ndarray
+    counts: np.ndarray
+    pos: np.ndarray
+    neg: np.ndarray
     toxic: int = 0
     total: int = 0
 
+    def __getstate__(self) -> dict:
+        """Vectors are packed for the way to the executors, each of which writes them to its disk."""
+        packed = {k: _packed(np.diff(v, prepend=v.dtype.type(0))) for k, v in (("places", self.places), ("counts", self.counts))}
+        return {k: v for k, v in self.__dict__.items() if k != "_index"} | packed
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {k: np.cumsum(_unpacked(state[k]), dtype=np.int32) for k in ("places", "counts")})
+
+    def index(self) -> BlockMaxIndex:
+        """The model's index, made once a process."""
+        if "_index" not in self.__dict__:
+            self._index = BlockMaxIndex(self)
+        return self._index
+
+    @property
+    def vectors(self) -> list[tuple[tuple[tuple[str, int], ...], int, int]]:
+        """Each entry's (term, count) pairs and its counts of toxic and other examples."""
+        names = list(self.idf)
+        parts = zip(self.begin[:-1].tolist(), self.begin[1:].tolist(), self.pos.tolist(), self.neg.tolist(), strict=True)
+        return [(tuple((names[d], n) for d, n in zip(self.places[a:z].tolist(), self.counts[a:z].tolist(), strict=True)), int(p), int(q)) for a, z, p, q in parts]
+
+
+def _packed(x: np.ndarray) -> tuple[int, bytes]:
+    planes = np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return x.size, pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+
+
+def _unpacked(packed: tuple[int, bytes]) -> np.ndarray:
+    n, data = packed
+    planes = pa.decompress(data, 4 * n, codec="zstd", asbytes=True) if n else b""
+    return np.frombuffer(planes, np.uint8).reshape(4, n).T.copy().view(np.int32).ravel()
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of runs that start at ``begin``, one after the other."""
+    return np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+
 
 class BlockMaxIndex:
-    """Inverted index over a model's examples, with the largest weight of each term in each block of entries."""
+    """Inverted index over a model's examples, with the largest weight of each frequent term in each block of entries."""
 
     def __init__(self, model: ToxicityModel):
         p = self.params = model.params
-        self.dims = {t: i for i, t in enumerate(model.idf)}
-        self.idf = np.array(list(model.idf.values()), float)
+        self.terms = model.idf
         self.prior = (model.toxic + 1) / (model.total + 2)
-        entries = [v for v in model.vectors if v[0]]
-        empty = [v for v in model.vectors if not v[0]]
-        pos, neg = sum(v[1] for v in empty), sum(v[2] for v in empty)
-        self.empty_score = (pos + p.prior_weight * self.prior) / (pos + neg + p.prior_weight)
-        self.pos, self.neg = (np.array([v[k] for v in entries], float) for k in (1, 2))
-        self.n = len(entries)
-        self.n_blocks = -(-self.n // p.block) if self.n else 0
-        self.block_max = np.zeros((max(1, len(self.dims)), max(1, self.n_blocks)))
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for e, (vector, _, _) in enumerate(entries):
-            dims, weights = self.weigh(vector)
-            b = e // p.block
-            for d, w in zip(dims.tolist(), weights.tolist(), strict=True):
-                postings.setdefault((d, b), []).append((e - b * p.block, w))
-                self.block_max[d, b] = max(self.block_max[d, b], w)
-        self.postings = {k: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for k, v in postings.items()}
-        self._known: dict[tuple, tuple[float, list[int]]] = {}
+        size = np.diff(model.begin)
+        some = size > 0
+        pos, neg = model.pos[~some].sum(), model.neg[~some].sum()
+        self.empty_score = float((pos + p.prior_weight * self.prior) / (pos + neg + p.prior_weight))
+        self.pos, self.neg, size = model.pos[some], model.neg[some], size[some]
+        self.n = n = int(size.size)
+        self.n_blocks = -(-n // p.block)
+        self.begin = np.concatenate(([0], np.cumsum(size)))
+        self.places, self.counts = model.places, model.counts
+        self.tf = 1 + np.log(np.arange(1, int(self.counts.max(initial=1)) + 1))
+        df = np.bincount(self.places, minlength=len(self.terms))
+        self.frequent = np.sort(np.argsort(-df, kind="stable")[:_FREQUENT])
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[self.frequent] = np.arange(self.frequent.size)
+        self.df = np.where(self.row < 0, df, 0)
+        self.first = np.concatenate(([0], np.cumsum(self.df)))[:-1]
+        self.rows = np.zeros((self.n_blocks * p.block, self.frequent.size), np.float32)
+        self.norm, rest = np.empty(n), []
+        for i in range(0, n, 8 * p.block):  # a few entries at a time: the weights of all would take much memory
+            k = min(n, i + 8 * p.block)
+            part = slice(self.begin[i], self.begin[k])
+            w = self.tf[self.counts[part] - 1] * self.terms.weights[self.places[part]]
+            self.norm[i:k] = np.sqrt(np.add.reduceat(w * w, self.begin[i:k] - self.begin[i]))
+            w /= np.repeat(self.norm[i:k], size[i:k])
+            entry, own = np.repeat(np.arange(i, k, dtype=np.int32), size[i:k]), self.row[self.places[part]]
+            self.rows[entry[own >= 0], own[own >= 0]] = w[own >= 0]
+            rest.append((self.places[part][own < 0], entry[own < 0], w[own < 0].astype(np.float32)))
+        self.block_max = self.rows.reshape(self.n_blocks, p.block, self.frequent.size).max(1).T.copy()
+        places, entry, w = (np.concatenate(x) for x in zip(*rest, strict=True)) if rest else (np.empty(0, np.int32),) * 3
+        order = np.argsort(places, kind="stable")
+        self.entry, self.weight = entry[order], w[order]
+        self.asked = np.zeros(len(self.terms))
+        self._known: dict[bytes, tuple[float, list[int]]] = {}
+
+    def _weigh(self, vector: Vector) -> np.ndarray:
+        w = (1 + np.log(vector[1])) * self.terms.weights[vector[0]]
+        return w / np.sqrt((w * w).sum())
+
+    def _vector(self, vector: tuple[tuple[str, int], ...]) -> Vector:
+        places, counts = self.terms.places([t for t, _ in vector]), np.array([n for _, n in vector], np.int64)
+        order = np.argsort(places, kind="stable")[int((places < 0).sum()) :]
+        return places[order], counts[order]
 
     def weigh(self, vector: tuple[tuple[str, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        """Dimensions and unit-length TF-IDF weights of (term, count) pairs."""
-        dims = np.array([self.dims[t] for t, _ in vector], np.int64)
-        w = np.array([1 + math.log(n) for _, n in vector]) * self.idf[dims]
-        return dims, w / np.sqrt((w * w).sum())
+        """Places and unit-length TF-IDF weights of (term, count) pairs."""
+        v = self._vector(vector)
+        return v[0], self._weigh(v)
 
     def nearest(self, vector: tuple[tuple[str, int], ...]) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines of the nearest ``neighbours`` examples, with all that tie with the last."""
-        p = self.params
-        dims, w = self.weigh(vector)
-        bounds = w @ self.block_max[dims][:, : self.n_blocks]
-        found, cosines, reach = [], [], 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or bounds[b] < reach - 1e-9:
-                break
-            scores = np.zeros(p.block)
-            for d, x in zip(dims.tolist(), w.tolist(), strict=True):
-                hit = self.postings.get((d, b))
-                if hit is not None:
-                    scores[hit[0]] += x * hit[1]
-            at = np.flatnonzero(scores > 0)
-            found.append(at + b * p.block)
-            cosines.append(scores[at])
-            e, c = np.concatenate(found), np.concatenate(cosines)
-            o = np.argsort(-c, kind="stable")
-            weight = np.cumsum((self.pos + self.neg)[e[o]])
-            last = int(np.searchsorted(weight, p.neighbours))
-            reach = float(c[o[last]]) if last < o.size else 0.0
-        if not found:
-            return np.empty(0, np.int64), np.empty(0)
+        return self.nearest_of([self._vector(vector)])[0]
+
+    def nearest_of(self, vectors: list[Vector]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The nearest of each of a few vectors, none of them empty."""
+        p, n, m = self.params, self.n, len(vectors)
+        if not n:
+            return [(np.empty(0, np.int64), np.empty(0))] * m
+        weights = [self._weigh(v) for v in vectors]
+        q = np.zeros((m, self.frequent.size), np.float32)
+        scores = np.zeros((m, self.n_blocks * p.block), np.float32)
+        for k, ((places, _), w) in enumerate(zip(vectors, weights, strict=True)):
+            row = self.row[places]
+            q[k, row[row >= 0]] = w[row >= 0]
+            df = self.df[places]
+            at = _runs(self.first[places], df)
+            if at.size:
+                scores[k, :n] = np.bincount(self.entry[at], self.weight[at] * np.repeat(w, df), n)
+        bounds = q @ self.block_max + scores.reshape(m, self.n_blocks, p.block).max(2)
+        done = np.zeros(bounds.shape, bool)
+        k = min(p.neighbours, n)
+        seeds = np.argpartition(-bounds, min(3, self.n_blocks - 1), axis=1)[:, :4] if self.n_blocks > 4 else np.tile(np.arange(self.n_blocks), (m, 1))
+        wanted = np.zeros(bounds.shape, bool)
+        np.put_along_axis(wanted, seeds, True, 1)
+        for _ in range(2):
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                own, part = np.flatnonzero(wanted[:, b]), slice(b * p.block, (b + 1) * p.block)
+                scores[own, part] += q[own] @ self.rows[part].T
+            done |= wanted
+            # What postings alone give is a lower bound where a block has not been summed.
+            kth = np.partition(scores[:, :n], n - k, axis=1)[:, n - k]
+            wanted = ~done & (bounds > 0) & (bounds >= kth[:, None] - _MARGIN)
+        at_least = np.where(np.repeat(done, p.block, axis=1), scores, 0)[:, :n]
+        return [self._exact(v, w, np.flatnonzero((s > 0) & (s >= t - _MARGIN))) for v, w, s, t in zip(vectors, weights, at_least, kth, strict=True)]
+
+    def _exact(self, vector: Vector, w: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of candidates the nearest, by cosines in double precision."""
+        if not e.size:
+            return e, np.empty(0)
+        size = self.begin[e + 1] - self.begin[e]
+        at = _runs(self.begin[e], size)
+        places = self.places[at]
+        self.asked[vector[0]] = w * self.terms.weights[vector[0]]
+        products = self.asked[places] * self.tf[self.counts[at] - 1]
+        self.asked[vector[0]] = 0
+        c = np.add.reduceat(products, np.concatenate(([0], np.cumsum(size)[:-1]))) / self.norm[e]
+        o = np.argsort(-c, kind="stable")
+        last = int(np.searchsorted(np.cumsum((self.pos + self.neg)[e[o]]), self.params.neighbours))
+        reach = float(c[o[last]]) if last < o.size else 0.0
         keep = o[c[o] >= reach - 1e-9]
         return e[keep], c[keep]
 
-    def score(self, vector: tuple[tuple[str, int], ...]) -> tuple[float, list[int]]:
-        """Score between 0 and 1 and the entries that gave it, nearest first."""
-        if not vector or not self.n:
-            return self.empty_score, []
-        if vector not in self._known:
-            if len(self._known) > 100_000:
-                self._known.clear()
-            p = self.params
-            e, c = self.nearest(vector)
-            w = c / (p.softness + 1 - np.minimum(c, 1))
-            w /= 1 / p.softness
-            s = (float((w * self.pos[e]).sum()) + p.prior_weight * self.prior) / (float((w * (self.pos + self.neg)[e]).sum()) + p.prior_weight)
-            self._known[vector] = (s, e[:5].tolist())
-        return self._known[vector]
+    def score_all(self, vectors: list[Vector]) -> list[tuple[float, list[int]]]:
+        """Of each vector a score between 0 and 1 and the entries that gave it, nearest first."""
+        import xxhash
+
+        p, known = self.params, self._known
+        keys = [xxhash.xxh3_128_digest(v[0].tobytes() + v[1].tobytes()) if v[0].size and self.n else b"" for v in vectors]
+        if len(known) > 100_000:
+            known.clear()
+        new = {k: v for k, v in zip(keys, vectors, strict=True) if k and k not in known}
+        for a in range(0, len(new), _QUERIES):
+            part = dict(islice(new.items(), a, a + _QUERIES))
+            for key, (e, c) in zip(part, self.nearest_of(list(part.values())), strict=True):
+                w = c / (p.softness + 1 - np.minimum(c, 1)) * p.softness
+                s = (float((w * self.pos[e]).sum()) + p.prior_weight * self.prior) / (float((w * (self.pos + self.neg)[e]).sum()) + p.prior_weight)
+                known[key] = (s, e[:5].tolist())
+        return [known[k] if k else (self.empty_score, []) for k in keys]
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
@@ -151,7 +285,6 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.examples)
     sample = materialise(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"), "toxicity-examples")
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    model = ToxicityModel(params, total=total, toxic=toxic)
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -164,72 +297,96 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), *(pa.array([r[j] for r in part], pa.int64()) for j in (1, 2))], names=["term", "pos", "neg"])
 
     counts = sample.mapInArrow(count_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # Of terms that the same examples hold, one is enough: the shortest says the most about unseen words.
+    found = counts.toArrow()
+    pos, n = found["pos"].to_numpy(), found["pos"].to_numpy() + found["neg"].to_numpy()
     base = (toxic + 1) / (total + 2)
-    n = F.col("pos") + F.col("neg")
-    z = (F.col("pos") - n * base) / F.sqrt(n * base * (1 - base))
-    chosen = (
-        counts.filter((F.col("pos") >= params.least_toxic_docs) & (F.col("pos") >= params.least_share * n) & (z >= params.least_z))
-        .orderBy(F.desc(z), F.length("term"), "term")
-        .limit(params.terms)
-        .collect()
-    )
-    model.idf = {r["term"]: math.log((1 + total) / (1 + r["pos"] + r["neg"])) + 1 for r in chosen}
-    idf = model.idf
+    z = np.maximum(0, (pos - n * base) / np.sqrt(n * base * (1 - base)))
+    terms = Terms(found["term"].to_pylist(), (np.log((1 + total) / (1 + n)) + 1) * (1 + z * z))
+    del found
+    share = docs.sparkSession.sparkContext.broadcast(terms)
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(idf)
-        seen: Counter = Counter()
+        counter = TermCounter(share.value)
+        lists = pa.list_(pa.int32())
         for batch in slices(batches, "text"):
-            for text, label in zip(texts_of(batch), batch.column(1).to_pylist(), strict=True):
-                seen[(repr(counter(text)), label)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([n if k[1] else 0 for k, n in seen.items()], pa.int64()), pa.array([0 if k[1] else n for k, n in seen.items()], pa.int64())], names=["vector", "pos", "neg"])
-
-    import ast
-
-    grouped = sample.mapInArrow(vectorise, "vector string, pos long, neg long").groupBy("vector").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    model.vectors = sorted((ast.literal_eval(r["vector"]), r["pos"], r["neg"]) for r in grouped.collect())
-    return model
+            vectors = [counter(t) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([v[k] for v in vectors], lists) for k in (0, 1)), batch.column(1).cast(pa.int32())], names=["places", "counts", "toxic"])
+
+    rows = sample.mapInArrow(vectorise, "places array<int>, counts array<int>, toxic int").toArrow().combine_chunks()
+    flat = [rows[c].chunk(0).flatten().to_numpy() if rows.num_rows else np.empty(0, np.int32) for c in ("places", "counts")]
+    stop = np.cumsum(np.diff(rows["places"].chunk(0).offsets.to_numpy()) if rows.num_rows else np.empty(0, np.int64), dtype=np.int64)
+    label = rows["toxic"].to_numpy().astype(int)
+    del rows
+    entries: dict[bytes, list[int]] = {}
+    for i, (a, b) in enumerate(zip([0, *stop[:-1].tolist()], stop.tolist(), strict=False)):
+        key = hashlib.sha256(flat[0][a:b].tobytes() + flat[1][a:b].tobytes()).digest()
+        entries.setdefault(key, [a, b, 0, 0])[3 - label[i]] += 1
+    # Entries with the same strongest term share blocks.
+    strongest = lambda a, b: int(flat[0][a + int(np.argmax(terms.weights[flat[0][a:b]]))]) if b > a else -1
+    table = np.array([v for _, v in sorted(entries.items(), key=lambda x: (strongest(*x[1][:2]), x[0]))], np.int64).reshape(-1, 4)
+    at = _runs(table[:, 0], table[:, 1] - table[:, 0])
+    begin = np.concatenate(([0], np.cumsum(table[:, 1] - table[:, 0])))
+    return ToxicityModel(params, terms, begin, flat[0][at], flat[1][at], table[:, 2].astype(float), table[:, 3].astype(float), toxic, total)
 
 
 class TermCounter:
-    """Counts of a model's terms in a text; what a piece of text holds is computed once."""
+    """Places and counts of a model's terms in a text; what a piece of text holds is computed once.
 
-    def __init__(self, idf: dict[str, float], most: int = 400_000):
-        self.idf, self.most, self.memo = idf, most, {}
+    ``most`` pieces are remembered. A text of more pieces is counted all the same, with the rest of them forgotten.
+    """
 
-    def __call__(self, text: str) -> tuple[tuple[str, int], ...]:
-        pieces = text.split()
+    def __init__(self, terms: Terms, most: int = 400_000):
+        self.terms, self.most, self.memo = terms, most, {}
+
+    def _places(self, pieces: list[str]) -> list[bytes]:
+        found = [terms_of(p) for p in pieces]
+        places = self.terms.places([t for f in found for t in f])
+        out, at = [], 0
+        for f in found:
+            part = places[at : at + len(f)]
+            out.append(part[part >= 0].tobytes())
+            at += len(f)
+        return out
+
+    def __call__(self, text: str) -> Vector:
+        pieces = Counter(text.split())
         memo = self.memo
-        if len(memo) > self.most:
+        if len(memo) >= self.most:
             memo.clear()
-        for p in set(pieces).difference(memo):
-            memo[p] = tuple(t for t in terms_of(p) if t in self.idf)
-        counts: Counter = Counter()
-        for found in filter(None, map(memo.__getitem__, pieces)):
-            counts.update(found)
-        for p in [p for p in memo if len(p) > _LONG_PIECE] if len(text) > _LONG_PIECE and max(map(len, pieces), default=0) > _LONG_PIECE else ():
-            del memo[p]
-        return tuple(sorted(counts.items()))
+        new = [p for p in pieces if p not in memo]
+        fresh: dict[str, bytes] = {}
+        for k in range(0, len(new), _PIECES):
+            part = new[k : k + _PIECES]
+            fresh.update(zip(part, self._places(part), strict=True))
+        rows = [memo[p] if p in memo else fresh[p] for p in pieces]
+        memo.update(islice(((p, x) for p, x in fresh.items() if len(p) <= _LONG_PIECE), self.most - len(memo)))
+        places = np.frombuffer(b"".join(rows), np.int32)
+        times = np.repeat(np.fromiter(pieces.values(), np.int64, len(rows)), np.fromiter(map(len, rows), np.int64, len(rows)) // 4)
+        order = np.argsort(places, kind="stable")
+        places, times = places[order], times[order]
+        first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))) if places.size else np.empty(0, np.int64)
+        return places[first], (np.add.reduceat(times, first) if first.size else times).astype(np.int32)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score, predicted, evidence) of every document, from its whole text and nothing else.
 
-    ``evidence`` lists the terms found. A null or empty text has none and gets the score of texts without terms. Equal
-    rows give equal results; columns besides doc_id and text are ignored. No rows are shuffled.
+    ``evidence`` lists the terms found that weigh most. A null or empty text has none and gets the score of texts without
+    terms. Equal rows give equal results; columns besides doc_id and text are ignored. No rows are shuffled.
     """
     ready(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counter = BlockMaxIndex(share.value), TermCounter(share.value.idf)
-        least = share.value.params.threshold
+        index = share.value.index()
+        counter, least = TermCounter(index.terms), index.params.threshold
         for batch in slices(batches, "text"):
             vectors = [counter(t) for t in texts_of(batch)]
-            scores = [index.score(v)[0] for v in vectors]
+            scores = [s for s, _ in index.score_all(vectors)]
+            strong = [v[0][np.lexsort((v[0], -index.terms.weights[v[0]]))[:20]] for v in vectors]
+            named = [" ".join(index.terms.names.take(pa.array(x)).to_pylist()) for x in strong]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= least) for s in scores], pa.int32()), pa.array([" ".join(t for t, _ in v) for v in vectors])],
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= least) for s in scores], pa.int32()), pa.array(named, pa.string())],
                 names=["doc_id", "score", "predicted", "evidence"],
             )
 
@@ -242,10 +399,10 @@ def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counter = BlockMaxIndex(share.value), TermCounter(share.value.idf)
-        least = share.value.params.threshold
+        index = share.value.index()
+        counter, least = TermCounter(index.terms), index.params.threshold
         for batch in slices(batches, "text"):
-            clean = [index.score(counter(t))[0] < least for t in texts_of(batch)]
+            clean = [s < least for s, _ in index.score_all([counter(t) for t in texts_of(batch)])]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -133,6 +133,18 @@ def test_toxicity_learns_terms_and_scores_all_rows(spark, frame):
     assert toxicity.score(frame(docs), toxicity.fit(frame(docs), marks.limit(0))).count() == len(docs)
 
 
+def test_toxicity_of_rare_and_mixed_words(spark, frame):
+    """Eight toxic examples whose words are in three of them at most: each has neighbours, and scores differ."""
+    random.seed(4)
+    plain, rare = [f"plain{i}" for i in range(80)], ["grim", "foul", "crass", "snide"]
+    docs = [(i, " ".join([*random.choices(plain, k=12), *([rare[i % 4], rare[i % 4 + 1 - 2 * (i % 4 == 3)]] if i < 8 else [])])) for i in range(64)]
+    model = toxicity.fit(frame(docs), spark.createDataFrame([(i, int(i < 8)) for i in range(64)], "doc_id long, toxic int"))
+    assert {w for _, t in docs for w in t.split()} <= set(model.idf) and min(model.idf.values()) > 0
+    asked = [(100 + k, f"{w} {random.choice(plain)}") for k, w in enumerate(rare)] + [(200, " ".join(plain[:10]))]
+    got = {r["doc_id"]: r for r in toxicity.score(frame(asked), model).collect()}
+    assert all(got[100 + k]["score"] > got[200]["score"] + 0.05 for k in range(4)) and got[200]["predicted"] == 0
+
+
 def test_term_counter_takes_texts_of_more_pieces_than_it_remembers(spark, frame):
     docs = [(i, f"common word{i} " + ("vile" if i % 3 == 0 else "kind")) for i in range(60)]
     model = toxicity.fit(frame(docs), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int"))
