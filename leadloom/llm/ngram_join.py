@@ -273,7 +273,7 @@ def _join_rows(n: int, percent: int):
 
 
 def _token_rows(n: int):
-    """Rows (hash, node, size) of the elements of each document's set."""
+    """Rows (hash, node, pair, size) of the elements of the set of each row; ``pair`` names its id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = ShingleSets(n)
@@ -281,18 +281,18 @@ def _token_rows(n: int):
             sets = shingles.of(texts_of(batch))
             many = np.array([s.size for s in sets], np.int64)
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), many)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(np.repeat(many, many), pa.int32())], names=["hash", "node", "size"])
+            node, pair = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), many) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(pair), pa.array(np.repeat(many, many), pa.int32())], names=["hash", "node", "pair", "size"])
 
     return run
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (hash, node, size) sorted by hash, those of elements that two or more sets have, with their frequency.
+    """Of rows (hash, node, pair, size) sorted by hash, those of elements that two or more sets have, with their frequency.
 
     Frequencies of ``COMMON`` and more count as that, so no more than so many rows of an element are ever held back.
     """
-    held = np.empty((3, 0), np.int64)
+    held = np.empty((4, 0), np.int64)
     common = None  # the hash of a common element whose rows are given out as they come
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
@@ -311,18 +311,18 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, common = rows[:, :0], rows[0][-1]
         each = np.repeat(df, size)
         give = each > 1
-        yield pa.RecordBatch.from_arrays([*(pa.array(r[give]) for r in rows[:2]), pa.array(rows[2][give], pa.int32()), pa.array(each[give], pa.int32())], names=["hash", "node", "size", "df"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(r[give]) for r in rows[:3]), pa.array(rows[3][give], pa.int32()), pa.array(each[give], pa.int32())], names=["hash", "node", "pair", "size", "df"])
     if held.shape[1] > 1:
-        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(held[2], pa.int32()), pa.array(np.full(held.shape[1], held.shape[1]), pa.int32())], names=["hash", "node", "size", "df"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, held[:3]), pa.array(held[3], pa.int32()), pa.array(np.full(held.shape[1], held.shape[1]), pa.int32())], names=["hash", "node", "pair", "size", "df"])
 
 
 def _rare_prefixes(tokens: DataFrame, percent: int) -> DataFrame:
     """(hash, node) of the rarest elements of each set, of which linked sets share at least one.
 
     A set of n elements needs its n - ⌈n · percent / 100⌉ + 1 rarest. Those that no other set has come first and meet
-    nothing; a set with that many of them has no link at all and is gone.
+    nothing; a set with that many of them has no link at all and is gone. An id with several texts has a set for each.
     """
-    sets = tokens.groupBy("node").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("shared"))
+    sets = tokens.groupBy("node", "pair").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("shared"))
     wanted = F.expr(f"size - (size * {percent} + 99) div 100 + 1")
     met = (wanted - (F.col("size") - F.size("shared"))).cast("int")
     return materialise(sets.withColumn("met", met).filter("met > 0").select("node", F.explode(F.expr("slice(shared, 1, met)")).alias("e")).select("e.hash", "node"), "prefixes")
@@ -364,9 +364,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int =
     shared = materialise(shared, "shared-segments")
     sizes = shared.filter("size >= 0").groupBy("node").agg(F.max("size").alias("size"))
     candidates = shared.filter("size < 0").select("hash", "node")
-    survivors = join_ids(kept, candidates.select("node").distinct(), "node").select("node", "text")
-    tokens = survivors.mapInArrow(_token_rows(n), "hash long, node long, size int")
-    tokens = tokens.repartition("hash").sortWithinPartitions("hash").mapInArrow(_frequencies, "hash long, node long, size int, df int")
+    survivors = join_ids(kept, candidates.select("node").distinct(), "node").select("node", "pair", "text").distinct()
+    tokens = survivors.mapInArrow(_token_rows(n), "hash long, node long, pair long, size int")
+    tokens = tokens.repartition("hash").sortWithinPartitions("hash").mapInArrow(_frequencies, "hash long, node long, pair long, size int, df int")
     prefixes = _rare_prefixes(tokens, percent)
     first = prefixes.groupBy("hash").agg(F.min("node").alias("b"))
     stars = prefixes.join(first, "hash").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()

@@ -212,6 +212,13 @@ def test_components_equal_brute_force(frame):
     assert ngram_join.near_duplicates(frame(rows).limit(0)).count() == 0
 
 
+def test_links_of_ids_with_texts_of_unlike_size(frame):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, words("own", 104)), (1, words("both", 14)), (2, words("both", 14) + " end"), (3, words("far", 30))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(frame(rows), 5, 80).collect())
+    assert got == sorted((d, c) for d, _, c in brute_components(rows, 5, 80))
+
+
 def brute_cut(rows):
     data = [(d, (t or "").encode()) for d, t in rows]
     c = collections.Counter(b[i : i + 200] for _, b in data for i in range(len(b) - 199))
