@@ -203,17 +203,17 @@ def join_block(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
 
 
 def _segment_rows(n: int, percent: int):
-    """Rows (hash, node, size): size -1 for a segment's hash; one row with each document's set size."""
+    """Rows (hash, node, size): size -1 for a segment's hash; one row (pair, node, size) with the size of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, schemes = ShingleSets(n), SegmentSchemes(percent)
         for batch in slices(batches, "text"):
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            nodes, pairs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             sets = shingles.of(texts_of(batch))
             hashes = [schemes.hashes(s) if s.size else s for s in sets]
             sizes = np.array([s.size for s in sets], np.int64)
             many = [h.size for h in hashes]
-            flat = np.concatenate([*hashes, _mix(nodes.astype(np.uint64))]).view(np.int64)
+            flat = np.concatenate([*hashes, pairs.astype(np.int64).view(np.uint64)]).view(np.int64)
             node = np.concatenate([np.repeat(nodes, many), nodes])
             size = np.concatenate([np.full(sum(many), -1), sizes])
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(size, pa.int32())], names=["hash", "node", "size"])
@@ -221,6 +221,18 @@ def _segment_rows(n: int, percent: int):
     return run
 
 
+def _size_rows(n: int):
+    """Rows (pair, size) of the sets of rows (pair, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = ShingleSets(n)
+        for batch in slices(batches, "text"):
+            sizes = [s.size for s in shingles.of(texts_of(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32())], names=["pair", "size"])
+
+    return run
+
+
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (hash, node): sizes as they are, and hashes that two or more nodes have; one row is carried."""
     last: tuple[int, int, bool] | None = None  # hash and node of the last row, and whether it has been given out
@@ -359,10 +371,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int =
     spare = narrow.join(classes.filter("n_rows > 1"), ["k1", "k2"]).filter("not (doc_id <=> node)").select(pair.alias("pair")).distinct()
     kept = join_ids(rows.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "text", pair.alias("pair")), spare, "pair", "left_anti")
 
-    hashed = kept.select("node", "text").mapInArrow(_segment_rows(n, percent), "hash long, node long, size int")
+    hashed = kept.select("node", "pair", "text").mapInArrow(_segment_rows(n, percent), "hash long, node long, size int")
     shared = hashed.repartition("hash").sortWithinPartitions("hash", "node").mapInArrow(_shared_rows, "hash long, node long, size int")
     shared = materialise(shared, "shared-segments")
-    sizes = shared.filter("size >= 0").groupBy("node").agg(F.max("size").alias("size"))
+    # Texts that only rows without an id have are in no block, but have a size.
+    lone = classes.filter("node is null").select("k1", "k2")
+    lone = rows.filter("doc_id is null").join(lone, ["k1", "k2"], "left_semi").select(pair.alias("pair"), "text").mapInArrow(_size_rows(n), "pair long, size int")
+    sizes = shared.filter("size >= 0").select(F.col("hash").alias("pair"), "size").unionByName(lone).groupBy("pair").agg(F.max("size").alias("size"))
+    sized = materialise(classes.withColumn("pair", F.xxhash64("node", "k1")).join(sizes, "pair", "left").drop("pair"), "sized-classes")
+    # Ids with several texts are linked to the row that stands for each.
+    several = narrow.filter("doc_id is not null").groupBy("doc_id").agg((F.count_distinct("k1", "k2") > 1).alias("several")).filter("several").select("doc_id")
+    same = narrow.join(several, "doc_id").join(sized.filter("size > 0"), ["k1", "k2"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     candidates = shared.filter("size < 0").select("hash", "node")
     survivors = join_ids(kept, candidates.select("node").distinct(), "node").select("node", "pair", "text").distinct()
     tokens = survivors.mapInArrow(_token_rows(n), "hash long, node long, pair long, size int")
@@ -392,9 +411,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int =
     links = near
     if largest.limit(1).count():
         links = near.unionByName(_links(kept, crossed.distinct(), n, percent))
-    found = connected_components(links)
+    found = connected_components(links.unionByName(same))
 
-    nodes = classes.join(sizes, "node", "left").join(found, "node", "left")
+    nodes = sized.join(found, "node", "left")
     nodes = nodes.select("k1", "k2", F.coalesce("component", "node").alias("component"), F.col("size").alias("class_size"))
     out = narrow.join(nodes, ["k1", "k2"], "left")
     size = F.coalesce("class_size", F.lit(0)).cast("long")

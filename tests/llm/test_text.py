@@ -219,6 +219,12 @@ def test_links_of_ids_with_texts_of_unlike_size(frame):
     assert got == sorted((d, c) for d, _, c in brute_components(rows, 5, 80))
 
 
+def test_sizes_and_links_of_texts_of_null_and_repeated_ids(frame):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, words("own", 104)), (1, words("both", 14)), (2, words("both", 14) + " end"), (None, words("null", 9)), (None, words("null", 9)), (None, ""), (3, words("far", 30)), (4, words("far", 30)), (4, words("near", 200)), (5, words("near", 190)), (4, ""), (6, "")]
+    assert sorted(map(tuple, ngram_join.near_duplicates(frame(rows), 5, 80).collect()), key=str) == brute_components(rows, 5, 80)
+
+
 def brute_cut(rows):
     data = [(d, (t or "").encode()) for d, t in rows]
     c = collections.Counter(b[i : i + 200] for _, b in data for i in range(len(b) - 199))
