@@ -226,20 +226,25 @@ def rule_hits(orders: DataFrame, rules: Iterable[Rule]) -> DataFrame:
 
 
 def clusters_table(orders: DataFrame, cfg: MarketConfig) -> DataFrame:
-    """Statistics of each cluster, clusters without orders included, with its links and titles in order of id."""
+    """Statistics of each cluster, clusters without orders included, and how many links and titles ``cluster_hits`` has."""
     spark = orders.sparkSession
     rules = spark.createDataFrame([(r.name, r.matches, r.note) for r in cfg.clusters], "rule string, matches string, note string")
     hits = rule_hits(orders, cfg.clusters)
-    listed = hits.groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("id", "url", F.left("title", F.lit(100)).alias("title")))).alias("hits"))
+    listed = hits.groupBy("rule").agg(F.count("url").alias("n_urls"), F.count("*").alias("n_titles"))
     stats = with_share(order_stats(hits, ["rule"]), orders).join(listed, "rule")
     out = rules.join(stats, "rule", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select(
         F.col("rule").alias("cluster"), "note", "matches", zero("orders"), zero("distinct"), "buyers", zero("with_budget"), "median_budget", "p25_budget", "p75_budget", "median_offers",
-        F.coalesce("share_pct", F.lit(0.0)).alias("share_pct"), F.col("hits.url").alias("urls"), F.col("hits.title").alias("titles"),
+        F.coalesce("share_pct", F.lit(0.0)).alias("share_pct"), zero("n_urls"), zero("n_titles"),
     )
 
 
+def cluster_hits(orders: DataFrame, cfg: MarketConfig) -> DataFrame:
+    """Links and titles of each cluster, one row an order; a large cluster is never one row."""
+    return rule_hits(orders, cfg.clusters).select(F.col("rule").alias("cluster"), "id", "url", F.left("title", F.lit(100)).alias("title"))
+
+
 def select_orders(
     orders: DataFrame,
     cfg: MarketConfig,

@@ -145,7 +145,7 @@ def market_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = market.clusters_table(prepared(spark, sf_dir), CONFIG)
     return table.select(
         "cluster", "orders", "distinct", "buyers", "with_budget", "median_budget", "p25_budget", "p75_budget", "median_offers", "share_pct",
-        F.coalesce(F.size(F.array_compact("urls")), F.lit(0)).alias("n_urls"), F.coalesce(F.size("titles"), F.lit(0)).alias("n_titles"),
+        F.col("n_urls").cast("int").alias("n_urls"), F.col("n_titles").cast("int").alias("n_titles"),
     )
 
 

@@ -88,3 +88,11 @@ def test_scores_put_controls_last(spark):
 def test_no_orders(spark):
     none = orders(spark).limit(0)
     assert market.products_table(none).count() == 0 and market.top_terms(none).count() == 0 and market.main_currency(none, market.MarketConfig()) is None
+
+
+def test_clusters_are_counted_and_hits_are_rows(spark):
+    cfg = market.MarketConfig(max_age_days=365, clusters=(market.Rule("pages", "landing|parser"), market.Rule("none", "zzz")))
+    table = market.clusters_table(orders(spark, cfg), cfg)
+    assert {r["cluster"]: (r["n_urls"], r["n_titles"]) for r in table.select("cluster", "n_urls", "n_titles").collect()} == {"pages": (1, 2), "none": (0, 0)}
+    assert not any(t.startswith("array") for _, t in table.dtypes)
+    assert sorted((r["cluster"], r["url"], r["title"]) for r in market.cluster_hits(orders(spark, cfg), cfg).collect() if r["url"]) == [("pages", "https://x/1", "Landing page")]
