@@ -9,7 +9,8 @@ The most frequent terms are stored as rows over blocks of entries, with the larg
 others as postings. Of a query the postings are summed first; with the largest products of the frequent terms they bound
 what a block can reach. Blocks that can reach the k-th best cosine found so far are summed too, which makes the neighbours
 exact; their cosines are then computed anew in double precision. They vote with weights that fall with distance, smoothed
-by the share of toxic examples. Texts without any of the terms get the smoothed share among examples without.
+by the share of toxic examples, and the nearest of them, with their cosines and labels, are the evidence. Texts without
+any of the terms get the smoothed share among examples without.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from leadloom.plans.storage import materialise
 
 _WORD = regex.compile(r"[^\W_]+")
 _LONG_PIECE = 200
+_BEGINNINGS = (5, 7)
 #: Pieces whose terms are looked up in one call, and queries that meet the index together.
 _PIECES, _QUERIES = 20_000, 64
 #: Terms stored as rows; more than the error of sums in single precision.
@@ -42,49 +44,43 @@ Vector = tuple[np.ndarray, np.ndarray]
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``examples`` bounds the labelled rows that a model is fitted on."""
+    """``examples`` bounds the labelled ids that a model is fitted on, ``shown`` the neighbours given as evidence."""
 
-    examples: int = 20_000
+    examples: int = 5_000
     neighbours: int = 25
     threshold: float = 0.3
     prior_weight: float = 2.0
     softness: float = 0.1
     block: int = 64
+    shown: int = 5
 
 
 def terms_of(piece: str) -> list[str]:
-    """Terms of a stretch of text: its words in lower case, and beginnings of 4 to 8 letters of longer words."""
-    found = []
-    for w in _WORD.findall(piece.lower()):
-        found.append(w)
-        found.extend(f"{w[:k]}*" for k in range(4, min(9, len(w))))
-    return found
+    """Terms of a stretch of text: its words in lower case, and beginnings of 5 and 7 letters of longer words."""
+    words = _WORD.findall(piece.lower())
+    return words + [w[:k] + "*" for w in words for k in _BEGINNINGS if len(w) > k]
 
 
 class Terms(Mapping):
-    """Weights of a model's terms by term. Terms are found by 64-bit hashes, in whose order they have their places."""
+    """Weights of a model's terms by term. Places ascend with the weights: what many hold lies together."""
 
     def __init__(self, names: list[str], weights: np.ndarray):
-        keys = self.hashes(names)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.weights, self.names = keys[order], np.asarray(weights, float)[order], pa.array(names, pa.string()).take(pa.array(order))
+        weights = np.asarray(weights, float)
+        order = np.array(sorted(range(len(names)), key=lambda i: (weights[i], names[i])), np.int64)
+        self.weights, self.names = weights[order], pa.array(names, pa.string()).take(pa.array(order))
+        self._at: dict[str, int] = {}
 
-    @staticmethod
-    def hashes(names: list[str]) -> np.ndarray:
-        import xxhash
-
-        return np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in names), np.uint64, len(names))
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_at": {}}
 
     def places(self, names: list[str]) -> np.ndarray:
         """Places of terms, -1 for unknown ones."""
-        h = self.hashes(names)
-        if not self.keys.size:
-            return np.full(h.size, -1, np.int32)
-        at = np.minimum(np.searchsorted(self.keys, h), self.keys.size - 1)
-        return np.where(self.keys[at] == h, at, -1).astype(np.int32)
+        if not self._at:
+            self._at = {t: i for i, t in enumerate(self.names.to_pylist())}
+        return np.fromiter((self._at.get(t, -1) for t in names), np.int32, len(names))
 
     def __len__(self) -> int:
-        return self.keys.size
+        return self.weights.size
 
     def __iter__(self) -> Iterator[str]:
         return iter(self.names.to_pylist())
@@ -109,6 +105,8 @@ class ToxicityModel:
     neg: np.ndarray
     toxic: int = 0
     total: int = 0
+    #: The least id among each entry's examples.
+    ids: pa.Array | None = None
 
     def __getstate__(self) -> dict:
         """Vectors are packed for the way to the executors, each of which writes them to its disk."""
@@ -160,11 +158,13 @@ class BlockMaxIndex:
         pos, neg = model.pos[~some].sum(), model.neg[~some].sum()
         self.empty_score = float((pos + p.prior_weight * self.prior) / (pos + neg + p.prior_weight))
         self.pos, self.neg, size = model.pos[some], model.neg[some], size[some]
+        self.ids = model.ids.filter(pa.array(some)) if model.ids is not None else None
         self.n = n = int(size.size)
         self.n_blocks = -(-n // p.block)
         self.begin = np.concatenate(([0], np.cumsum(size)))
-        self.places, self.counts = model.places, model.counts
-        self.tf = 1 + np.log(np.arange(1, int(self.counts.max(initial=1)) + 1))
+        self.places = model.places
+        tf = 1 + np.log(np.arange(1, int(model.counts.max(initial=1)) + 1))
+        self.full = np.empty(self.places.size)
         df = np.bincount(self.places, minlength=len(self.terms))
         self.frequent = np.sort(np.argsort(-df, kind="stable")[:_FREQUENT])
         self.row = np.full(len(self.terms), -1, np.int32)
@@ -172,13 +172,13 @@ class BlockMaxIndex:
         self.df = np.where(self.row < 0, df, 0)
         self.first = np.concatenate(([0], np.cumsum(self.df)))[:-1]
         self.rows = np.zeros((self.n_blocks * p.block, self.frequent.size), np.float32)
-        self.norm, rest = np.empty(n), []
+        rest = []
         for i in range(0, n, 8 * p.block):  # a few entries at a time: the weights of all would take much memory
             k = min(n, i + 8 * p.block)
             part = slice(self.begin[i], self.begin[k])
-            w = self.tf[self.counts[part] - 1] * self.terms.weights[self.places[part]]
-            self.norm[i:k] = np.sqrt(np.add.reduceat(w * w, self.begin[i:k] - self.begin[i]))
-            w /= np.repeat(self.norm[i:k], size[i:k])
+            w = tf[model.counts[part] - 1] * self.terms.weights[self.places[part]]
+            w /= np.repeat(np.sqrt(np.add.reduceat(w * w, self.begin[i:k] - self.begin[i])), size[i:k])
+            self.full[part] = w
             entry, own = np.repeat(np.arange(i, k, dtype=np.int32), size[i:k]), self.row[self.places[part]]
             self.rows[entry[own >= 0], own[own >= 0]] = w[own >= 0]
             rest.append((self.places[part][own < 0], entry[own < 0], w[own < 0].astype(np.float32)))
@@ -245,19 +245,17 @@ class BlockMaxIndex:
             return e, np.empty(0)
         size = self.begin[e + 1] - self.begin[e]
         at = _runs(self.begin[e], size)
-        places = self.places[at]
-        self.asked[vector[0]] = w * self.terms.weights[vector[0]]
-        products = self.asked[places] * self.tf[self.counts[at] - 1]
+        self.asked[vector[0]] = w
+        c = np.add.reduceat(self.asked[self.places[at]] * self.full[at], np.concatenate(([0], np.cumsum(size)[:-1])))
         self.asked[vector[0]] = 0
-        c = np.add.reduceat(products, np.concatenate(([0], np.cumsum(size)[:-1]))) / self.norm[e]
         o = np.argsort(-c, kind="stable")
         last = int(np.searchsorted(np.cumsum((self.pos + self.neg)[e[o]]), self.params.neighbours))
         reach = float(c[o[last]]) if last < o.size else 0.0
         keep = o[c[o] >= reach - 1e-9]
         return e[keep], c[keep]
 
-    def score_all(self, vectors: list[Vector]) -> list[tuple[float, list[int]]]:
-        """Of each vector a score between 0 and 1 and the entries that gave it, nearest first."""
+    def score_all(self, vectors: list[Vector]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each vector a score between 0 and 1, and the nearest of the entries that gave it, with their cosines."""
         import xxhash
 
         p, known = self.params, self._known
@@ -270,20 +268,31 @@ class BlockMaxIndex:
             for key, (e, c) in zip(part, self.nearest_of(list(part.values())), strict=True):
                 w = c / (p.softness + 1 - np.minimum(c, 1)) * p.softness
                 s = (float((w * self.pos[e]).sum()) + p.prior_weight * self.prior) / (float((w * (self.pos + self.neg)[e]).sum()) + p.prior_weight)
-                known[key] = (s, e[:5].tolist())
-        return [known[k] if k else (self.empty_score, []) for k in keys]
+                known[key] = (s, e[: p.shown].astype(np.int32), c[: p.shown])
+        return [known[k] if k else (self.empty_score, np.empty(0, np.int32), np.empty(0)) for k in keys]
+
+    def evidence(self, found: list[tuple[float, np.ndarray, np.ndarray]], kind: pa.DataType) -> pa.Array:
+        """Lists of (doc_id, toxic, cosine) of what ``score_all`` found."""
+        at, cosine = (np.concatenate([f[k] for f in found]) if found else np.empty(0, int) for k in (1, 2))
+        stops = np.concatenate(([0], np.cumsum([f[1].size for f in found], dtype=np.int64)))
+        ids = self.ids.take(pa.array(at.astype(np.int64))).cast(kind) if at.size else pa.array([], kind)
+        toxic = pa.array((self.pos[at] > self.neg[at]).astype(np.int32)) if at.size else pa.array([], pa.int32())
+        items = pa.StructArray.from_arrays([ids, toxic, pa.array(np.minimum(cosine, 1.0).astype(float))], names=["doc_id", "toxic", "cosine"])
+        return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), items)
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Fit a model on documents whose ids ``labels`` (doc_id, toxic) marks 0 or 1; null labels are left out.
 
     At most ``params.examples`` labelled ids, least by hash, are used; ids labelled twice count as toxic if any label
-    says so. Without examples the model scores every text alike.
+    says so, and of an id with several texts the least counts. Without examples the model scores every text alike.
     """
     ready(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.examples)
-    sample = materialise(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"), "toxicity-examples")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    sample = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", "doc_id")
+    sample = materialise(sample.repartition(max(1, params.examples // 500)), "toxicity-examples")
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,23 +319,32 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
         lists = pa.list_(pa.int32())
         for batch in slices(batches, "text"):
             vectors = [counter(t) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([*(pa.array([v[k] for v in vectors], lists) for k in (0, 1)), batch.column(1).cast(pa.int32())], names=["places", "counts", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([v[k] for v in vectors], lists) for k in (0, 1)), batch.column(1).cast(pa.int32()), batch.column(2)], names=["places", "counts", "toxic", "doc_id"])
 
-    rows = sample.mapInArrow(vectorise, "places array<int>, counts array<int>, toxic int").toArrow().combine_chunks()
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = sample.mapInArrow(vectorise, f"places array<int>, counts array<int>, toxic int, doc_id {kind}").toArrow()
+    rows = rows.sort_by("doc_id").combine_chunks()
     flat = [rows[c].chunk(0).flatten().to_numpy() if rows.num_rows else np.empty(0, np.int32) for c in ("places", "counts")]
     stop = np.cumsum(np.diff(rows["places"].chunk(0).offsets.to_numpy()) if rows.num_rows else np.empty(0, np.int64), dtype=np.int64)
     label = rows["toxic"].to_numpy().astype(int)
+    ids = rows["doc_id"].combine_chunks()
     del rows
     entries: dict[bytes, list[int]] = {}
     for i, (a, b) in enumerate(zip([0, *stop[:-1].tolist()], stop.tolist(), strict=False)):
         key = hashlib.sha256(flat[0][a:b].tobytes() + flat[1][a:b].tobytes()).digest()
-        entries.setdefault(key, [a, b, 0, 0])[3 - label[i]] += 1
-    # Entries with the same strongest term share blocks.
-    strongest = lambda a, b: int(flat[0][a + int(np.argmax(terms.weights[flat[0][a:b]]))]) if b > a else -1
-    table = np.array([v for _, v in sorted(entries.items(), key=lambda x: (strongest(*x[1][:2]), x[0]))], np.int64).reshape(-1, 4)
+        entries.setdefault(key, [a, b, 0, 0, i])[3 - label[i]] += 1
+    # Entries with the same strongest of the terms that many have share blocks, so that languages and topics lie together.
+    often = np.zeros(len(terms), bool)
+    often[np.argsort(-np.bincount(flat[0], minlength=len(terms)), kind="stable")[:_FREQUENT]] = True
+
+    def strongest(a: int, b: int) -> tuple[int, ...]:
+        own = flat[0][a:b][often[flat[0][a:b]]]
+        return tuple(own[np.argsort(-terms.weights[own], kind="stable")[:2]].tolist())
+
+    table = np.array([v for _, v in sorted(entries.items(), key=lambda x: (strongest(*x[1][:2]), x[0]))], np.int64).reshape(-1, 5)
     at = _runs(table[:, 0], table[:, 1] - table[:, 0])
     begin = np.concatenate(([0], np.cumsum(table[:, 1] - table[:, 0])))
-    return ToxicityModel(params, terms, begin, flat[0][at], flat[1][at], table[:, 2].astype(float), table[:, 3].astype(float), toxic, total)
+    return ToxicityModel(params, terms, begin, flat[0][at], flat[1][at], table[:, 2].astype(float), table[:, 3].astype(float), toxic, total, ids.take(pa.array(table[:, 4])))
 
 
 class TermCounter:
@@ -371,8 +389,8 @@ class TermCounter:
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score, predicted, evidence) of every document, from its whole text and nothing else.
 
-    ``evidence`` lists the terms found that weigh most. A null or empty text has none and gets the score of texts without
-    terms. Equal rows give equal results; columns besides doc_id and text are ignored. No rows are shuffled.
+    ``evidence`` lists the nearest examples, at most ``shown``, as (doc_id, toxic, cosine), nearest first. A null or empty
+    text has none and gets the score of texts without terms. Equal rows give equal results; columns besides doc_id and text are ignored. No rows are shuffled.
     """
     ready(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(model)
@@ -381,17 +399,15 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         index = share.value.index()
         counter, least = TermCounter(index.terms), index.params.threshold
         for batch in slices(batches, "text"):
-            vectors = [counter(t) for t in texts_of(batch)]
-            scores = [s for s, _ in index.score_all(vectors)]
-            strong = [v[0][np.lexsort((v[0], -index.terms.weights[v[0]]))[:20]] for v in vectors]
-            named = [" ".join(index.terms.names.take(pa.array(x)).to_pylist()) for x in strong]
+            found = index.score_all([counter(t) for t in texts_of(batch)])
+            scores = [f[0] for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= least) for s in scores], pa.int32()), pa.array(named, pa.string())],
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= least) for s in scores], pa.int32()), index.evidence(found, batch.column(0).type)],
                 names=["doc_id", "score", "predicted", "evidence"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id: {kind}, toxic: int, cosine: double>>")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -402,7 +418,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         index = share.value.index()
         counter, least = TermCounter(index.terms), index.params.threshold
         for batch in slices(batches, "text"):
-            clean = [s < least for s, _ in index.score_all([counter(t) for t in texts_of(batch)])]
+            clean = [f[0] < least for f in index.score_all([counter(t) for t in texts_of(batch)])]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
