@@ -17,9 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.batches import ready, slices, texts_of
+from leadloom.llm.batches import ready, slices
 from leadloom.llm.word_ids import encoder_for
 
+#: Text encoded at once: distinct parts are looked up once for each such slice.
+_SLICE_BYTES = 4_000_000
+
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -43,17 +46,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer_path)
-        end = np.array([end_id], "<i4").tobytes()
         part, done = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text"):
-            ids = [x + end for x in encoder.encode(texts_of(batch))]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            before = done + np.concatenate(([0], np.cumsum(n)[:-1]))
-            done += int(n.sum())
-            stops = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
-            values = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(ids))])
+        for batch in slices(batches, "text", _SLICE_BYTES):
+            ids, n = encoder.encode(batch.column(1), end_id)
+            stops = np.cumsum(n)
+            before = done + stops - n
+            done += ids.size
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(n), part), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(stops, values)],
+                [batch.column(0), pa.array(np.full(len(n), part), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), lists],
                 names=["doc_id", "part", "part_start", "n_tokens", "ids"],
             )
 

@@ -47,12 +47,68 @@ def test_token_files_round_trip(spark, frame):
         assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     pruned = token_files.read_token_files(spark, path).filter("doc_id = 14")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,14)" in pruned or "doc_id" in pruned
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,14)" in pruned
     empty = shared_dir(spark, "t")
     token_files.write_token_files(frame(rows).limit(0), empty, P.path("word_bpe_49k.json"), 2)
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_token_files_of_null_and_repeated_ids(spark, frame):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = [(None, "no id"), (None, None), (4, "four"), (4, "four"), (4, "and another four"), (1, "one"), (9, "")]
+    path = shared_dir(spark, "t")
+    token_files.write_token_files(frame(rows), path, P.path("word_bpe_49k.json"), 2)
+    got = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, 1, 4, 4, 4, 9]
+    encode = lambda t: [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+    assert sorted((r["doc_id"] or -1, r["ids"]) for r in got) == sorted((d or -1, encode(t)) for d, t in rows)
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]
+
+
+def test_token_files_have_indexes_bloom_filters_and_stripe_statistics(spark):
+    """Read from the written files: row groups of 1,000 rows, their least and largest ids, and filters on the id."""
+    path = shared_dir(spark, "t")
+    docs = spark.range(0, 5000, 2).selectExpr("id as doc_id", "concat('word', id) as text")
+    token_files.write_token_files(docs, path, P.path("word_bpe_49k.json"), 2, parts=1)
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/ids")
+    conf = spark._jsc.hadoopConfiguration()
+    name = next(f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().startswith("part-"))
+    reader = jvm.org.apache.orc.OrcFile.createReader(name, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == 1000
+    column = reader.getStripeStatistics()[0].getColumnStatistics()[1]
+    assert (column.getMinimum(), column.getMaximum()) == (0, 4998)
+    filters = gateway.new_array(jvm.boolean, reader.getSchema().getMaximumId() + 1)
+    for k in range(len(filters)):
+        filters[k] = k == 1
+    index = reader.rows().readRowIndex(0, None, filters)
+    groups = index.getRowGroupIndex()[1].getEntryList()
+    least = [groups[k].getStatistics().getIntStatistics().getMinimum() for k in range(len(groups))]
+    blooms = index.getBloomFilterIndex()[1].getBloomFilterList()
+    assert least == [0, 2000, 4000] and len(blooms) == 3 and blooms[0].getNumHashFunctions() > 0
+    assert [r["doc_id"] for r in token_files.read_token_files(spark, path).filter("doc_id = 2468").collect()] == [2468]
+
+
+def test_word_encoder_forgets_and_takes_long_texts_without_blanks():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from leadloom.llm.word_ids import WordEncoder
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    small = WordEncoder(P.path("word_bpe_49k.json"), remembered=2_000)
+    texts = [*[t or "" for t in TEXTS], "x1" * 30_000, "“quoted” it’s 'sure'‘s …'s \"'s", "漢字" * 4000, " ".join(f"w{i}" for i in range(500))]
+    for _ in range(2):
+        ids, sizes = small.encode(pa.array([*texts, None]))
+        at = 0
+        for t, n in zip([*texts, ""], sizes.tolist()):
+            assert ids[at : at + n].tolist() == tok.encode(t, add_special_tokens=False).ids
+            at += n
+    assert small.encode(pa.array([], pa.string()))[0].size == 0
+
+
 def test_histogram(spark, frame):
     lengths = spark.createDataFrame([(i, n) for i, n in enumerate([0, 0, 3, 3, 3, 200, 5000, 127, 128])], "doc_id long, n_tokens long")
     h = token_counts.length_histogram(lengths)
