@@ -2,12 +2,15 @@
 
 Method: anchors are the least hashed grams of ``GRAM`` bytes in each window of ``SPAN`` bytes, so equal strings of
 ``SPAN`` bytes hold equal anchors at equal places. Anchors meet by their hash in one shuffle of hashes and places.
-Occurrences whose whole surroundings are equal by hash repeat each other as far as an anchor can tell, and one of them
-stands for all. Around what then still differs, the text to the right, and to the left reversed, is sorted by
-deep-shallow suffix sorting, and the common prefixes of the two orders tell how far each occurrence is repeated (see
-``suffix_sort``). Only that text moves. Anchors with more than ``MOST_MEMBERS`` different surroundings are not brought
-together: their strings are hashed one by one and counted by a distributed aggregation. Texts that occur as a whole
+Occurrences whose whole surroundings are equal (by two 64-bit hashes) repeat each other as far as an anchor can tell,
+and one of them stands for all. Around what then still differs, the text to the right, and to the left reversed, is
+sorted by deep-shallow suffix sorting, and the common prefixes of the two orders tell how far each occurrence is
+repeated (see ``suffix_sort``). Only that text moves. Texts are named by two 64-bit hashes; texts that occur as a whole
 more than once are removed as a whole.
+
+No anchor is brought together in one task, however often it occurs. Those with more than ``MOST_ROWS`` occurrences are
+combined by their surroundings before they move, which gives the same classes. Those with more than ``MOST_MEMBERS``
+different surroundings are not sorted: their strings are hashed one by one and counted by a distributed aggregation.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ from leadloom.plans.storage import join_ids, materialise
 
 SPAN, GRAM = 200, 32
 LEFT = SPAN - GRAM
-#: Occurrences of one anchor that a task may hold (about 20 MB of text).
-MOST_MEMBERS = 50_000
+#: Surroundings of one anchor that a task may hold (about 20 MB of text), and rows of one that may go to one task.
+MOST_MEMBERS, MOST_ROWS = 50_000, 10_000
 
 _CHUNK_BITS = 18
 _RNG = np.random.default_rng(20240101)
-_TABLE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = 0x9E3779B97F4A7C15
+_TABLE, _TABLE_2 = (_RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_STEP, _STEP_2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+_KEY = ["k1", "k2"]
+_ANCHORS = "anchor long, near1 long, near2 long, k1 long, k2 long, at int, room short"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -40,6 +45,7 @@ class Minimizers:
 
     def __init__(self):
         self.up, self.down = (self._powers(x) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
+        self.up2, self.down2 = (self._powers(x) for x in (_STEP_2, pow(_STEP_2, -1, 1 << 64)))
 
     @staticmethod
     def _powers(x: int) -> np.ndarray:
@@ -47,13 +53,13 @@ class Minimizers:
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    def find(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of anchors in ``data``, their hashes and those of their surroundings, within the texts.
+    def find(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of anchors in ``data``, their hashes and two hashes of their surroundings, within the texts.
 
         ``ends`` are the texts' ends, ascending. Surroundings that reach over a chunk of a long text get hashes of
         their own and thus equal no others; they are compared by their bytes later.
         """
-        places, hashes, around = [], [], []
+        places, hashes, around, again = [], [], [], []
         begins = np.concatenate(([0], ends[:-1]))
         for c in range(0, max(0, data.size - SPAN + 1), 1 << _CHUNK_BITS):
             part = data[c : c + (1 << _CHUNK_BITS) + SPAN - 1]
@@ -86,15 +92,18 @@ class Minimizers:
             low, high = np.maximum(low, 0), np.minimum(high, part.size)
             near = (sums[high] - sums[low]) * self.down[low] + (at - low).astype(np.uint64) * _M1 + (high - at).astype(np.uint64) * _M2
             near = np.where(inside, near ^ (near >> np.uint64(29)), h[at] + (at + c).astype(np.uint64) * _M1)
+            np.cumsum(_TABLE_2[part] * self.up2[: part.size], out=sums[1:])
+            near2 = (sums[high] - sums[low]) * self.down2[low] + (at - low).astype(np.uint64) * _M2 + (high - at).astype(np.uint64)
             places.append(at + c)
             hashes.append(h[at])
             around.append(near)
+            again.append(near2 ^ (near2 >> np.uint64(31)))
         if not places:
             none = np.empty(0, np.int64)
-            return none, none, none
-        places, hashes, around = np.concatenate(places), np.concatenate(hashes), np.concatenate(around)
+            return none, none, none, none
+        places, hashes, around, again = map(np.concatenate, (places, hashes, around, again))
         first = np.concatenate(([True], places[1:] != places[:-1]))  # a chunk's last anchor may be the next one's first
-        return places[first], hashes[first].view(np.int64), around[first].view(np.int64)
+        return places[first], *(x[first].view(np.int64) for x in (hashes, around, again))
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,25 +113,23 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, around, key, at, room): room is what of ``SPAN`` bytes the text has from the anchor on."""
+    """Rows of ``_ANCHORS`` of rows (k1, k2, data): room is what of ``SPAN`` bytes the text has from the anchor on."""
     finder = Minimizers()
     for batch in slices(batches, "data"):
-        data, ends = _bytes_of(batch.column(1))
-        at, hashes, around = finder.find(data, ends)
+        data, ends = _bytes_of(batch.column(2))
+        at, hashes, around, again = finder.find(data, ends)
         row = np.searchsorted(ends, at, "right")
         begin = np.concatenate(([0], ends[:-1]))[row] if at.size else at
         room = np.minimum(ends[row] - at, SPAN) if at.size else at
-        keys = batch.column(0).to_numpy(zero_copy_only=False)[row]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hashes), pa.array(around), pa.array(keys), pa.array((at - begin).astype(np.int32)), pa.array(room.astype(np.int16))],
-            names=["anchor", "around", "key", "at", "room"],
-        )
+        keys = [batch.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 1)]
+        columns = [hashes, around, again, *keys, (at - begin).astype(np.int32), room.astype(np.int16)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "near1", "near2", "k1", "k2", "at", "room"])
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of anchors sorted with their surroundings: what equal surroundings repeat, and what must be compared.
 
-    Rows (anchor, key, at, stop): with a stop, the bytes from ``at`` to there are repeated; without, the surroundings
+    Rows (anchor, k1, k2, at, stop): with a stop, the bytes from ``at`` to there are repeated; without, the surroundings
     of this anchor stand for their equals and meet different ones. Of an anchor that goes on in the next batch only its
     first and its last row are carried, however often it occurs.
     """
@@ -135,13 +142,12 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carried is not None:
             rows = np.concatenate([carried[0], rows], axis=1)
             told, shown = np.concatenate([carried[1], told]), np.concatenate([carried[2], shown])
-        anchor, around, key, at, room = rows
-        same_place = (anchor[1:] == anchor[:-1]) & (key[1:] == key[:-1]) & (at[1:] == at[:-1])
+        same_place = (rows[[0, 3, 4, 5], 1:] == rows[[0, 3, 4, 5], :-1]).all(0)
         fresh = np.concatenate(([True], ~same_place))
         rows, told, shown = rows[:, fresh], told[fresh], shown[fresh]
-        anchor, around, key, at, room = rows
+        anchor, near1, near2, k1, k2, at, room = rows
         joint = anchor[1:] == anchor[:-1]
-        equal = joint & (around[1:] == around[:-1])
+        equal = joint & (near1[1:] == near1[:-1]) & (near2[1:] == near2[:-1])
         repeated = np.concatenate(([False], equal)) | np.concatenate((equal, [False]))
         first = np.flatnonzero(np.concatenate(([True], ~equal)))
         pair = anchor[first][1:] == anchor[first][:-1]
@@ -153,23 +159,35 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = rows[:, keep], (told | span)[keep], (shown | stand)[keep]
         out_at = np.concatenate([np.maximum(at[span] - LEFT, 0), at[stand]])
         stop = np.concatenate([at[span] + room[span], np.full(int(stand.sum()), -1)])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([anchor[span], anchor[stand]])), pa.array(np.concatenate([key[span], key[stand]])), pa.array(out_at), pa.array(stop)], names=["anchor", "key", "at", "stop"]
-        )
+        both = [np.concatenate([x[span], x[stand]]) for x in (anchor, k1, k2)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*both, out_at, stop)], names=["anchor", "k1", "k2", "at", "stop"])
+
+
+def _hot_classes(rows: DataFrame) -> DataFrame:
+    """What ``_classes`` gives, by aggregations that combine equal surroundings before they move."""
+    rows = materialise(rows.distinct(), "hot-anchors")
+    near, place = ["anchor", "near1", "near2"], F.struct("k1", "k2", "at")
+    classes = materialise(rows.groupBy(near).agg(F.min(place).alias("least"), F.max(place).alias("most")), "hot-classes")
+    spans = rows.join(classes.filter("least <> most").select(near).hint("merge"), near, "left_semi")
+    spans = spans.select("anchor", "k1", "k2", F.greatest(F.lit(0), F.col("at") - LEFT).cast("long").alias("at"), (F.col("at") + F.col("room")).cast("long").alias("stop"))
+    several = classes.groupBy("anchor").count().filter("count > 1").select("anchor")
+    stands = join_ids(classes, several, "anchor").select("anchor", "least.k1", "least.k2", F.col("least.at").cast("long").alias("at"), F.lit(-1).cast("long").alias("stop"))
+    return spans.unionByName(stands)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, key, at, left, right) for rows (key, data, anchors, ats)."""
+    """Rows (anchor, k1, k2, at, left, right) for rows (k1, k2, data, anchors, ats)."""
     for batch in slices(batches, "data", 1_000_000):
-        out: list[list] = [[], [], [], [], []]
-        for key, data, anchors, ats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        out: list[list] = [[], [], [], [], [], []]
+        for k1, k2, data, anchors, ats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             out[0].extend(anchors)
-            out[1].extend([key] * len(ats))
-            out[2].extend(ats)
-            out[3].extend([data[max(0, a - LEFT) : a] for a in ats])
-            out[4].extend([data[a : a + SPAN] for a in ats])
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["anchor", "key", "at", "left", "right"])
+            out[1].extend([k1] * len(ats))
+            out[2].extend([k2] * len(ats))
+            out[3].extend(ats)
+            out[4].extend([data[max(0, a - LEFT) : a] for a in ats])
+            out[5].extend([data[a : a + SPAN] for a in ats])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["anchor", "k1", "k2", "at", "left", "right"])
 
 
 def _padded(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +206,7 @@ def _reverse_each(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans (key, start, stop) from contexts sorted by anchor; a group that reaches into the next batch is carried."""
+    """Spans (k1, k2, start, stop) from contexts sorted by anchor; a group that reaches into the next batch is carried."""
     carried: list[pa.RecordBatch] = []
 
     def spans(table: pa.Table) -> pa.RecordBatch:
@@ -198,7 +216,8 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, left_len = _padded(table.column("left").combine_chunks(), LEFT, True)
         r, l_, ok = shared_reach(right, right_len, left, left_len, group, SPAN)
         at = table.column("at").to_numpy().astype(np.int64)[ok]
-        return pa.RecordBatch.from_arrays([pa.array(table.column("key").to_numpy()[ok]), pa.array(at - l_[ok]), pa.array(at + r[ok])], names=["key", "start", "stop"])
+        keys = [pa.array(table.column(k).to_numpy()[ok]) for k in _KEY]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(at - l_[ok]), pa.array(at + r[ok])], names=[*_KEY, "start", "stop"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -243,51 +262,64 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hot_spans(texts: DataFrame, members: DataFrame) -> DataFrame:
     """Spans around anchors with very many occurrences: every string over the anchor is hashed and counted."""
-    members = members.groupBy("key").agg(F.collect_set("at").alias("ats"))
-    found = texts.join(members, "key").select("key", "data", F.explode("ats").alias("at"))
+    members = members.groupBy(_KEY).agg(F.collect_set("at").alias("ats"))
+    found = texts.join(members, _KEY).select(*_KEY, "data", F.explode("ats").alias("at"))
     starts = F.sequence(F.greatest(F.lit(0), F.col("at") - LEFT), F.least(F.col("at"), F.octet_length("data") - SPAN))
-    windows = found.select("key", "data", F.explode(starts).alias("start"))
+    windows = found.select(*_KEY, "data", F.explode(starts).alias("start"))
     string = F.substring("data", F.col("start") + 1, F.lit(SPAN))
-    windows = windows.select("key", "start", F.xxhash64(string).alias("w1"), F.xxhash64(F.lit(1), string).alias("w2")).distinct()
+    windows = windows.select(*_KEY, "start", F.xxhash64(string).alias("w1"), F.xxhash64(F.lit(1), string).alias("w2")).distinct()
     windows = materialise(windows, "hot-strings")
-    place = F.xxhash64("key", "start")
+    place = F.struct(*_KEY, "start")
     twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most")
     shared = windows.join(twice.select("w1", "w2"), ["w1", "w2"], "left_semi")
-    return shared.select("key", F.col("start").cast("long").alias("start"), (F.col("start") + SPAN).cast("long").alias("stop"))
+    return shared.select(*_KEY, F.col("start").cast("long").alias("start"), (F.col("start") + SPAN).cast("long").alias("stop"))
+
+
+def _key_of(text: str = "text") -> list:
+    """The two hashes that name a text; null is the empty text."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def repeated_spans(docs: DataFrame, most_members: int = MOST_MEMBERS) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): texts as (doc_id, key, data), and per key with any the lists ``starts`` and ``stops``.
+def repeated_spans(docs: DataFrame, most_members: int = MOST_MEMBERS, most_rows: int = MOST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(texts, spans): texts as (doc_id, k1, k2, data), and per k1, k2 with any the lists ``starts`` and ``stops``.
 
-    ``key`` is a 64-bit hash of the whole text, shared by copies. Spans may overlap.
+    ``k1`` and ``k2`` are hashes of the whole text, shared by copies. Spans may overlap.
     """
     ready(docs.sparkSession)
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), data.alias("data"))
-    copies = texts.filter(F.octet_length("data") >= SPAN).groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("data")).cast("long").alias("stop"))
-    copies = copies.filter("n > 1").select("key", F.lit(0).cast("long").alias("start"), "stop")
-
-    anchors = texts.select("key", "data").mapInArrow(_anchors, "anchor long, around long, key long, at int, room short")
-    anchors = anchors.repartition("anchor").sortWithinPartitions("anchor", "around", "key", "at")
-    classes = materialise(anchors.mapInArrow(_classes, "anchor long, key long, at long, stop long"), "anchor-classes")
-    equal = classes.filter("stop >= 0").select("key", F.col("at").alias("start"), "stop")
-    members = classes.filter("stop < 0").select("anchor", "key", F.col("at").cast("int").alias("at"))
-    members = members.join(members.groupBy("anchor").agg(F.count("*").alias("n")), "anchor")
-
-    own = join_ids(texts, members.select("key").distinct(), "key").dropDuplicates(["key"]).select("key", "data")
-    usual = members.filter(F.col("n") <= most_members).groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("at").alias("ats"))
-    around = own.join(usual, "key").select("key", "data", "anchors", "ats")
-    around = around.mapInArrow(_contexts, "anchor long, key long, at int, left binary, right binary")
-    spans = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_groups, "key long, start long, stop long")
+    texts = docs.select("doc_id", *_key_of(), data.alias("data"))
+    copies = texts.filter(F.octet_length("data") >= SPAN).groupBy(_KEY).agg(F.count("*").alias("n"), F.max(F.octet_length("data")).cast("long").alias("stop"))
+    copies = copies.filter("n > 1").select(*_KEY, F.lit(0).cast("long").alias("start"), "stop")
+
+    anchors = materialise(texts.select(*_KEY, "data").mapInArrow(_anchors, _ANCHORS), "anchors")
+    hot = materialise(anchors.groupBy("anchor").count().filter(F.col("count") > most_rows).select("anchor"), "hot-anchor-ids")
+    any_hot = hot.limit(1).count() > 0
+    usual = join_ids(anchors, hot, "anchor", "left_anti") if any_hot else anchors
+    usual = usual.repartition("anchor").sortWithinPartitions("anchor", "near1", "near2", *_KEY, "at")
+    classes = usual.mapInArrow(_classes, "anchor long, k1 long, k2 long, at long, stop long")
+    if any_hot:
+        classes = classes.unionByName(_hot_classes(join_ids(anchors, hot, "anchor")))
+    classes = materialise(classes, "anchor-classes")
+    equal = classes.filter("stop >= 0").select(*_KEY, F.col("at").alias("start"), "stop")
+    members = classes.filter("stop < 0").select("anchor", *_KEY, F.col("at").cast("int").alias("at"))
+    crowded = materialise(members.groupBy("anchor").count().filter(F.col("count") > most_members).select("anchor"), "crowded-anchors")
+    any_crowded = crowded.limit(1).count() > 0
+
+    own = join_ids(texts, members.select(*_KEY).distinct(), _KEY).dropDuplicates(_KEY).select(*_KEY, "data")
+    few = join_ids(members, crowded, "anchor", "left_anti") if any_crowded else members
+    few = few.groupBy(_KEY).agg(F.collect_list("anchor").alias("anchors"), F.collect_list("at").alias("ats"))
+    around = own.join(few, _KEY).select(*_KEY, "data", "anchors", "ats")
+    around = around.mapInArrow(_contexts, "anchor long, k1 long, k2 long, at int, left binary, right binary")
+    spans = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_groups, "k1 long, k2 long, start long, stop long")
     spans = spans.unionByName(equal).unionByName(copies)
-    hot = members.filter(F.col("n") > most_members).select("key", "at")
-    if hot.limit(1).count():
-        spans = spans.unionByName(_hot_spans(own, hot))
-    spans = spans.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    if any_crowded:
+        spans = spans.unionByName(_hot_spans(own, join_ids(members, crowded, "anchor").select(*_KEY, "at")))
+    spans = spans.groupBy(_KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     return texts, materialise(spans, "repeated-spans")
 
 
-def remove_repeats(docs: DataFrame, most_members: int = MOST_MEMBERS, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, most_members: int = MOST_MEMBERS, most_rows: int = MOST_ROWS, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document, and (kept) with ``with_text``.
 
     A byte is removed if a string of ``SPAN`` bytes over it also starts anywhere else, in this document or another;
@@ -295,30 +327,29 @@ def remove_repeats(docs: DataFrame, most_members: int = MOST_MEMBERS, with_text:
     A null text is empty; an empty or short text is never cut; rows that repeat an id are documents of their own, and
     rows with equal texts are repeats of each other. Columns besides doc_id and text are ignored.
     """
-    texts, spans = repeated_spans(docs, most_members)
-    ids = spans.select("key")
-    cut = join_ids(texts, ids, "key").join(spans, "key").select("doc_id", "data", "starts", "stops")
+    texts, spans = repeated_spans(docs, most_members, most_rows)
+    ids = spans.select(*_KEY)
+    cut = join_ids(texts, ids, _KEY).join(spans, _KEY).select("doc_id", "data", "starts", "stops")
     kind = dict(docs.dtypes)["doc_id"]
     cut = cut.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
-    whole = join_ids(texts, ids, "key", "left_anti")
+    whole = join_ids(texts, ids, _KEY, "left_anti")
     none = F.lit(0).cast("long")
     whole = whole.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("data").alias("kept"))
     out = cut.unionByName(whole)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *(["kept"] if with_text else []))
 
 
-def cut_texts(docs: DataFrame, most_members: int = MOST_MEMBERS) -> DataFrame:
+def cut_texts(docs: DataFrame, most_members: int = MOST_MEMBERS, most_rows: int = MOST_ROWS) -> DataFrame:
     """``docs`` with all their columns, ``text`` without repeated strings and ``n_chars``, if there, to match.
 
     A character that is cut in part goes whole. Texts of which nothing is left are dropped; texts that were null or
     empty stay as they are.
     """
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    _, spans = repeated_spans(docs, most_members)
-    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
-    ids = spans.select("key")
-    whole = join_ids(rows, ids, "key", "left_anti").select("row.*")
-    cut = join_ids(rows, ids, "key").join(spans, "key")
+    _, spans = repeated_spans(docs, most_members, most_rows)
+    rows = docs.select(F.struct("*").alias("row"), *_key_of())
+    ids = spans.select(*_KEY)
+    whole = join_ids(rows, ids, _KEY, "left_anti").select("row.*")
+    cut = join_ids(rows, ids, _KEY).join(spans, _KEY)
     cut = cut.select(F.struct("row").alias("held"), F.encode("row.text", "UTF-8").alias("data"), "starts", "stops").select("held.row", "data", "starts", "stops")
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

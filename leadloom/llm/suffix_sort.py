@@ -44,22 +44,24 @@ class BlindTrie:
         else:
             above[2][text[above[1]]] = fork
 
-    def names(self) -> list[int]:
-        """Names of the strings in their order; equal strings in that of insertion."""
+    def names(self, lengths: np.ndarray) -> list[int]:
+        """Names of the strings in their order; of equal ones the shorter comes first."""
         found, stack = [], [self.root] if self.root else []
         while stack:
             node = stack.pop()
             if node[0] == "leaf":
-                found.extend(node[3])
+                found.extend(sorted(node[3], key=lengths.__getitem__))
             else:
                 stack.extend(node[2][c] for c in sorted(node[2], reverse=True))
         return found
 
 
-def deep_shallow_order(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Order of equally long byte strings by (group, content).
+def deep_shallow_order(rows: np.ndarray, lengths: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Order of byte strings by (group, content), where a string's end comes before any byte.
 
-    ``rows`` is a matrix of bytes whose width is a multiple of eight, ``group`` ascends. The shallow part is a multikey
+    ``rows`` is a matrix of bytes whose width is a multiple of eight, filled up with NULs after each string's ``lengths``
+    bytes; of strings that such filling makes equal the shorter comes first, which sets an end before a NUL. ``group``
+    ascends. The shallow part is a multikey
     quicksort with eight bytes as a character: each depth sorts what still ties on that character alone. Groups that
     tie beyond ``SHALLOW`` characters have long common prefixes and are ordered by blind tries.
     """
@@ -99,13 +101,13 @@ def deep_shallow_order(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
         differ = words[a] != words[b]
         first = differ.argmax(1)
         k = np.arange(two.size)
-        swap = words[a][k, first] > words[b][k, first]
+        swap = np.where(differ.any(1), words[a][k, first] > words[b][k, first], lengths[a] > lengths[b])
         order[old[two]], order[old[two] + 1] = np.where(swap, b, a), np.where(swap, a, b)
         for i, m in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             trie = BlindTrie(width)
             for name in tied[i : i + m].tolist():
                 trie.insert(rows[name].tobytes(), name)
-            order[old[i] : old[i] + m] = trie.names()
+            order[old[i] : old[i] + m] = trie.names(lengths)
     return order
 
 
@@ -173,7 +175,7 @@ def shared_reach(right: np.ndarray, right_len: np.ndarray, left: np.ndarray, lef
     right reach, the left reach and whether there is any, for each row.
     """
     n = group.size
-    r_order, l_order = deep_shallow_order(right, group), deep_shallow_order(left, group)
+    r_order, l_order = deep_shallow_order(right, right_len, group), deep_shallow_order(left, left_len, group)
     r_lcp = neighbour_prefixes(right, right_len, group, r_order)
     l_lcp = neighbour_prefixes(left, left_len, group, l_order)
     r, l_, ok = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
