@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -118,6 +119,11 @@ def test_toxicity_learns_terms_and_scores_all_rows(spark, frame):
     assert len(got) == len(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
     by = {r["doc_id"]: r["predicted"] for r in got}
     assert all(by[i] == t for i, t in labels) and by[1003] == 1 and by[1000] == by[1001] == by[1002] == 0
+    toxic = dict(labels)
+    for r in got:  # evidence is the nearest examples, with their labels
+        found = [(e["doc_id"], e["toxic"], e["cosine"]) for e in r["evidence"]]
+        assert len(found) <= 5 and [c for _, _, c in found] == sorted((c for _, _, c in found), reverse=True) and all(toxic[d] == t and 0 < c <= 1 for d, t, c in found)
+        assert not r["predicted"] or any(t for _, t, _ in found)
     index = toxicity.BlockMaxIndex(model)
     for _ in range(40):  # block-max search finds just the neighbours that a full scan finds
         vector = tuple(sorted((t, random.randint(1, 3)) for t in random.sample(list(model.idf), min(2, len(model.idf)))))
@@ -133,6 +139,61 @@ def test_toxicity_learns_terms_and_scores_all_rows(spark, frame):
     assert toxicity.score(frame(docs), toxicity.fit(frame(docs), marks.limit(0))).count() == len(docs)
 
 
+def brute_scores(texts, labelled, params=toxicity.ToxicityParams()):
+    """Scores from texts, by a full scan of all examples in plain Python."""
+    counts = lambda t: collections.Counter(toxicity.terms_of(t or ""))
+    examples = [(counts(t), y) for t, y in labelled]
+    n, base = collections.Counter(t for c, _ in examples for t in c), (sum(y for _, y in labelled) + 1) / (len(labelled) + 2)
+    pos = collections.Counter(t for c, y in examples if y for t in c)
+    weight = {t: (math.log((1 + len(labelled)) / (1 + k)) + 1) * (1 + max(0, (pos[t] - k * base) / math.sqrt(k * base * (1 - base))) ** 2) for t, k in n.items()}
+
+    def unit(c):
+        v = {t: (1 + math.log(k)) * weight[t] for t, k in c.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors, out = [(unit(c), y) for c, y in examples], []
+    for t in texts:
+        q = unit(counts(t))
+        near = sorted(((sum(x * v.get(k, 0) for k, x in q.items()), y) for v, y in vectors), reverse=True)
+        reach = near[params.neighbours - 1][0] if len(near) >= params.neighbours else 0
+        near = [(c, y) for c, y in near if c > 0 and c >= reach - 1e-9]
+        w = [c / (params.softness + 1 - min(c, 1)) * params.softness for c, _ in near]
+        none = [y for c, y in examples if not c]
+        if q:
+            out.append((sum(x for x, (_, y) in zip(w, near) if y) + params.prior_weight * base) / (sum(w) + params.prior_weight))
+        else:
+            out.append((sum(none) + params.prior_weight * base) / (len(none) + params.prior_weight))
+    return out
+
+
+def test_toxicity_scores_equal_brute_force(spark, frame):
+    random.seed(12)
+    words = [f"word{i}" for i in range(60)] + ["nastily", "nastiest", "nastier"]
+    docs = [(i, " ".join(random.choices(words[: 60 + 3 * (i % 4 == 0)], k=random.randint(1, 14)))) for i in range(150)] + [(150, ""), (151, None), (152, "!?")]
+    labels = [(i, int(i % 4 == 0)) for i in range(0, 153, 2)]
+    model = toxicity.fit(frame(docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = dict(docs)
+    want = brute_scores([t for _, t in docs], [(texts[i], y) for i, y in labels])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(docs), model).collect()}
+    assert max(abs(got[i] - w) for (i, _), w in zip(docs, want)) < 1e-9
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Area under the curve and error of the scores in ten bins, on labels that were not learnt."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
+    rows = [tuple(r) for r in toxicity.score(docs, model).join(labels.filter(toxicity.held_out()), "doc_id").select("score", "toxic").collect()]
+    pos, neg = [s for s, y in rows if y == 1], [s for s, y in rows if y == 0]
+    area = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg))
+    bins = collections.defaultdict(list)
+    for s, y in rows:
+        bins[min(9, int(s * 10))].append((s, y))
+    error = sum(abs(sum(s for s, _ in b) - sum(y for _, y in b)) for b in bins.values()) / len(rows)
+    assert area > 0.95 and error < 0.15 and not any(s >= 0.3 for s in neg)
+
+
 def test_toxicity_of_rare_and_mixed_words(spark, frame):
     """Eight toxic examples whose words are in three of them at most: each has neighbours, and scores differ."""
     random.seed(4)
@@ -247,13 +308,28 @@ def cut_rows():
     rows = [(i, " ".join(random.choice([para(random.randint(1, 50)), random.choice(shared), random.choice(shared)[random.randint(0, 80) :], para(3)]) for _ in range(random.randint(0, 5)))) for i in range(60)]
     base = para(150)
     rows += [(300 + i, base[: 20 * i] + f"ZZ{i}" + base[20 * i + 3 :]) for i in range(45)]
+    rows += nul_rows()
     return [*rows, (500, None), (501, ""), (502, "a" * 1500), (503, rows[3][1]), (3, rows[3][1]), (504, "ab" * 400), (505, shared[0] * 3), (None, rows[7][1]), (506, shared[1][:200]), (507, shared[1][:199])]
 
 
+def nul_rows():
+    """Texts that end, or begin, where others go on with NULs: an end is no NUL."""
+    letters = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for g in range(8):
+        common = letters(185)
+        texts = [letters(300) + common + tail for tail in ("\0" * 20, "", "\0" * 20)] + ["\0" * 20 + common[::-1] + letters(60), common[::-1] + letters(60), "\0" * 20 + common[::-1] + letters(60), common[:170] + "\0" * 40]
+        random.shuffle(texts)
+        rows += [(600 + 10 * g + i, t) for i, t in enumerate(texts)]
+    return rows
+
+
 def test_removed_bytes_equal_brute_force(frame):
     rows = cut_rows()
-    for most in (50_000, 5):
-        assert sorted(map(tuple, suffix_dedup.remove_repeats(frame(rows), most).collect()), key=str) == brute_cut(rows)
+    for most_members, most_rows in ((50_000, 10_000), (5, 10_000), (50_000, 2)):
+        assert sorted(map(tuple, suffix_dedup.remove_repeats(frame(rows), most_members, most_rows).collect()), key=str) == brute_cut(rows)
+    random.shuffle(rows)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(frame(rows)).collect()), key=str) == brute_cut(rows)
     left = suffix_dedup.cut_texts(frame(rows))
     assert left.columns == frame(rows).columns and left.count() == sum(n > removed or n == 0 for _, n, removed, _, _ in brute_cut(rows))
     assert suffix_dedup.remove_repeats(frame(rows).limit(0)).count() == 0
@@ -261,20 +337,29 @@ def test_removed_bytes_equal_brute_force(frame):
 
 def test_classes_over_small_batches():
     random.seed(9)
-    rows = sorted((random.randrange(6), random.randrange(3), random.randrange(5), random.randrange(4) * 300 + 200, 200) for _ in range(300))
-    names, kinds = ["anchor", "around", "key", "at", "room"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16()]
+    rows = sorted((random.randrange(6), random.randrange(2), random.randrange(2), random.randrange(3), random.randrange(2), random.randrange(4) * 300 + 200, 200) for _ in range(300))
+    names, kinds = ["anchor", "near1", "near2", "k1", "k2", "at", "room"], [*[pa.int64()] * 5, pa.int32(), pa.int16()]
     batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names=names)
     for size in (1, 2, 7, 300):
         out = [r for b in suffix_dedup._classes([batch(rows[i : i + size]) for i in range(0, 300, size)]) for r in b.to_pylist()]
-        spans = {(r["key"], r["at"], r["stop"]) for r in out if r["stop"] >= 0}
-        stand = {(r["anchor"], r["key"], r["at"]) for r in out if r["stop"] < 0}
+        spans = {(r["k1"], r["k2"], r["at"], r["stop"]) for r in out if r["stop"] >= 0}
+        stand = {(r["anchor"], r["k1"], r["k2"], r["at"]) for r in out if r["stop"] < 0}
         groups = collections.defaultdict(lambda: collections.defaultdict(set))
-        for a, c, k, at, _ in rows:
-            groups[a][c].add((k, at))
-        assert spans == {(k, at - suffix_dedup.LEFT, at + 200) for g in groups.values() for m in g.values() if len(m) > 1 for k, at in m}
+        for a, c, d, *k, at, _ in rows:
+            groups[a][c, d].add((*k, at))
+        assert spans == {(*k, at - suffix_dedup.LEFT, at + 200) for g in groups.values() for m in g.values() if len(m) > 1 for *k, at in m}
         for a, g in groups.items():
             for m in g.values():
-                assert len(g) < 2 or any((a, k, at) in stand for k, at in m)
+                assert len(g) < 2 or any((a, *place) in stand for place in m)
+
+
+def test_reach_of_texts_that_end_before_nuls():
+    for order in ((0, 1, 2), (1, 0, 2), (0, 2, 1)):
+        rights = [[b"A" * 32 + b"\0" * 20, b"A" * 32, b"A" * 32 + b"\0" * 20][i] for i in order]
+        right = np.frombuffer(b"".join(x.ljust(200, b"\0") for x in rights), np.uint8).reshape(3, 200)
+        left = np.frombuffer(b"".join((b"B" * 150 + bytes([i])).ljust(168, b"\0") for i in range(3)), np.uint8).reshape(3, 168)
+        got = suffix_sort.shared_reach(right, np.array([len(x) for x in rights]), left, np.full(3, 151), np.zeros(3, np.int64), 200)
+        assert [tuple(x) for x in zip(*(y.tolist() for y in got))] == [(52, 150, True) if i != 1 else (0, 0, False) for i in order]
 
 
 def test_deep_shallow_order_and_reach():
@@ -290,7 +375,7 @@ def test_deep_shallow_order_and_reach():
                 s[random.randrange(200)] = random.choice(b"abc")
             rows.append(bytes(s))
         m = np.frombuffer(b"".join(rows), np.uint8).reshape(n, 200)
-        order = suffix_sort.deep_shallow_order(m, group)
+        order = suffix_sort.deep_shallow_order(m, np.full(n, 200), group)
         assert [(group[i], rows[i]) for i in order] == sorted((g, r) for g, r in zip(group, rows))
         left = m[:, ::-1][:, :168].copy()
         got = suffix_sort.shared_reach(m, np.full(n, 200), left, np.full(n, 168), group, 200)
