@@ -33,6 +33,8 @@ from leadloom.plans.storage import materialise
 _WORD = regex.compile(r"[^\W_]+")
 _LONG_PIECE = 200
 _BEGINNINGS = (5, 7)
+#: Marks after a word that need no pattern to be cut off.
+_ENDS = ".,;:!?"
 #: Pieces whose terms are looked up in one call, and queries that meet the index together.
 _PIECES, _QUERIES = 20_000, 64
 #: Terms stored as rows; more than the error of sums in single precision.
@@ -57,7 +59,8 @@ class ToxicityParams:
 
 def terms_of(piece: str) -> list[str]:
     """Terms of a stretch of text: its words in lower case, and beginnings of 5 and 7 letters of longer words."""
-    words = _WORD.findall(piece.lower())
+    low = piece.lower()
+    words = [low] if low.isalpha() else [low[:-1]] if low[-1:] in _ENDS and low[:-1].isalpha() else _WORD.findall(low)
     return words + [w[:k] + "*" for w in words for k in _BEGINNINGS if len(w) > k]
 
 
