@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import norm
@@ -74,14 +74,14 @@ def meta(html: Column, name: str) -> Column:
 
 def emails_in(html: Column, text: Column) -> Column:
     """Addresses of mail links first, then of the text; cleaned, in order, distinct."""
-    mails = F.transform(F.filter(hrefs(html), lambda h: h.rlike("^(?i)mailto:")), lambda h: F.substring(h, 8, 500))
+    mails = F.transform(F.filter(hrefs(html), lambda h: h.rlike("^(?i)mailto:")), lambda h: F.regexp_replace(h, "^(?i)mailto:", ""))
     found = F.concat(mails, _all(text, norm.IGNORE_CASE + P.EMAIL))
     return norm.ordered_distinct(F.transform(found, lambda e: norm.clean_email(unquote(e))))
 
 
 def phones_in(html: Column) -> Column:
     """Numbers of telephone links with seven digits or more."""
-    links = F.transform(F.filter(hrefs(html), lambda h: h.rlike("^(?i)tel:")), lambda h: F.regexp_replace(unquote(F.substring(h, 5, 100)), r"[^\d+]", ""))
+    links = F.transform(F.filter(hrefs(html), lambda h: h.rlike("^(?i)tel:")), lambda h: F.regexp_replace(unquote(F.regexp_replace(h, "^(?i)tel:", "")), r"[^\d+]", ""))
     return norm.ordered_distinct(F.filter(links, lambda d: F.length(F.regexp_replace(d, r"\D", "")) >= 7))
 
 
@@ -128,10 +128,58 @@ def people_in(text: Column, most: int = 8) -> Column:
     return F.slice(norm.first_by(named, lambda p: p["name"]), 1, most)
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """Alternatives of a pattern, cut at the bars outside its groups and classes."""
+    out, depth, cut, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif c == "|" and not depth:
+            out.append(pattern[cut:i])
+            cut = i + 1
+        i += 1
+    return [*out, pattern[cut:]]
+
+
+def _literal(alternative: str) -> tuple[str, bool]:
+    """The characters that an alternative begins with, and whether it has nothing else."""
+    out, i = "", 0
+    while i < len(alternative):
+        c = alternative[i]
+        if c == "\\" and i + 1 < len(alternative) and not alternative[i + 1].isalnum():
+            c, i = alternative[i + 1], i + 1
+        elif c in "?*+{":
+            return out[:-1], False
+        elif c in "\\.[]()^$|":
+            return out, False
+        out, i = out + c, i + 1
+    return out, True
+
+
+def found_in(low: Column, pattern: str) -> Column:
+    """Whether a fingerprint is found in a lower-case text.
+
+    Most are plain strings, which are searched as bytes; other alternatives run only where the string that they begin
+    with stands.
+    """
+    tests = []
+    for alternative in _alternatives(pattern):
+        start, whole = _literal(alternative)
+        test = F.contains(low, F.lit(start)) if start else F.lit(True)
+        tests.append(test if whole else test & low.rlike(alternative))
+    return reduce(lambda a, b: a | b, tests)
+
+
 def technologies(html: Column) -> Column:
     """Names of the fingerprints found in a page, in catalogue order."""
     low = F.lower(F.coalesce(html, F.lit("")))
-    return F.array_compact(F.array(*[F.when(low.rlike(rx), F.lit(name)) for name, _, rx in R.TECHNOLOGIES]))
+    tests = F.transform(F.array(low), lambda t: F.array_compact(F.array(*[F.when(found_in(t, rx), F.lit(name)) for name, _, rx in R.TECHNOLOGIES])))
+    return F.get(tests, F.lit(0))
 
 
 def site_builder(tech: Column) -> Column:
@@ -183,47 +231,81 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Values of a field that a site keeps, the first in the order of its pages; registry ids are all kept.
+MOST = {"tech": len(R.TECHNOLOGIES), "emails": 8, "phones": 5, "legal_names": 3, "job_boards": 4, "people": 8, "inner_people": 8, "pages": 5}
+MOST_LINKS = 3
+
+
+def _page_entries() -> Column:
+    """What a page adds to its site's lists, as (field, key, pos, v); equal keys of a field count once a site."""
+    entry = lambda field, key, pos, *v: F.struct(field.alias("field"), key.alias("key"), pos.cast("int").alias("pos"), F.array(*v).alias("v"))
+    texts = lambda c: F.transform(c, lambda x, i: entry(F.lit(c), x, i, x))
+    mapped = lambda c, mark: F.flatten(F.transform(F.map_entries(c), lambda e: F.transform(e["value"], lambda x, i: entry(F.concat(F.lit(mark), e["key"]), x, i, x))))
+    boards = F.transform("job_boards", lambda b, i: entry(F.lit("job_boards"), F.concat_ws("/", b["ats"], b["token"]), i, b["ats"], b["token"], b["url"]))
+    people = lambda field: F.transform("people", lambda x, i: entry(F.lit(field), x["name"], i, x["name"], x["role"], x["source"]))
+    inner = F.when(F.col("is_home"), F.slice(people("inner_people"), 1, 0)).otherwise(people("inner_people"))
+    page = F.array(entry(F.lit("pages"), F.col("url"), F.lit(0), F.col("final_url")))
+    return F.concat(texts("tech"), texts("emails"), texts("phones"), texts("legal_names"), boards, people("people"), inner, mapped("socials", "link:"), mapped("registry_ids", "id:"), page)
+
+
+def site_values(extracted: DataFrame) -> DataFrame:
+    """(site, field, key, v, first): the distinct values of each list of a site and where each stands first.
+
+    Values are combined before they move, so a site of very many pages is spread like any other.
+    """
+    place = F.struct("inner", "url", "pos")
+    read = extracted.filter("error is null").select("site", "url", (~F.col("is_home")).alias("inner"), F.explode(_page_entries()).alias("e"))
+    rows = read.select("site", "inner", "url", "e.*")
+    return rows.groupBy("site", "field", "key").agg(F.min(place).alias("first"), F.min_by("v", place).alias("v"))
+
+
 def site_rollup(extracted: DataFrame) -> DataFrame:
     """One row a site: what its home page says of itself, contacts and ids of all its pages in order, home first.
 
-    A site is reachable if any of its pages was read; else it has the error and status of its first page.
+    A site is reachable if any of its pages was read; else it has the error and status of its first page. Lists are cut
+    to ``MOST`` values before they are gathered; ``n_pages`` counts all pages that were read.
     """
     order = F.struct((~F.col("is_home")).alias("inner"), F.col("url").alias("url"))
-    ok = extracted.filter("error is null").withColumn("order", order)
-    listed = lambda c: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("order", F.col(c).alias("v")))), lambda x: x["v"]))
+    values = site_values(extracted)
+    rank = Window.partitionBy("site", "field").orderBy("first", "key")
+    is_id = F.startswith("field", F.lit("id:"))
+    first = values.filter(~is_id).withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= max(MOST.values()))
+    first = first.filter(F.col("n") <= F.coalesce(*[F.when(F.col("field") == f, F.lit(m)) for f, m in MOST.items()], F.lit(MOST_LINKS)))
+    ids = values.filter(is_id).withColumn("n", F.lit(0))
+    gathered = first.unionByName(ids).groupBy("site").agg(F.sort_array(F.collect_list(F.struct("field", "n", "first", "v"))).alias("items"))
+    of = lambda field: F.transform(F.filter("items", lambda x: x["field"] == field), lambda x: x["v"])
+    plain = lambda field: F.transform(of(field), lambda v: v[0])
+
+    def keyed(mark: str) -> Column:
+        own = F.filter("items", lambda x: F.startswith(x["field"], F.lit(mark)))
+        keys = F.array_distinct(F.transform(own, lambda x: x["field"]))
+        lists = F.transform(keys, lambda k: F.transform(F.filter(own, lambda x: x["field"] == k), lambda x: x["v"][0]))
+        return F.map_from_arrays(F.transform(keys, lambda k: F.substr(k, F.lit(len(mark) + 1))), lists)
+
+    person = lambda v: F.struct(v[0].alias("name"), v[1].alias("role"), v[2].alias("source"))
+    people = F.when(F.size(of("inner_people")) > 0, of("inner_people")).otherwise(of("people"))
+    lists = gathered.select(
+        "site", F.array_sort(plain("tech")).alias("tech"), plain("emails").alias("emails"), plain("phones").alias("phones"), plain("legal_names").alias("legal_names"),
+        F.transform(of("job_boards"), lambda v: F.struct(v[0].alias("ats"), v[1].alias("token"), v[2].alias("url"))).alias("job_boards"), F.transform(people, person).alias("people"),
+        keyed("link:").alias("socials"), keyed("id:").alias("registry_ids"), plain("pages").alias("pages"),
+    )
     home = lambda c: F.min_by(c, F.when(F.col("is_home"), F.col("order"))).alias(c)
-    socials = F.transform(F.map_entries("socials"), lambda e: F.struct(e["key"], e["value"]))
-    ids = F.transform(F.map_entries("registry_ids"), lambda e: F.struct(e["key"], e["value"]))
-    rows = ok.withColumns({"social_list": socials, "id_list": ids, "inner_people": F.when(~F.col("is_home"), F.col("people")).otherwise(F.slice("people", 1, 0))})
-    out = rows.groupBy("site").agg(
+    facts = extracted.filter("error is null").withColumn("order", order).groupBy("site").agg(
         home("final_url"), home("title"), home("description"), home("lang"), home("mobile"), home("cookie_notice"), home("copyright_year"), home("cert_ok"), home("checked"),
-        F.max("has_form").alias("has_form"), F.max("privacy_link").alias("privacy_link"),
-        F.array_sort(F.array_distinct(listed("tech"))).alias("tech"),
-        F.slice(F.array_distinct(listed("emails")), 1, 8).alias("emails"),
-        F.slice(F.array_distinct(listed("phones")), 1, 5).alias("phones"),
-        F.slice(F.array_distinct(listed("legal_names")), 1, 3).alias("legal_names"),
-        F.slice(norm.first_by(listed("job_boards"), lambda b: F.concat_ws("/", b["ats"], b["token"])), 1, 4).alias("job_boards"),
-        listed("inner_people").alias("inner_people"), listed("people").alias("all_people"),
-        listed("social_list").alias("social_list"), listed("id_list").alias("id_list"),
-        F.transform(F.sort_array(F.collect_list(F.struct("order", F.col("final_url").alias("v")))), lambda x: x["v"]).alias("pages"),
+        F.max("has_form").alias("has_form"), F.max("privacy_link").alias("privacy_link"), F.count("*").alias("n_pages"),
     )
-    merged = lambda c, most: reduce_lists(F.col(c), most)
-    people = F.when(F.size("inner_people") > 0, F.col("inner_people")).otherwise(F.col("all_people"))
-    out = out.withColumns({"socials": merged("social_list", 3), "registry_ids": merged("id_list", 1000), "people": F.slice(norm.first_by(people, lambda p: p["name"]), 1, 8), "builder": site_builder(F.col("tech"))})
-    out = out.withColumns({"https": F.startswith("final_url", F.lit("https")), "reachable": F.lit(True)})
+    out = facts.join(lists, "site").withColumns({"builder": site_builder(F.col("tech")), "https": F.startswith("final_url", F.lit("https")), "reachable": F.lit(True)})
     tried = extracted.groupBy("site").agg(F.min_by("error", order).alias("first_error"), F.min_by("status", order).alias("first_status"), F.max("checked").alias("tried"))
-    joined = tried.join(out.drop("inner_people", "all_people", "social_list", "id_list"), "site", "left")
+    joined = tried.join(out, "site", "left")
     reachable = F.coalesce("reachable", F.lit(False))
     return joined.withColumns({
         "error": F.when(~reachable, F.col("first_error")), "status": F.when(~reachable, F.col("first_status")), "checked": F.coalesce("checked", "tried"), "reachable": reachable,
     }).drop("tried", "first_error", "first_status")
 
 
-def reduce_lists(entries: Column, most: int) -> Column:
-    """Map from a list of (key, list): values of equal keys joined in order, distinct, at most ``most`` each."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    values = lambda k: F.flatten(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.slice(F.array_distinct(values(k)), 1, most)))
+def single_or_list(ids: Column) -> Column:
+    """Text of a list of ids: the id itself where there is one, else a JSON list."""
+    return F.when(F.size(ids) == 1, F.get(ids, F.lit(0))).otherwise(F.to_json(ids))
 
 
 def site_signals(site: DataFrame, as_of: datetime.date) -> DataFrame:
@@ -240,21 +322,38 @@ def site_signals(site: DataFrame, as_of: datetime.date) -> DataFrame:
 
 
 def apply_sites(leads: DataFrame, sites: DataFrame, as_of: datetime.date) -> DataFrame:
-    """Leads with their crawl: site block replaced, new addresses, phones, links, ids, people and signals appended."""
+    """Leads with their crawl: site block replaced, new addresses, phones, links, ids, people and signals appended.
+
+    A lead's own registry ids and legal name stay; of several ids of a registry the text is a JSON list. Columns socials,
+    legal and people are filled where the leads have them.
+    """
     day = F.lit(as_of.isoformat())
-    s = sites.select(
-        F.col("site").alias("website"), F.struct("final_url", "reachable", "error", "https", "cert_ok", "title", "description", "lang", "mobile", "has_form", "privacy_link", "cookie_notice", "copyright_year", "builder", "tech", "pages", "checked").alias("crawl"),
-        F.col("emails").alias("new_emails"), F.col("phones").alias("new_phones"), F.col("legal_names").alias("new_names"),
-    )
+    block = ["final_url", "reachable", "status", "error", "https", "cert_ok", "title", "description", "lang", "mobile", "has_form", "privacy_link", "cookie_notice", "copyright_year", "builder", "tech", "pages", "job_boards", "checked"]
+    fresh = ["emails", "phones", "legal_names", "socials", "registry_ids", "people"]
+    s = sites.select(F.col("site").alias("website"), F.struct(F.col("site").alias("url"), *block).alias("crawl"), *[F.col(c).alias(f"new_{c}") for c in fresh])
     signals = site_signals(sites, as_of).groupBy(F.col("site").alias("website")).agg(F.sort_array(F.collect_list(F.struct("type", "value"))).alias("new_signals"))
     joined = leads.drop("site").join(s, "website", "left").join(signals, "website", "left")
+    kinds = dict(leads.dtypes)
+    none = lambda c: F.coalesce(c, F.array())
     emails = F.transform("new_emails", lambda e: F.struct(e.alias("value"), F.lit("site").alias("source"), norm.email_type(e).alias("type"), F.lit("none").alias("verified")))
-    kind = dict(leads.dtypes)["emails"]
-    phones = F.transform("new_phones", lambda p: F.regexp_replace(p, r"\D", ""))
+    fields = {f.name for f in leads.schema["emails"].dataType.elementType.fields}
+    emails = F.transform(emails, lambda e: F.struct(*[e[f].alias(f) for f in ("value", "source", "type", "verified") if f in fields]))
+    phones = F.filter(F.transform("new_phones", lambda p: F.regexp_replace(p, r"\D", "")), lambda d: F.length(d) > 0)
     with_signals = reduce(lambda acc, t: norm.add_signal(acc, t, F.get(F.filter("new_signals", lambda n: n["type"] == t), F.lit(0))["value"], F.col("crawl.final_url"), day, F.exists("new_signals", lambda n: n["type"] == t)), ["outdated_site", "no_https", "broken_ssl", "not_mobile_friendly", "form_without_privacy_link"], F.col("signals"))
-    return joined.withColumns({
-        "emails": norm.first_by(F.concat("emails", F.coalesce(emails, F.array()).cast(kind)), lambda e: e["value"]),
-        "phones": norm.ordered_distinct(F.concat("phones", F.coalesce(phones, F.array().cast("array<string>")))),
+    changes = {
+        "emails": norm.first_by(F.concat("emails", none(emails).cast(kinds["emails"])), lambda e: e["value"]),
+        "phones": norm.ordered_distinct(F.concat("phones", none(phones).cast("array<string>"))),
         "signals": with_signals,
         "site": F.col("crawl"),
-    }).drop("crawl", "new_emails", "new_phones", "new_names", "new_signals")
+    }
+    if "socials" in kinds:
+        no_links = F.create_map().cast("map<string,array<string>>")
+        changes["socials"] = F.map_zip_with(F.coalesce("socials", no_links), F.coalesce("new_socials", no_links), lambda _, a, b: F.array_distinct(F.concat(none(a).cast("array<string>"), none(b).cast("array<string>"))))
+    if "legal" in kinds:
+        ids = F.coalesce("legal.registry_ids", F.create_map().cast("map<string,string>"))
+        more = F.map_filter(F.transform_values(F.coalesce("new_registry_ids", F.create_map().cast("map<string,array<string>>")), lambda _, v: single_or_list(v)), lambda k, _: ~F.map_contains_key(ids, k))
+        name = F.coalesce(norm.blank_to_null(F.col("legal.name")), F.get("new_legal_names", F.lit(0)))
+        changes["legal"] = F.struct(name.alias("name"), F.map_concat(ids, more).alias("registry_ids"))
+    if "people" in kinds:
+        changes["people"] = norm.first_by(F.concat("people", none(F.col("new_people")).cast(kinds["people"])), lambda p: p["name"])
+    return joined.withColumns(changes).drop("crawl", "new_signals", *[f"new_{c}" for c in fresh])

@@ -154,7 +154,7 @@ def fold_groups(fragments: DataFrame, components: DataFrame) -> DataFrame:
     out = scalars.join(mapped, "component", "left")
     values = lambda c: F.coalesce(F.col("lists")[c], F.array().cast("array<string>"))
     part = lambda prefix: F.map_filter(F.coalesce("lists", F.create_map().cast("map<string,array<string>>")), lambda k, v: F.startswith(k, F.lit(prefix)))
-    strip = lambda m, n: F.transform_keys(m, lambda k, v: F.substring(k, n + 1, 1000))
+    strip = lambda m, n: F.transform_keys(m, lambda k, v: F.substr(k, F.lit(n + 1)))
     return out.select(
         norm.lead_id(F.array("website"), F.col("name"), F.col("city"), values("phones")).alias("id"),
         *SCALARS,

@@ -32,9 +32,9 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites folded from their pages."""
+    """Sites folded from their pages: what their home pages say, and what any of their pages shows."""
     out = pages.site_rollup(pages.extract_pages(landed_pages(spark, sf_dir)))
-    return out.select("site", "reachable", F.size("pages").alias("n_pages"), "has_form", "https", "builder")
+    return out.select("site", "reachable", "error", "status", "n_pages", "final_url", "has_form", "privacy_link", "https", "cert_ok", "mobile", "title", "lang", "builder", "checked")
 
 
 def site_signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,9 @@ ORACLES = {
 SELECT page_id, CASE WHEN failed THEN 'HTTPError' END AS error, left(trim(replace(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), '&amp;', '&')), 200) AS title, nullif(regexp_extract(html, '(?i)<html[^>]+lang=["'']([\w-]+)', 1), '') AS lang,
   coalesce(regexp_matches(html, '(?i)<meta[^>]+name=["'']viewport'), false) AS mobile, coalesce(html ILIKE '%<form%', false) AS has_form, coalesce(regexp_matches(html, '(?i)privacy|datenschutz|confidential|privacidad|privacidade'), false) AS privacy_link,
   coalesce(length(html), 0) AS bytes, coalesce(len(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"'']+)', 1)), 0) AS n_links, coalesce(len(regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["''][^"'']+["''][^>]*>.*?</a>')), 0) AS n_anchors FROM p""",
-    "site_pages": _SITES + """ SELECT site, n > 0 AS reachable, CASE WHEN n > 0 THEN n ELSE NULL END AS n_pages, CASE WHEN n > 0 THEN has_form END AS has_form, starts_with(home, 'https') AS https, CASE WHEN n > 0 THEN 'other' END AS builder FROM homes""",
+    "site_pages": _SITES + r""", h AS (SELECT site, url, html, cert FROM (SELECT site, url, html, k % 5 <> 3 AS cert, row_number() OVER (PARTITION BY site ORDER BY url) AS i FROM p WHERE k % 2 = 0 AND k % 8 <> 7) WHERE i = 1)
+SELECT site, n > 0 AS reachable, CASE WHEN n = 0 THEN 'HTTPError' END AS error, CASE WHEN n = 0 THEN 404 END AS status, CASE WHEN n > 0 THEN n END AS n_pages, h.url AS final_url, CASE WHEN n > 0 THEN has_form END AS has_form, CASE WHEN n > 0 THEN homes.privacy END AS privacy_link, starts_with(h.url, 'https') AS https, h.cert AS cert_ok,
+  regexp_matches(h.html, '(?i)<meta[^>]+name=["'']viewport') AS mobile, left(trim(replace(nullif(regexp_extract(h.html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), '&amp;', '&')), 200) AS title, nullif(regexp_extract(h.html, '(?i)<html[^>]+lang=["'']([\w-]+)', 1), '') AS lang, CASE WHEN n > 0 THEN 'other' END AS builder, '2024-01-01' AS checked FROM homes LEFT JOIN h USING (site)""",
     "site_signal_counts": _SITES + """, t AS (
   SELECT unnest(list_filter([CASE WHEN NOT coalesce(starts_with(home, 'https'), false) THEN 'no_https' END, CASE WHEN NOT cert_ok THEN 'broken_ssl' END, CASE WHEN NOT coalesce(mobile, false) THEN 'not_mobile_friendly' END,
     CASE WHEN has_form AND NOT privacy THEN 'form_without_privacy_link' END], lambda x: x IS NOT NULL)) AS type FROM homes WHERE n > 0
