@@ -8,9 +8,10 @@ sorted by deep-shallow suffix sorting, and the common prefixes of the two orders
 repeated (see ``suffix_sort``). Only that text moves. Texts are named by two 64-bit hashes; texts that occur as a whole
 more than once are removed as a whole.
 
-No anchor is brought together in one task, however often it occurs. Those with more than ``MOST_ROWS`` occurrences are
-combined by their surroundings before they move, which gives the same classes. Those with more than ``MOST_MEMBERS``
-different surroundings are not sorted: their strings are hashed one by one and counted by a distributed aggregation.
+No anchor's occurrences are all brought together in one task. Those of anchors with more than ``MOST_ROWS`` are dealt by
+their surroundings and, within equal ones, to ``PARTS`` parts; one of each part then meets those of the others, which
+gives the same classes. Those with more than ``MOST_MEMBERS`` different surroundings are not sorted: their strings are
+hashed one by one and counted by a distributed aggregation.
 """
 
 from __future__ import annotations
@@ -19,17 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.batches import ready, release, slices
 from leadloom.llm.suffix_sort import shared_reach
-from leadloom.plans.storage import join_ids, materialise
+from leadloom.plans.storage import BROADCAST_IDS, join_ids, materialise
 
 SPAN, GRAM = 200, 32
 LEFT = SPAN - GRAM
 #: Surroundings of one anchor that a task may hold (about 20 MB of text), and rows of one that may go to one task.
 MOST_MEMBERS, MOST_ROWS = 50_000, 10_000
+#: Parts that the occurrences with equal surroundings of such an anchor are dealt to.
+PARTS = 64
 
 _CHUNK_BITS = 18
 _RNG = np.random.default_rng(20240101)
@@ -37,6 +40,7 @@ _TABLE, _TABLE_2 = (_RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + n
 _STEP, _STEP_2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _KEY = ["k1", "k2"]
 _ANCHORS = "anchor long, near1 long, near2 long, k1 long, k2 long, at int, room short"
+_FOUND = "anchor long, near1 long, near2 long, k1 long, k2 long, at int, room short, stop int"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -127,11 +131,12 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors sorted with their surroundings: what equal surroundings repeat, and what must be compared.
+    """Of anchors sorted by part and surroundings: what equal surroundings repeat, and what must be compared.
 
-    Rows (anchor, k1, k2, at, stop): with a stop, the bytes from ``at`` to there are repeated; without, the surroundings
-    of this anchor stand for their equals and meet different ones. Of an anchor that goes on in the next batch only its
-    first and its last row are carried, however often it occurs.
+    Rows of ``_FOUND``. With a stop of 0 or more, the bytes from ``at`` to there are repeated. With -1, the surroundings
+    of this anchor stand for their equals and meet different ones. With -2, the row is one of an anchor that is dealt to
+    several parts (other than 0), and meets those of the others. Of a part that goes on in the next batch only its first
+    and its last row are carried, however long it is.
     """
     carried: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     for batch in batches:
@@ -142,37 +147,35 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carried is not None:
             rows = np.concatenate([carried[0], rows], axis=1)
             told, shown = np.concatenate([carried[1], told]), np.concatenate([carried[2], shown])
-        same_place = (rows[[0, 3, 4, 5], 1:] == rows[[0, 3, 4, 5], :-1]).all(0)
+        same_place = (rows[[0, 1, 4, 5, 6], 1:] == rows[[0, 1, 4, 5, 6], :-1]).all(0)
         fresh = np.concatenate(([True], ~same_place))
         rows, told, shown = rows[:, fresh], told[fresh], shown[fresh]
-        anchor, near1, near2, k1, k2, at, room = rows
-        joint = anchor[1:] == anchor[:-1]
+        anchor, part, near1, near2, k1, k2, at, room = rows
+        joint = (anchor[1:] == anchor[:-1]) & (part[1:] == part[:-1])
         equal = joint & (near1[1:] == near1[:-1]) & (near2[1:] == near2[:-1])
         repeated = np.concatenate(([False], equal)) | np.concatenate((equal, [False]))
         first = np.flatnonzero(np.concatenate(([True], ~equal)))
-        pair = anchor[first][1:] == anchor[first][:-1]
+        pair = (anchor[first][1:] == anchor[first][:-1]) & (part[first][1:] == part[first][:-1])
         meets = np.zeros(anchor.size, bool)
-        meets[first] = np.concatenate(([False], pair)) | np.concatenate((pair, [False]))
+        meets[first] = np.concatenate(([False], pair)) | np.concatenate((pair, [False])) | (part[first] != 0)
         span, stand = repeated & ~told, meets & ~shown
-        head = int(np.searchsorted(anchor, anchor[-1]))
+        head = int(np.flatnonzero(np.concatenate(([True], ~joint)))[-1])
         keep = [head, anchor.size - 1] if head < anchor.size - 1 else [head]
         carried = rows[:, keep], (told | span)[keep], (shown | stand)[keep]
+        stop = np.concatenate([at[span] + room[span], np.where(part[stand] != 0, -2, -1)])
         out_at = np.concatenate([np.maximum(at[span] - LEFT, 0), at[stand]])
-        stop = np.concatenate([at[span] + room[span], np.full(int(stand.sum()), -1)])
-        both = [np.concatenate([x[span], x[stand]]) for x in (anchor, k1, k2)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*both, out_at, stop)], names=["anchor", "k1", "k2", "at", "stop"])
+        none = np.zeros(int(span.sum()), np.int64)  # what spans need not tell
+        columns = [np.concatenate([anchor[span], anchor[stand]]), *(np.concatenate([none, x[stand]]) for x in (near1, near2))]
+        columns += [np.concatenate([x[span], x[stand]]) for x in (k1, k2)]
+        columns += [out_at.astype(np.int32), np.concatenate([none, room[stand]]).astype(np.int16), stop.astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "near1", "near2", "k1", "k2", "at", "room", "stop"])
 
 
-def _hot_classes(rows: DataFrame) -> DataFrame:
-    """What ``_classes`` gives, by aggregations that combine equal surroundings before they move."""
-    rows = materialise(rows.distinct(), "hot-anchors")
-    near, place = ["anchor", "near1", "near2"], F.struct("k1", "k2", "at")
-    classes = materialise(rows.groupBy(near).agg(F.min(place).alias("least"), F.max(place).alias("most")), "hot-classes")
-    spans = rows.join(classes.filter("least <> most").select(near).hint("merge"), near, "left_semi")
-    spans = spans.select("anchor", "k1", "k2", F.greatest(F.lit(0), F.col("at") - LEFT).cast("long").alias("at"), (F.col("at") + F.col("room")).cast("long").alias("stop"))
-    several = classes.groupBy("anchor").count().filter("count > 1").select("anchor")
-    stands = join_ids(classes, several, "anchor").select("anchor", "least.k1", "least.k2", F.col("least.at").cast("long").alias("at"), F.lit(-1).cast("long").alias("stop"))
-    return spans.unionByName(stands)
+def _classified(anchors: DataFrame, part: Column) -> DataFrame:
+    """``_classes`` of anchors, dealt by anchor and part."""
+    rows = anchors.select("anchor", part.cast("long").alias("part"), "near1", "near2", *_KEY, "at", "room")
+    rows = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "near1", "near2", *_KEY, "at")
+    return rows.mapInArrow(_classes, _FOUND)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,16 +296,16 @@ def repeated_spans(docs: DataFrame, most_members: int = MOST_MEMBERS, most_rows:
     copies = copies.filter("n > 1").select(*_KEY, F.lit(0).cast("long").alias("start"), "stop")
 
     anchors = materialise(texts.select(*_KEY, "data").mapInArrow(_anchors, _ANCHORS), "anchors")
-    hot = materialise(anchors.groupBy("anchor").count().filter(F.col("count") > most_rows).select("anchor"), "hot-anchor-ids")
-    any_hot = hot.limit(1).count() > 0
-    usual = join_ids(anchors, hot, "anchor", "left_anti") if any_hot else anchors
-    usual = usual.repartition("anchor").sortWithinPartitions("anchor", "near1", "near2", *_KEY, "at")
-    classes = usual.mapInArrow(_classes, "anchor long, k1 long, k2 long, at long, stop long")
-    if any_hot:
-        classes = classes.unionByName(_hot_classes(join_ids(anchors, hot, "anchor")))
-    classes = materialise(classes, "anchor-classes")
-    equal = classes.filter("stop >= 0").select(*_KEY, F.col("at").alias("start"), "stop")
-    members = classes.filter("stop < 0").select("anchor", *_KEY, F.col("at").cast("int").alias("at"))
+    hot = anchors.groupBy("anchor").count().filter(F.col("count") > most_rows).select("anchor", F.lit(True).alias("hot"))
+    hot = materialise(hot, "hot-anchors")
+    few = hot.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = anchors.join(F.broadcast(hot) if few else hot, "anchor", "left")
+    part = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("near1", "near2", F.pmod(F.xxhash64(*_KEY, "at"), F.lit(PARTS))), F.lit((1 << 31) - 1))).otherwise(0)
+    classes = materialise(_classified(marked, part), "anchor-classes")
+    parts = classes.filter("stop = -2").drop("stop")
+    classes = classes.filter("stop > -2").unionByName(materialise(_classified(parts, F.lit(0)), "part-classes"))
+    equal = classes.filter("stop >= 0").select(*_KEY, F.col("at").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    members = classes.filter("stop < 0").select("anchor", *_KEY, "at")
     crowded = materialise(members.groupBy("anchor").count().filter(F.col("count") > most_members).select("anchor"), "crowded-anchors")
     any_crowded = crowded.limit(1).count() > 0
 

@@ -337,20 +337,25 @@ def test_removed_bytes_equal_brute_force(frame):
 
 def test_classes_over_small_batches():
     random.seed(9)
-    rows = sorted((random.randrange(6), random.randrange(2), random.randrange(2), random.randrange(3), random.randrange(2), random.randrange(4) * 300 + 200, 200) for _ in range(300))
-    names, kinds = ["anchor", "near1", "near2", "k1", "k2", "at", "room"], [*[pa.int64()] * 5, pa.int32(), pa.int16()]
+    made = ((random.randrange(6), random.randrange(2), random.randrange(2), random.randrange(3), random.randrange(2), random.randrange(4) * 300 + 200, 200) for _ in range(300))
+    rows = sorted((a, random.randrange(1, 4) if a > 3 else 0, *rest) for a, *rest in made)  # anchors above 3 are dealt to parts
+    names, kinds = ["anchor", "part", "near1", "near2", "k1", "k2", "at", "room"], [*[pa.int64()] * 6, pa.int32(), pa.int16()]
     batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names=names)
     for size in (1, 2, 7, 300):
         out = [r for b in suffix_dedup._classes([batch(rows[i : i + size]) for i in range(0, 300, size)]) for r in b.to_pylist()]
         spans = {(r["k1"], r["k2"], r["at"], r["stop"]) for r in out if r["stop"] >= 0}
-        stand = {(r["anchor"], r["k1"], r["k2"], r["at"]) for r in out if r["stop"] < 0}
+        stand = {(r["anchor"], r["k1"], r["k2"], r["at"]) for r in out if r["stop"] == -1}
+        one_each = {(r["anchor"], r["near1"], r["near2"], r["k1"], r["k2"], r["at"]) for r in out if r["stop"] == -2}
         groups = collections.defaultdict(lambda: collections.defaultdict(set))
-        for a, c, d, *k, at, _ in rows:
-            groups[a][c, d].add((*k, at))
+        for a, p, c, d, *k, at, _ in rows:
+            groups[a, p][c, d].add((*k, at))
         assert spans == {(*k, at - suffix_dedup.LEFT, at + 200) for g in groups.values() for m in g.values() if len(m) > 1 for *k, at in m}
-        for a, g in groups.items():
-            for m in g.values():
-                assert len(g) < 2 or any((a, *place) in stand for place in m)
+        for (a, p), g in groups.items():
+            for near, m in g.items():
+                if p:
+                    assert any((a, *near, *place) in one_each for place in m)
+                else:
+                    assert len(g) < 2 or any((a, *place) in stand for place in m)
 
 
 def test_reach_of_texts_that_end_before_nuls():
