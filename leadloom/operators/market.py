@@ -5,14 +5,18 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import norm
 from leadloom.functions import patterns as P
 from leadloom.plans.storage import materialise
 
+#: What segments may be scored by.
+METRICS = ["gap_pct", "median_rating", "median_reviews", "messenger_pct", "n", "email_pct", "no_own_site_pct", "own_site_pct", "phone_pct", "site_issue_pct", "sites_crawled", "social_only_pct"]
 ORDER_FIELDS = ["source_id", "url", "title", "description", "budget", "budget_max", "currency", "category", "offers", "created", "type", "channel", "buyer"]
 
 
@@ -54,6 +58,36 @@ class MarketConfig:
     reach_metric: str = "messenger_pct"
 
 
+class MarketError(ValueError):
+    """A rule of the user's configuration that cannot be used, by name."""
+
+
+def check_config(cfg: MarketConfig) -> None:
+    """Raise ``MarketError`` for rules without name or pattern, broken patterns, and unknown metrics."""
+    jvm = SparkSession.getActiveSession()._jvm
+
+    def pattern(rx: str, what: str) -> None:
+        try:
+            jvm.java.util.regex.Pattern.compile(norm.IGNORE_CASE + rx)
+        except Py4JJavaError as e:
+            raise MarketError(f"{what}: bad pattern {rx!r}: {e.java_exception.getMessage()}") from None
+
+    for kind, rules in (("products", cfg.products), ("clusters", cfg.clusters)):
+        for r in rules:
+            if not r.name or not r.matches:
+                raise MarketError(f"{kind}: a rule needs name and matches: {r}")
+            pattern(r.matches, f"{kind}: {r.name!r}")
+    for s in cfg.segments:
+        if not s.name or not s.demand:
+            raise MarketError(f"segments: a segment needs name and demand: {s}")
+        pattern(s.demand, f"segments: demand of {s.name!r}")
+        if s.supply:
+            pattern(s.supply, f"segments: supply of {s.name!r}")
+    for metric in (cfg.gap_metric, cfg.reach_metric):
+        if metric not in METRICS:
+            raise MarketError(f"score: metric {metric!r} is none of {METRICS}")
+
+
 # --- orders ---------------------------------------------------------------------------------------------------------
 
 
@@ -155,6 +189,7 @@ def prepare_orders(raw: DataFrame, cfg: MarketConfig, as_of: datetime.date) -> D
     Cleaning and labelling texts is the costly part and every table reads the result several times, so it is written
     once; the amount depends on the currency that most of the written orders have.
     """
+    check_config(cfg)
     orders = current_orders(latest_orders(normalize_orders(raw)), cfg, as_of).withColumn("product", product_label(cfg))
     orders = materialise(orders, "orders")
     return orders.withColumn("amount", amount(main_currency(orders, cfg), cfg.rates))
@@ -167,14 +202,24 @@ def quantiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, median, p25, p75) of the values that are not null.
 
     The quartiles are the values at places ⌊n/4⌋ and ⌊3n/4⌋ of the sorted list, the median the mean of the middle ones.
-    Equal values are counted before anything is ordered, so a group is as long as its distinct values.
+    Equal values are counted first. Values then share buckets of a thousandth of a doubling, whose number does not grow
+    with the data; buckets are summed in order, and only those that hold one of the places are looked into.
     """
+    size = F.floor(F.log2(F.abs(F.col(value)) + 1) * 1024)
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
-    order, whole = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
-    counted = counted.withColumns({"upto": F.sum("k").over(order), "n": F.sum("k").over(whole)})
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    counted = counted.withColumn("bucket", (F.signum(value) * size).cast("long"))
+    buckets = counted.groupBy(*keys, "bucket").agg(F.sum("k").alias("in_bucket"))
+    before, whole = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    buckets = buckets.withColumns({"base": F.coalesce(F.sum("in_bucket").over(before), F.lit(0)), "n": F.sum("in_bucket").over(whole)})
     last = F.col("n") - 1
-    return counted.groupBy(*keys).agg(
+    places = [F.floor(last / 2), F.floor(F.col("n") / 2), F.least(last, F.floor(F.col("n") * 0.25)), F.least(last, F.floor(F.col("n") * 0.75))]
+    wanted = reduce(lambda a, b: a | b, [(F.col("base") <= p) & (p < F.col("base") + F.col("in_bucket")) for p in places])
+    wanted = buckets.filter(wanted).select(*[F.col(c).alias(f"_{c}") for c in [*keys, "bucket"]], "base", "n")
+    joined = counted.join(wanted, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, "bucket"]]))
+    inside = Window.partitionBy(*keys, "bucket").orderBy(value)
+    found = joined.withColumn("upto", F.col("base") + F.sum("k").over(inside)).withColumn("from", F.col("upto") - F.col("k"))
+    at = lambda place: F.min(F.when((F.col("from") <= place) & (F.col("upto") > place), F.col(value)))
+    return found.groupBy(*keys).agg(
         F.max("n").alias("n"),
         ((at(F.floor(last / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"),
         at(F.least(last, F.floor(F.col("n") * 0.25))).alias("p25"),
@@ -227,6 +272,7 @@ def rule_hits(orders: DataFrame, rules: Iterable[Rule]) -> DataFrame:
 
 def clusters_table(orders: DataFrame, cfg: MarketConfig) -> DataFrame:
     """Statistics of each cluster, clusters without orders included, and how many links and titles ``cluster_hits`` has."""
+    check_config(cfg)
     spark = orders.sparkSession
     rules = spark.createDataFrame([(r.name, r.matches, r.note) for r in cfg.clusters], "rule string, matches string, note string")
     hits = rule_hits(orders, cfg.clusters)
@@ -397,6 +443,7 @@ def segment_scores(orders: DataFrame, leads: DataFrame, cfg: MarketConfig) -> Da
 
     A segment without supply scores 0 for gap and reach; control segments are scored alike and come last.
     """
+    check_config(cfg)
     spark = orders.sparkSession
     listed = [(s.name, s.control, s.note) for s in cfg.segments]
     names = spark.createDataFrame(listed, "segment string, control boolean, note string")

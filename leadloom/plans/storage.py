@@ -6,6 +6,7 @@ lost at any time; such a table survives them, and its readers never recompute wh
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ BROADCAST_IDS = 200_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the session's ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
+    """A new folder name below the session's ``spark.checkpoint.dir``; a temporary one in local mode where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="leadloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -39,12 +39,21 @@ def read_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 def read_snapshots(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """Raw snapshots under ``root/<source>/<day>/<unit>.jsonl``, with source, day, unit and pos from the path and line.
 
-    ``pos`` orders the rows of a file; filters on source and day are pushed to the paths that are read.
+    ``pos`` orders the rows of a file, however it is split; filters on source and day are pushed to the paths read.
     """
     rows = spark.read.schema(schema).option("ignoreMissingFiles", True).json(f"{root}/*/*/*.jsonl")
     path = F.url_decode(F.col("_metadata.file_path"))
     part = lambda n: F.regexp_extract(path, r"([^/]+)/([^/]+)/([^/]+)\.jsonl$", n)
-    return rows.select("*", part(1).alias("_source"), part(2).alias("day"), part(3).alias("unit"), F.monotonically_increasing_id().alias("pos"))
+    return rows.select("*", part(1).alias("_source"), part(2).alias("day"), part(3).alias("unit"), file_place().alias("pos"))
+
+
+def file_place() -> Column:
+    """Place of a row in its file: ascending over all parts of the file, whatever the cluster and the size of parts.
+
+    A part's first byte plus the row's number in its task. A part has fewer rows than bytes, and a part that is not the
+    last of its file fills a task alone, so places of one part lie below those of the next.
+    """
+    return F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
 
 
 def latest_snapshot(rows: DataFrame) -> DataFrame:
@@ -55,7 +64,7 @@ def latest_snapshot(rows: DataFrame) -> DataFrame:
 
 def of_kind(rows: DataFrame, catalogue: DataFrame, kind: str) -> DataFrame:
     """Rows of the sources that a catalogue (source, kind) says are of a kind."""
-    return rows.join(F.broadcast(catalogue.filter(F.col("kind") == kind).select("source")), "source", "left_semi")
+    return rows.join(catalogue.filter(F.col("kind") == kind).select("source"), "source", "left_semi")
 
 
 def union_sources(tables: Iterable[DataFrame]) -> DataFrame:
@@ -93,23 +102,33 @@ def guess_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """A list to import: CSV with any of three delimiters, JSON lines, a JSON list, or ``{"items": […]}``."""
+    """A list to import: CSV with any of three delimiters, JSON lines, a JSON list, or ``{"items": […]}``.
+
+    ``_pos`` is the row's place in its file.
+    """
     if path.endswith((".jsonl", ".ndjson")):
-        return spark.read.json(path)
-    if path.endswith(".json"):
+        found = spark.read.json(path)
+    elif path.endswith(".json"):
         found = spark.read.option("multiLine", True).json(path)
-        return found.select(F.explode("items").alias("x")).select("x.*") if found.columns == ["items"] else found
-    return spark.read.option("header", True).option("sep", guess_delimiter(spark, path)).option("encoding", "UTF-8").csv(path)
+        if found.columns == ["items"]:
+            return found.select(F.posexplode("items").alias("_pos", "x")).select(F.col("_pos").cast("long").alias("_pos"), "x.*")
+    else:
+        found = spark.read.option("header", True).option("sep", guess_delimiter(spark, path)).option("encoding", "UTF-8").csv(path)
+    return found.select("*", file_place().alias("_pos"))
 
 
 def map_aliases(rows: DataFrame, segment: str | None = None, unit: str = "list") -> DataFrame:
     """Raw businesses from a list with headers of any usual name.
 
     List cells are split at ``; , |``, and the lists of all alias columns joined; other fields take the first filled
-    alias; what no field uses goes to the map ``extra``; rows with neither name nor site are dropped.
+    alias; what no field uses goes to the map ``extra``; rows with neither name nor site are dropped. Ids name the row's
+    place, which ``read_list`` gives; rows from elsewhere are numbered as they come.
     """
     by_name: dict[str, Column] = {}
+    place = F.col("_pos") if "_pos" in rows.columns else F.monotonically_increasing_id()
     for c in rows.columns:
+        if c == "_pos":
+            continue
         by_name.setdefault(" ".join(c.replace("_", " ").split()).lower(), F.col(f"`{c}`"))
     text = lambda c: norm.blank_to_null(c.cast("string"))
     out = []
@@ -129,7 +148,7 @@ def map_aliases(rows: DataFrame, segment: str | None = None, unit: str = "list")
     rest = [x for n, c in by_name.items() if n not in used for x in (F.lit(n), text(c))]
     extra = F.map_filter(F.create_map(*rest), lambda k, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
     seg = F.lit(segment) if segment else (text(by_name["segment"]) if "segment" in by_name else F.lit(None).cast("string"))
-    mapped = rows.select(*out, extra.alias("extra"), seg.alias("segment"), F.monotonically_increasing_id().alias("pos"))
+    mapped = rows.select(*out, extra.alias("extra"), seg.alias("segment"), place.alias("pos"))
     mapped = mapped.filter(norm.truthy_text(F.col("name")) | (F.size("sites") > 0))
     nets = [x for k in ("linkedin", "facebook", "instagram", "telegram", "whatsapp") for x in (F.lit(k), F.col(k))]
     socials = F.map_filter(F.create_map(*nets), lambda k, v: F.size(v) > 0)

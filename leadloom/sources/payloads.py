@@ -353,7 +353,7 @@ def board_orders(landed: DataFrame, categories: DataFrame | None = None) -> Data
     page = F.from_json(F.regexp_extract("payload", r'(?s)"pagination":(\{.*\})', 1), _BOARD)
     w = landed.select(*_BASE, F.posexplode(page["data"]).alias("i", "w")).select(*_BASE, "i", "w.*").withColumn("source_id", F.col("id"))
     w = _once(w)
-    w = w.join(F.broadcast(categories), "category_id", "left") if categories is not None else w.withColumn("category", F.lit(None).cast("string"))
+    w = w.join(categories, "category_id", "left") if categories is not None else w.withColumn("category", F.lit(None).cast("string"))
     return w.select(
         *_BASE, "source_id", F.concat(F.lit("https://kwork.ru/projects/"), F.col("id").cast("string")).alias("url"), F.col("name").alias("title"), F.coalesce("description", F.lit("")).alias("description"), F.col("priceLimit").try_cast("double").alias("budget"),
         F.col("possiblePriceLimit").try_cast("double").alias("budget_max"), F.lit("RUB").alias("currency"), F.coalesce("category", "category_id").alias("category"), F.col("kwork_count").alias("offers"), F.col("date_create").alias("created"), F.lit("project").alias("type"), F.col("user.username").alias("buyer"),

@@ -1,8 +1,9 @@
 """Incremental feeds with Structured Streaming: new files only, orders that accumulate, sent mail by day.
 
-Accumulating tables are versions of Parquet below one folder. Each micro-batch folds its rows into the last version
-and writes the next; a version is named by its batch, so a batch that runs again writes the same version anew and a
-restart neither loses nor doubles rows. Nothing is kept in a stateful operator without end.
+An accumulating table is dealt to buckets by the hash of its ids, each in versions of Parquet. A micro-batch reads and
+writes anew only the buckets that its ids fall in. Versions are named by their batch and count once they are whole, so a
+batch that runs again writes the same versions and a restart neither loses nor doubles rows; of each bucket the last
+``KEPT`` versions stay. Nothing is kept in a stateful operator without end.
 """
 
 from __future__ import annotations
@@ -23,27 +24,48 @@ def new_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "js
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the whole versions below a folder, read through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path)]
-    return sorted(int(m[1]) for p in found if (m := re.fullmatch(r"v(\d+)", p.getName())) and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+#: Versions of a bucket that stay: the current one, and one for readers that began before it.
+KEPT = 2
 
 
-def read_latest(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """The last whole version, or the last one before a batch; None if there is none."""
-    have = [v for v in _versions(spark, root) if before is None or v < before]
-    return spark.read.parquet(f"{root}/v{have[-1]}") if have else None
+def _folder(spark: SparkSession, root: str):  # noqa: ANN202
+    """A folder's path and the file system that holds it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def accumulate_orders(raw: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def _versions(spark: SparkSession, root: str) -> dict[int, list[int]]:
+    """Whole versions of each bucket below a folder, ascending. A version is whole once its batch is marked."""
+    path, fs = _folder(spark, root)
+    if not fs.exists(path):
+        return {}
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    marked = {int(m[1]) for n in names if (m := re.fullmatch(r"done-(\d+)", n))}
+    found: dict[int, list[int]] = {}
+    for n in names:
+        if (m := re.fullmatch(r"v=(\d+)", n)) and int(m[1]) in marked:
+            child = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, n)
+            for s in fs.listStatus(child):
+                if b := re.fullmatch(r"bucket=(\d+)", s.getPath().getName()):
+                    found.setdefault(int(b[1]), []).append(int(m[1]))
+    return {b: sorted(v) for b, v in found.items()}
+
+
+def _current(spark: SparkSession, root: str, before: int | None, buckets: list[int] | None) -> DataFrame | None:
+    """Rows of the last whole version of buckets, or of the last one before a batch; None if there is none."""
+    paths = []
+    for b, versions in _versions(spark, root).items():
+        have = [v for v in versions if before is None or v < before]
+        if have and (buckets is None or b in buckets):
+            paths.append(f"{root}/v={have[-1]}/bucket={b}")
+    return spark.read.parquet(*sorted(paths)) if paths else None
+
+
+def accumulate_orders(raw: DataFrame, root: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Fold demand rows into one row per order as they arrive: the last snapshot wins, the first day stays.
 
-    The fold is associative, so any split into batches gives what one batch over all rows gives.
+    The fold is associative, so any split into batches gives what one batch over all rows gives. ``buckets`` is the
+    table's for good; a batch touches at most so many.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
@@ -52,17 +74,25 @@ def accumulate_orders(raw: DataFrame, root: str, checkpoint: str) -> StreamingQu
         place = F.struct("source", "day", F.coalesce("unit", F.lit("")), "pos")
         kept = [c for c in fresh.columns if c not in ("id", "day", "unit", "pos")]
         rows = fresh.select("id", F.struct(*kept).alias("row"), place.alias("place"), F.col("day").alias("first_seen"), F.col("day").alias("last_seen"))
-        old = read_latest(spark, root, number)
+        bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+        touched = sorted(r[0] for r in rows.select(bucket).distinct().collect())
+        old = _current(spark, root, number, touched)
         both = rows if old is None else rows.unionByName(old)
         merged = both.groupBy("id").agg(F.max_by("row", "place").alias("row"), F.max("place").alias("place"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-        merged.write.mode("overwrite").parquet(f"{root}/v{number}")
+        merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v={number}")
+        path, fs = _folder(spark, root)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs.create(at(path, f"done-{number}"), True).close()
+        for b, versions in _versions(spark, root).items():
+            for v in versions[:-KEPT]:
+                fs.delete(at(path, f"v={v}/bucket={b}"), True)
 
     return raw.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def accumulated_orders(spark: SparkSession, root: str) -> DataFrame | None:
     """Orders as accumulated so far, with the columns of ``latest_orders``."""
-    found = read_latest(spark, root)
+    found = _current(spark, root, None, None)
     return None if found is None else found.select("id", "row.*", "first_seen", "last_seen")
 
 
