@@ -23,6 +23,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +32,11 @@ from leadloom.llm.batches import ready, slices, texts_of
 from leadloom.plans.storage import materialise
 
 _WORD = regex.compile(r"[^\W_]+")
-_LONG_PIECE = 200
 _BEGINNINGS = (5, 7)
 #: Marks after a word that need no pattern to be cut off.
 _ENDS = ".,;:!?"
-#: Pieces whose terms are looked up in one call, and queries that meet the index together.
-_PIECES, _QUERIES = 20_000, 64
+#: Text that is cut at once, and queries that meet the index together.
+_SLICE_BYTES, _QUERIES = 4_000_000, 64
 #: Terms stored as rows; more than the error of sums in single precision.
 _FREQUENT, _MARGIN = 768, 1e-4
 
@@ -321,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
         counter = TermCounter(share.value)
         lists = pa.list_(pa.int32())
         for batch in slices(batches, "text"):
-            vectors = [counter(t) for t in texts_of(batch)]
+            vectors = counter.vectors(batch.column(0))
             yield pa.RecordBatch.from_arrays([*(pa.array([v[k] for v in vectors], lists) for k in (0, 1)), batch.column(1).cast(pa.int32()), batch.column(2)], names=["places", "counts", "toxic", "doc_id"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -351,42 +351,57 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
 
 
 class TermCounter:
-    """Places and counts of a model's terms in a text; what a piece of text holds is computed once.
+    """Places and counts of a model's terms in texts.
 
-    ``most`` pieces are remembered. A text of more pieces is counted all the same, with the rest of them forgotten.
+    Arrow cuts texts at white space and numbers the pieces; what a piece holds is computed once. Pieces are remembered
+    until they hold ``most`` bytes; a text of more pieces is counted all the same.
     """
 
-    def __init__(self, terms: Terms, most: int = 400_000):
-        self.terms, self.most, self.memo = terms, most, {}
+    def __init__(self, terms: Terms, most: int = 100_000_000):
+        self.terms, self.most = terms, most
+        self._forget()
 
-    def _places(self, pieces: list[str]) -> list[bytes]:
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.flat, self.stops, self.held = np.empty(0, np.int32), np.zeros(1, np.int64), 0
+
+    def _learn(self, pieces: list[str]) -> None:
         found = [terms_of(p) for p in pieces]
         places = self.terms.places([t for f in found for t in f])
-        out, at = [], 0
-        for f in found:
-            part = places[at : at + len(f)]
-            out.append(part[part >= 0].tobytes())
-            at += len(f)
-        return out
+        known = np.concatenate(([0], np.cumsum(places >= 0)))
+        stops = known[np.cumsum([len(f) for f in found])]
+        first = self.stops.size - 1
+        self.flat, self.stops = np.concatenate((self.flat, places[places >= 0])), np.concatenate((self.stops, self.stops[-1] + stops))
+        self.numbers.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        self.held += 4 * int(stops[-1]) + 200 * len(pieces) + sum(map(len, pieces))
+
+    def vectors(self, texts: pa.Array) -> list[Vector]:
+        """Of each text the places of its terms, ascending, and how often it holds each; null is the empty text."""
+        if self.held > self.most:
+            self._forget()
+        cut = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        numbered = cut.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        if new := [p for p in distinct if p not in self.numbers]:
+            self._learn(new)
+        own = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
+        row = np.repeat(np.arange(len(texts)), cut.value_lengths().to_numpy())
+        # Each piece counts once a text, then each term.
+        key, times = np.unique(row * max(1, len(distinct)) + numbered.indices.to_numpy(), return_counts=True)
+        row, pieces = key // max(1, len(distinct)), own[key % max(1, len(distinct))] if len(distinct) else key
+        size = self.stops[pieces + 1] - self.stops[pieces]
+        key = np.repeat(row, size) * max(1, len(self.terms)) + self.flat[_runs(self.stops[pieces], size)]
+        times = np.repeat(times, size)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if key.size else np.empty(0, np.int64)
+        counts = np.add.reduceat(times[order], first).astype(np.int32) if first.size else np.empty(0, np.int32)
+        row, places = key[first] // max(1, len(self.terms)), (key[first] % max(1, len(self.terms))).astype(np.int32)
+        stops = np.searchsorted(row, np.arange(1, len(texts)))
+        return list(zip(np.split(places, stops), np.split(counts, stops), strict=True)) if len(texts) else []
 
     def __call__(self, text: str) -> Vector:
-        pieces = Counter(text.split())
-        memo = self.memo
-        if len(memo) >= self.most:
-            memo.clear()
-        new = [p for p in pieces if p not in memo]
-        fresh: dict[str, bytes] = {}
-        for k in range(0, len(new), _PIECES):
-            part = new[k : k + _PIECES]
-            fresh.update(zip(part, self._places(part), strict=True))
-        rows = [memo[p] if p in memo else fresh[p] for p in pieces]
-        memo.update(islice(((p, x) for p, x in fresh.items() if len(p) <= _LONG_PIECE), self.most - len(memo)))
-        places = np.frombuffer(b"".join(rows), np.int32)
-        times = np.repeat(np.fromiter(pieces.values(), np.int64, len(rows)), np.fromiter(map(len, rows), np.int64, len(rows)) // 4)
-        order = np.argsort(places, kind="stable")
-        places, times = places[order], times[order]
-        first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))) if places.size else np.empty(0, np.int64)
-        return places[first], (np.add.reduceat(times, first) if first.size else times).astype(np.int32)
+        return self.vectors(pa.array([text], pa.string()))[0]
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -401,8 +416,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = share.value.index()
         counter, least = TermCounter(index.terms), index.params.threshold
-        for batch in slices(batches, "text"):
-            found = index.score_all([counter(t) for t in texts_of(batch)])
+        for batch in slices(batches, "text", _SLICE_BYTES):
+            found = index.score_all(counter.vectors(batch.column(1)))
             scores = [f[0] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= least) for s in scores], pa.int32()), index.evidence(found, batch.column(0).type)],
@@ -416,12 +431,13 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Rows of ``docs``, with all their columns, whose text the model does not take for toxic."""
     share = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = share.value.index()
         counter, least = TermCounter(index.terms), index.params.threshold
-        for batch in slices(batches, "text"):
-            clean = [f[0] < least for f in index.score_all([counter(t) for t in texts_of(batch)])]
+        for batch in slices(batches, "text", _SLICE_BYTES):
+            clean = [f[0] < least for f in index.score_all(counter.vectors(batch.column(at)))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

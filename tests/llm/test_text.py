@@ -212,6 +212,9 @@ def test_term_counter_takes_texts_of_more_pieces_than_it_remembers(spark, frame)
     small, text = toxicity.TermCounter(model.idf, most=5), " ".join(f"word{i}" for i in range(200)) + " vile vile"
     for t in (text, "vile kind", text, ""):
         assert repr(small(t)) == repr(toxicity.TermCounter(model.idf)(t))
+        counted = collections.Counter(x for x in toxicity.terms_of(t) if x in model.idf)
+        assert {model.idf.names[d].as_py(): n for d, n in zip(*(x.tolist() for x in small(t)))} == counted
+    assert [v[0].size for v in small.vectors(pa.array([None, "vile", ""]))] == [0, 1, 0] and small.vectors(pa.array([], pa.string())) == []
 
 
 def test_licences(frame):
@@ -273,6 +276,25 @@ def test_components_equal_brute_force(frame):
     assert ngram_join.near_duplicates(frame(rows).limit(0)).count() == 0
 
 
+def test_prefix_tree_reads_no_runs_of_closed_subtrees():
+    random.seed(11)
+    groups = [random.sample(range(100 * g, 100 * g + 100), 60) for g in range(20)]
+    sets = [np.array(sorted(random.sample(g, random.randint(40, 60))), np.int64) for g in groups for _ in range(10)]
+    tree = ngram_join.PrefixTree(sets, 2000)
+    for query in sets[:40]:
+        want = [i for i in range(len(sets)) if (k := len(set(query.tolist()) & set(sets[tree.order[i]].tolist()))) * 100 >= 70 * (query.size + sets[tree.order[i]].size - k)]
+        assert tree.linked(query, 70).tolist() == want
+    everything = sum(s.size for s in sets)
+    tree.read = 0
+    assert tree.linked(np.arange(5), 70).size == 0 and tree.read == 0  # too short for any set: nothing is read
+    tree.linked(sets[0], 70)
+    assert 0 < tree.read < everything
+    tree.read = 0
+    for i in range(len(sets)):
+        tree.take(i)
+    assert tree.linked(sets[0], 70).size == 0 and tree.read == 0
+
+
 def test_links_of_ids_with_texts_of_unlike_size(frame):
     words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
     rows = [(1, words("own", 104)), (1, words("both", 14)), (2, words("both", 14) + " end"), (3, words("far", 30))]
