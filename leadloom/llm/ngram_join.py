@@ -7,10 +7,11 @@ and documents that share one stay. No link is lost, and most documents go. Of th
 each set's rarest elements, as many as linked sets must share one of, make the candidates: a document that shares a
 common passage but has much of its own has none. Candidates form clusters; each cluster is joined by prefix trees.
 
-Prefix tree: the sets of a block, their elements in one global order (most frequent first), are stored in a trie whose
-branches hold runs of elements. A query walks the branches level by level; the overlap of a shared prefix is computed
-once for all sets below it, and subtrees whose remaining length cannot reach the required overlap are pruned. Large
-clusters are dealt to chunks; members of chunks that are not linked yet then meet all other members, block by block.
+Prefix tree: the sets of a block, their elements in one order for all of them (most frequent first), are stored in a trie
+whose branches hold runs of elements. A query walks the branches level by level; the overlap of a shared prefix is
+computed once for all sets below it, and runs of subtrees whose remaining length cannot reach the required overlap, or
+that hold no set that is still looked for, are not read. Large clusters are dealt to chunks; members of chunks that are
+not linked yet then meet those with whom they share one of the rarest elements, block by block.
 """
 
 from __future__ import annotations
@@ -146,28 +147,47 @@ class PrefixTree:
         self.levels = [np.flatnonzero(level == k) for k in range(int(level.max()) + 1 if n else 0)]
         self.runs = np.concatenate([r[d:] for r, d in zip(rows, self.depth.tolist(), strict=True)]) if n else np.empty(0, np.int64)
         self.begin = np.concatenate(([0], np.cumsum(self.size - self.depth)))
-
-    def linked(self, query: np.ndarray, percent: int, alive: np.ndarray) -> np.ndarray:
-        """Sets (by their first numbering, among ``alive`` rows) with Jaccard similarity of ``percent`` or more."""
-        has = np.zeros(self.universe, np.int32)
-        has[query] = 1
+        self.alive, self.below = np.ones(n, bool), np.ones(n, np.int64)
+        for i in range(n - 1, -1, -1):
+            if parent[i] >= 0:
+                self.below[parent[i]] += self.below[i]
+        self._has, self._upto = np.zeros(universe, bool), np.zeros(self.runs.size, np.int64)
+        self.read = 0  # elements of runs that queries have read
+
+    def take(self, row: int) -> None:
+        """Look for a set no more."""
+        self.alive[row] = False
+        while row >= 0:
+            self.below[row] -= 1
+            row = int(self.parent[row])
+
+    def linked(self, query: np.ndarray, percent: int) -> np.ndarray:
+        """Rows that are still looked for with Jaccard similarity of ``percent`` or more."""
         n, q = self.size.size, query.size
-        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(has[self.runs], dtype=np.int64)))  # along all branches
-        start, open_ = np.zeros(n, np.int64), np.zeros(n, bool)
+        self._has[query] = True
+        start, overlap, open_ = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
         for k, rows in enumerate(self.levels):
             if k:
                 rows = rows[open_[self.parent[rows]]]
                 p = self.parent[rows]
-                start[rows] = start[p] + upto[self.begin[p] + self.depth[rows] - self.depth[p]] - upto[self.begin[p]]
+                before = self.depth[rows] - self.depth[p]  # what of its parent's run lies above a branch
+                start[rows] = start[p] + np.where(before > 0, self._upto[self.begin[p] + before - 1], 0)
+            most, least = self.most[rows], self.least[rows]
+            reach = start[rows] + np.minimum(q - start[rows], most - self.depth[rows])
+            wanted = np.maximum(q, least) * percent
+            rows = rows[(self.below[rows] > 0) & (reach * 100 >= wanted) & (wanted <= 100 * np.minimum(q, most))]
             if not rows.size:
                 break
-            need = np.maximum(q, self.least[rows]) * percent
-            reach = start[rows] + np.minimum(q - start[rows], self.most[rows] - self.depth[rows])
-            fits = (reach * 100 >= need) & (np.maximum(q, self.least[rows]) * percent <= 100 * np.minimum(q, self.most[rows]))
-            open_[rows[fits]] = True
-        overlap = start + upto[self.begin[1:]] - upto[self.begin[:-1]]
-        hit = open_ & alive & (100 * overlap >= percent * (q + self.size - overlap))
-        return np.flatnonzero(hit)
+            open_[rows] = True
+            length = self.begin[rows + 1] - self.begin[rows]
+            stops = np.cumsum(length)
+            at = np.repeat(self.begin[rows] - stops + length, length) + np.arange(stops[-1])
+            counted = np.concatenate(([0], np.cumsum(self._has[self.runs[at]])))
+            self._upto[at] = counted[1:] - np.repeat(counted[stops - length], length)
+            overlap[rows] = start[rows] + counted[stops] - counted[stops - length]
+            self.read += at.size
+        self._has[query] = False
+        return np.flatnonzero(open_ & self.alive & (100 * overlap >= percent * (q + self.size - overlap)))
 
 
 def join_block(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -186,17 +206,16 @@ def join_block(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
         ranked.append(np.sort(flat[at : at + s.size]))
         at += s.size
     tree = PrefixTree(ranked, values.size)
-    alive = np.ones(len(sets), bool)
     links = []
     for seed in range(len(sets)):
-        if not alive[seed]:
+        if not tree.alive[seed]:
             continue
-        alive[seed] = False
+        tree.take(seed)
         queue = [seed]
-        while queue and alive.any():
+        while queue and tree.alive.any():
             a = queue.pop()
-            for b in tree.linked(ranked[tree.order[a]], percent, alive).tolist():
-                alive[b] = False
+            for b in tree.linked(ranked[tree.order[a]], percent).tolist():
+                tree.take(b)
                 queue.append(b)
                 links.append((int(names[tree.order[a]]), int(names[tree.order[b]])))
     return links
@@ -401,13 +420,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int =
     parts = parts.withColumn("component", F.coalesce("component", "node"))
     sizes_of = parts.groupBy("cluster", "component").agg(F.count("*").alias("k"))
     largest = sizes_of.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    # Then, in clusters of several chunks that are not one yet, all members outside the largest part with all members.
+    # Then, in clusters of several chunks that are not one yet, members outside the largest part meet those that share an
+    # element of theirs; elements that the same members have count once.
     parts = parts.join(largest, "cluster")
-    strays = _chunked(parts.filter("component <> main").select("node", "cluster").join(parts.filter("component <> main").groupBy("cluster").agg(F.count("*").alias("members")), "cluster"), chunk)
-    rows_of = parts.select("cluster", F.col("mine").alias("row"), "node")
-    pairs = strays.select("cluster", F.col("mine").alias("col")).distinct().join(rows_of.select("cluster", "row").distinct(), "cluster")
-    name = F.concat_ws("/", "cluster", "row", "col").alias("block")
-    crossed = pairs.join(rows_of, ["cluster", "row"]).select("node", name).unionByName(pairs.join(strays.select("cluster", F.col("mine").alias("col"), "node"), ["cluster", "col"]).select("node", name))
+    asked = join_ids(prefixes, parts.filter("component <> main").select("node"), "node")
+    met = join_ids(join_ids(prefixes, parts.select("node"), "node"), asked.select("hash").distinct(), "hash")
+    groups = met.groupBy("hash").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).filter("m > 1")
+    groups = groups.groupBy("m", "x1", "x2").agg(F.min("hash").alias("hash")).join(asked.groupBy("hash").agg(F.count("*").alias("s")), "hash")
+    groups = groups.select("hash", F.ceil(F.col("m") / chunk).cast("int").alias("rows"), F.ceil(F.col("s") / chunk).cast("int").alias("cols"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    name = F.concat_ws("/", "hash", "row", "col").alias("block")
+    crossed = met.join(groups, "hash").select("node", "hash", own("rows").alias("row"), every("cols").alias("col")).select("node", name)
+    crossed = crossed.unionByName(asked.join(groups, "hash").select("node", "hash", own("cols").alias("col"), every("rows").alias("row")).select("node", name))
     links = near
     if largest.limit(1).count():
         links = near.unionByName(_links(kept, crossed.distinct(), n, percent))
