@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 from leadloom.plans.storage import join_ids, materialise
 
 SPAN, K = 13, 5
-#: Fingerprints or windows of the benchmark that may be broadcast; more take a shuffled join.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of the benchmark's fingerprints or windows that may be broadcast; more take a shuffled join.
+BROADCAST_BYTES = 64_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,28 +43,70 @@ def _winnow(grams: str) -> Column:
     return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), count), least))).otherwise(F.array().cast("array<long>"))
 
 
-def _fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fingerprint) of rows with ``words``."""
-    grams = texts.select(*keys, _grams("words", K).alias("grams"))
-    return grams.select(*keys, F.explode(_winnow("grams")).alias("fingerprint"))
+def _marks(words: str, shorter: list[int]) -> Column:
+    """What of a text meets the benchmark: winnowed fingerprints under length 0, grams of the short items' lengths."""
+    marked = lambda grams, n: F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    return F.concat(F.transform(_winnow("grams"), lambda g: F.struct(F.lit(0).alias("n"), g.alias("gram"))), *[marked(F.array_distinct(_grams(words, n)), n) for n in shorter])
 
 
-def _windows(texts: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys, at, gram): hash and start of every window of ``n`` words; the words stay as ``words``."""
-    return texts.select(*keys, "words", F.posexplode(_grams("words", n)).alias("at", "gram"))
+def _windows(texts: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """(keys, words, n, at, gram): hash and start of every window of each length."""
+    placed = lambda n: F.transform(_grams("words", n), lambda g, i: F.struct(F.lit(n).alias("n"), i.alias("at"), g.alias("gram")))
+    return texts.select(*keys, "words", F.explode(F.concat(*map(placed, lengths))).alias("w")).select(*keys, "words", "w.*")
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """The benchmark's side of a join, broadcast if it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _checked(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """The benchmark's side of a join, broadcast if all of it is small enough."""
+    total = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def _key(text: str = "text") -> list[Column]:
+    """Two 64-bit hashes that name a text; null is the empty text."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(k1, k2, n_words, n_hit, items) of the texts that windows of the benchmark hit, once a text."""
+    keys = ["k1", "k2"]
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), words_of(F.col("text")).alias("words"))
+    items = materialise(items.filter(F.size("words") > 0).distinct(), "benchmark-words")
+    shorter = sorted(r[0] for r in items.filter(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
+
+    # One pass over the documents: fingerprints, and the grams of short items, which no winnowing guarantee covers.
+    texts = docs.select(*_key(), "text")
+    worded = texts.select(*keys, words_of(F.col("text")).alias("words")).select(*keys, "words", _grams("words", K).alias("grams"))
+    entries = worded.select(*keys, F.explode(_marks("words", shorter)).alias("m")).select(*keys, "m.*")
+    own = items.select("words", _grams("words", K).alias("grams"))
+    long_marks = own.select(F.lit(0).alias("n"), F.explode(_winnow("grams")).alias("gram"))
+    short_grams = F.coalesce(*[F.when(F.size("words") == n, F.element_at(_grams("words", n), 1)) for n in shorter], F.lit(None).cast("long"))
+    short_marks = items.filter(F.size("words") < SPAN).select(F.size("words").alias("n"), short_grams.alias("gram"))
+    marks = long_marks.unionByName(short_marks).distinct()
+    found = materialise(entries.join(_checked(marks, F.lit(40)), ["n", "gram"], "left_semi").select(*keys).distinct(), "contaminated")
+
+    # Only documents with a shared fingerprint are cut into windows; their words decide, not the hashes.
+    suspects = join_ids(texts, found, keys).dropDuplicates(keys).select(*keys, words_of(F.col("text")).alias("words"))
+    lengths = [SPAN, *shorter]
+    theirs = _windows(items, ["item_id"], lengths).filter(F.col("n") == F.least(F.lit(SPAN), F.size("words")))
+    theirs = theirs.select("item_id", "n", "gram", F.slice("words", F.col("at") + 1, F.col("n")).alias("span")).distinct()
+    pairs = _windows(suspects, keys, lengths).join(_checked(theirs, F.octet_length(F.array_join("span", " ")) + 16 * F.size("span") + 100), ["n", "gram"])
+    pairs = pairs.filter(F.slice("words", F.col("at") + 1, F.col("n")) == F.col("span"))
+    extended = materialise(pairs.select(*keys, F.size("words").alias("n_words"), "item_id", "at", (F.col("at") + F.col("n")).alias("stop")), "contaminated-spans")
+
+    earlier = Window.partitionBy(*keys).orderBy("at", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    merged = extended.groupBy(*keys, "n_words", "at").agg(F.max("stop").alias("stop"))
+    merged = merged.withColumn("fresh", F.greatest(F.lit(0), F.col("stop") - F.greatest("at", F.coalesce(F.max("stop").over(earlier), F.lit(0)))))
+    covered = merged.groupBy(*keys, "n_words").agg(F.sum("fresh").cast("long").alias("n_hit"))
+    named = extended.select(*keys, "item_id").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    return materialise(covered.join(named, keys), "contaminated-texts")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> DataFrame:
     """Rows of ``docs``, with all their columns, that are not contaminated; each row is judged by its own text."""
-    judged = contamination(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), benchmark, percent)
-    bad = materialise(judged.filter("contaminated").select(F.col("doc_id").alias("judged_hash")).distinct(), "contaminated-texts")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("judged_hash"))
-    return join_ids(rows, bad, "judged_hash", "left_anti").select("row.*")
+    bad = _hits(docs, benchmark).filter(100 * F.col("n_hit") >= percent * F.col("n_words")).select("k1", "k2")
+    rows = docs.select(F.struct("*").alias("row"), *_key())
+    return join_ids(rows, bad, ["k1", "k2"], "left_anti").select("row.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> DataFrame:
@@ -75,47 +117,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> Da
     Null and empty texts have no words and are never hit; a null item_id counts as the item ``null``. Rows that repeat
     an id are judged each by its own text.
     """
-    hash_of = F.xxhash64(F.coalesce("text", F.lit("")))
-    keys = ["doc_id", "text_hash"]
-    texts = docs.select("doc_id", "text", hash_of.alias("text_hash"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), words_of(F.col("text")).alias("words"))
-    items = materialise(items.filter(F.size("words") > 0).distinct(), "benchmark-words")
-    lengths = [r[0] for r in items.filter(F.size("words") < SPAN).select(F.size("words")).distinct().collect()]
-
-    worded = texts.select(*keys, words_of(F.col("text")).alias("words"))
-    marks = _fingerprints(items, []).distinct()
-    hits = [_fingerprints(worded, keys).join(_checked(marks), "fingerprint", "left_semi").select(*keys)]
-    for n in sorted(lengths):
-        short = items.filter(F.size("words") == n).select(F.element_at(_grams("words", n), 1).alias("gram")).distinct()
-        grams = worded.select(*keys, F.explode(F.array_distinct(_grams("words", n))).alias("gram"))
-        hits.append(grams.join(_checked(short), "gram", "left_semi").select(*keys))
-    found = hits[0]
-    for more in hits[1:]:
-        found = found.unionByName(more)
-    found = materialise(found.select("text_hash").distinct(), "contaminated")
-
-    # Only documents with a shared fingerprint are cut into windows; their words decide, not the hashes.
-    suspects = join_ids(texts, found, "text_hash").select("text_hash", words_of(F.col("text")).alias("words")).dropDuplicates(["text_hash"])
-    spans = []
-    for n in [SPAN, *sorted(lengths)]:
-        own = items.filter(F.size("words") >= SPAN if n == SPAN else F.size("words") == n)
-        theirs = _windows(own, ["item_id"], n).select("item_id", "gram", F.slice("words", F.col("at") + 1, n).alias("span")).distinct()
-        pairs = _windows(suspects, ["text_hash"], n).join(_checked(theirs), "gram")
-        pairs = pairs.filter(F.slice("words", F.col("at") + 1, n) == F.col("span"))
-        spans.append(pairs.select("text_hash", "item_id", "at", (F.col("at") + n).alias("stop")))
-    extended = spans[0]
-    for more in spans[1:]:
-        extended = extended.unionByName(more)
-    extended = materialise(extended, "contaminated-spans")
-
-    earlier = Window.partitionBy("text_hash").orderBy("at", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    merged = extended.groupBy("text_hash", "at").agg(F.max("stop").alias("stop"))
-    merged = merged.withColumn("fresh", F.greatest(F.lit(0), F.col("stop") - F.greatest("at", F.coalesce(F.max("stop").over(earlier), F.lit(0)))))
-    covered = merged.groupBy("text_hash").agg(F.sum("fresh").cast("long").alias("n_hit"))
-    named = extended.select("text_hash", "item_id").distinct().groupBy("text_hash").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
-
-    counted = worded.select(*keys, F.size("words").cast("long").alias("n_words"))
-    out = counted.join(covered.join(named, "text_hash"), "text_hash", "left")
+    hits = _hits(docs, benchmark).drop("n_words")
+    counted = docs.select("doc_id", *_key(), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    out = counted.join(hits, ["k1", "k2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id",
