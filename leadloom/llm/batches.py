@@ -68,18 +68,20 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 class Memo(dict):
-    """What was computed for distinct pieces; emptied when it holds ``most`` entries, so its size is bounded."""
+    """What was computed for distinct pieces; emptied when it holds ``most`` bytes, pieces and values of any length."""
 
-    def __init__(self, many, most: int = 300_000):
+    def __init__(self, many, most: int = 80_000_000):
         super().__init__()
-        self._many, self._most = many, most
+        self._many, self._most, self.held = many, most, 0
 
     def learn(self, pieces: Iterable) -> None:
         """Compute what is missing for these distinct pieces, in one call."""
+        if self.held > self._most:
+            self.clear()
+            self.held = 0
         new = [p for p in pieces if p not in self]
         if not new:
             return
-        if len(self) + len(new) > self._most:
-            self.clear()
-            new = list(pieces)
-        self.update(zip(new, self._many(new), strict=True))
+        values = self._many(new)
+        self.update(zip(new, values, strict=True))
+        self.held += 200 * len(new) + sum(map(len, new)) + sum(len(v) for v in values if isinstance(v, bytes))

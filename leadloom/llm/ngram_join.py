@@ -53,7 +53,7 @@ class ShingleSets:
         import xxhash
 
         self.n = n
-        self.memo = Memo(lambda new: [xxhash.xxh64_intdigest(w) for w in new], most=150_000)
+        self.memo = Memo(lambda new: [xxhash.xxh64_intdigest(w) for w in new], most=40_000_000)
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         words = [t.encode("utf-8", "replace").lower().split() for t in texts]

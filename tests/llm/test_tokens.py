@@ -109,6 +109,41 @@ def test_word_encoder_forgets_and_takes_long_texts_without_blanks():
     assert small.encode(pa.array([], pa.string()))[0].size == 0
 
 
+def test_memory_of_pieces_is_bounded_in_bytes():
+    from leadloom.llm.batches import Memo
+
+    memo, asked = Memo(lambda new: [p.encode() * 2 for p in new], most=1_000_000), []
+    for k in range(40):
+        piece = chr(97 + k % 26) * 100_000 + str(k)
+        memo.learn([piece, "x"])
+        asked.append(memo[piece] == piece.encode() * 2 and memo["x"] == b"xx")
+        assert sum(map(len, memo)) + sum(map(len, memo.values())) < 1_400_000
+    assert all(asked)
+
+
+def test_texts_of_ten_megabytes_without_blanks(spark):
+    """One line of letters and digits, and one of ideographs with stops: counted whole, without memory of their pieces."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from leadloom.llm import ngram_join, repetition
+
+    line = hashlib.sha256(b"x").hexdigest()
+    texts = [(1, line * 160_000), (2, "漢字假名。" * 20_000), (3, "short")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks("byte_bpe_50k.tiktoken"), special_tokens={})
+    got = dict(map(tuple, token_counts.document_lengths(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()))
+    assert got == {i: len(enc.encode_ordinary(t)) for i, t in texts}
+    coded = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in bpe.encode_and_decode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()}
+    assert all(coded[i][1] == hashlib.sha256(t.encode()).hexdigest() for i, t in texts)
+    path = shared_dir(spark, "t")
+    token_files.write_token_files(docs, path, P.path("word_bpe_49k.json"), 2)
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert {r["doc_id"]: r["n_tokens"] for r in token_files.read_token_files(spark, path).collect()} == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts}
+    assert {r["doc_id"]: r["n_shingles"] for r in ngram_join.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1}
+    assert {r["doc_id"]: r["n_words"] for r in repetition.repetition_quality(docs).collect()} == {1: 1, 2: 1, 3: 1}
+
+
 def test_histogram(spark, frame):
     lengths = spark.createDataFrame([(i, n) for i, n in enumerate([0, 0, 3, 3, 3, 200, 5000, 127, 128])], "doc_id long, n_tokens long")
     h = token_counts.length_histogram(lengths)
