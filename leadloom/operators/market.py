@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,8 +69,8 @@ def check_config(cfg: MarketConfig) -> None:
     def pattern(rx: str, what: str) -> None:
         try:
             jvm.java.util.regex.Pattern.compile(norm.IGNORE_CASE + rx)
-        except Py4JJavaError as e:
-            raise MarketError(f"{what}: bad pattern {rx!r}: {e.java_exception.getMessage()}") from None
+        except IllegalArgumentException as e:
+            raise MarketError(f"{what}: bad pattern {rx!r}: {str(e).splitlines()[0]}") from None
 
     for kind, rules in (("products", cfg.products), ("clusters", cfg.clusters)):
         for r in rules:
@@ -206,25 +206,20 @@ def quantiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     with the data; buckets are summed in order, and only those that hold one of the places are looked into.
     """
     size = F.floor(F.log2(F.abs(F.col(value)) + 1) * 1024)
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
-    counted = counted.withColumn("bucket", (F.signum(value) * size).cast("long"))
-    buckets = counted.groupBy(*keys, "bucket").agg(F.sum("k").alias("in_bucket"))
-    before, whole = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
-    buckets = buckets.withColumns({"base": F.coalesce(F.sum("in_bucket").over(before), F.lit(0)), "n": F.sum("in_bucket").over(whole)})
-    last = F.col("n") - 1
-    places = [F.floor(last / 2), F.floor(F.col("n") / 2), F.least(last, F.floor(F.col("n") * 0.25)), F.least(last, F.floor(F.col("n") * 0.75))]
-    wanted = reduce(lambda a, b: a | b, [(F.col("base") <= p) & (p < F.col("base") + F.col("in_bucket")) for p in places])
-    wanted = buckets.filter(wanted).select(*[F.col(c).alias(f"_{c}") for c in [*keys, "bucket"]], "base", "n")
-    joined = counted.join(wanted, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, "bucket"]]))
-    inside = Window.partitionBy(*keys, "bucket").orderBy(value)
-    found = joined.withColumn("upto", F.col("base") + F.sum("k").over(inside)).withColumn("from", F.col("upto") - F.col("k"))
-    at = lambda place: F.min(F.when((F.col("from") <= place) & (F.col("upto") > place), F.col(value)))
-    return found.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        ((at(F.floor(last / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"),
-        at(F.least(last, F.floor(F.col("n") * 0.25))).alias("p25"),
-        at(F.least(last, F.floor(F.col("n") * 0.75))).alias("p75"),
-    )
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k"))
+    counted = counted.withColumn("_bucket", (F.signum(value) * size).cast("long"))
+    buckets = counted.groupBy(*keys, "_bucket").agg(F.sum("_k").alias("_in"))
+    before, whole = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    buckets = buckets.withColumns({"_base": F.coalesce(F.sum("_in").over(before), F.lit(0)), "_n": F.sum("_in").over(whole)})
+    n, last = F.col("_n"), F.col("_n") - 1
+    places = [F.floor(last / 2), F.floor(n / 2), F.least(last, F.floor(n * 0.25)), F.least(last, F.floor(n * 0.75))]
+    wanted = reduce(lambda a, b: a | b, [(F.col("_base") <= p) & (p < F.col("_base") + F.col("_in")) for p in places])
+    wanted = buckets.filter(wanted).select(*[F.col(c).alias(f"_of_{c}") for c in [*keys, "_bucket"]], "_base", "_n")
+    joined = counted.join(wanted, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_bucket"]]))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
+    found = joined.withColumn("_upto", F.col("_base") + F.sum("_k").over(inside)).withColumn("_from", F.col("_upto") - F.col("_k"))
+    at = lambda place: F.min(F.when((F.col("_from") <= place) & (F.col("_upto") > place), F.col(value)))
+    return found.groupBy(*keys).agg(F.max("_n").alias("n"), ((at(places[0]) + at(places[1])) / 2).alias("median"), at(places[2]).alias("p25"), at(places[3]).alias("p75"))
 
 
 def order_stats(orders: DataFrame, keys: list[str]) -> DataFrame:

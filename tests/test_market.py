@@ -96,3 +96,30 @@ def test_clusters_are_counted_and_hits_are_rows(spark):
     assert {r["cluster"]: (r["n_urls"], r["n_titles"]) for r in table.select("cluster", "n_urls", "n_titles").collect()} == {"pages": (1, 2), "none": (0, 0)}
     assert not any(t.startswith("array") for _, t in table.dtypes)
     assert sorted((r["cluster"], r["url"], r["title"]) for r in market.cluster_hits(orders(spark, cfg), cfg).collect() if r["url"]) == [("pages", "https://x/1", "Landing page")]
+
+
+def test_rules_that_cannot_be_used_are_named(spark):
+    bad = [
+        market.MarketConfig(products=(market.Rule("p", "("),)), market.MarketConfig(clusters=(market.Rule("c", ""),)), market.MarketConfig(clusters=(market.Rule("c", "[a"),)),
+        market.MarketConfig(segments=(market.Segment("s", "ok", supply="*"),)), market.MarketConfig(segments=(market.Segment("", "ok"),)), market.MarketConfig(gap_metric="top_tech"), market.MarketConfig(reach_metric="nothing"),
+    ]
+    for cfg in bad:
+        try:
+            market.prepare_orders(spark.createDataFrame(ROWS, SCHEMA).withColumn("unit", F.lit("u")), cfg, DAY)
+        except market.MarketError as e:
+            assert any(x in str(e) for x in ("p", "c", "s", "top_tech", "nothing"))
+            continue
+        raise AssertionError(cfg)
+
+
+def test_quantiles_of_any_values(spark):
+    import random
+
+    random.seed(3)
+    groups = {"a": [random.uniform(-50, 50) for _ in range(101)], "b": [5.0] * 7, "c": [1.0, 2.0], "d": [-3.5], None: [0.0, 0.0, 10.0], "e": [random.choice([100.0, 100.01, 100.02]) for _ in range(40)]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("f", None)]
+    got = {r["k"]: r for r in market.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        s, n = sorted(vs), len(vs)
+        assert (got[k]["n"], got[k]["p25"], got[k]["p75"]) == (n, s[min(n - 1, n // 4)], s[min(n - 1, n * 3 // 4)]) and got[k]["median"] == (s[(n - 1) // 2] + s[n // 2]) / 2

@@ -82,3 +82,37 @@ def test_stream_equals_batch(spark, tmp_path):
     assert pick(feeds.accumulated_orders(spark, root)) == pick(whole) and whole.count() == 5
     feeds.accumulate_orders(shape(feeds.new_files(spark, str(tmp_path / "in"), SCHEMA)), root, check).awaitTermination()
     assert pick(feeds.accumulated_orders(spark, root)) == pick(whole)
+
+
+def test_places_ascend_in_a_split_file(spark, tmp_path):
+    rows = [{"source_id": str(i), "title": "t" * (i % 7), "budget": None} for i in range(4000)]
+    write(tmp_path / "fl" / "2024-01-01" / "big.jsonl", rows)
+    write(tmp_path / "fl" / "2024-01-01" / "small.jsonl", rows[:50])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = files.read_snapshots(spark, str(tmp_path), SCHEMA)
+        assert got.rdd.getNumPartitions() > 5
+        for unit, n in (("big", 4000), ("small", 50)):
+            assert [int(r["source_id"]) for r in got.filter(F.col("unit") == unit).orderBy("pos").collect()] == list(range(n))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    import pytest
+
+    from leadloom.plans import storage
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+        def set(self, *_):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session(), "x")
