@@ -1,10 +1,14 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, shingle containment verifies them.
 
-Windows: templates are classed by length. For class c (templates of c/2 to c words) texts are cut into windows of 2c
-words, c + 1 apart, so that any stretch of c words lies whole in some window. A template of T words inside a window has
-a Jaccard similarity of at least (T - 1) / (2c - 1) of word pairs with it, at least a quarter at worst. Bands of one
-MinHash each, as many as ``bands_for`` asks, make a band agree with the wanted probability at that similarity. Templates
-that a band retrieves are then compared exactly: the share of the template's shingles inside the window's surroundings.
+Windows: templates are classed by length. For class c (templates of up to c word pairs, a power of two) texts are cut
+into blocks of c pairs, and two neighbouring blocks are a window, so that any stretch of c pairs lies whole in one. A
+block's MinHash is the least of the two blocks of half its size, so all classes share one pass over the text. A window
+that holds a share s of a template of T pairs has a Jaccard similarity of at least s T / (2c + (1 - s) T) with it. Bands
+of one MinHash each, as many as ``bands_for`` asks at the accepted share, make a band agree with the wanted probability.
+Templates that a band retrieves are then compared exactly: the share of the template's pairs in a stretch of the text.
+
+Licences word much alike, and their versions almost so. Of matches whose stretches overlap only the one with the largest
+share stays; of equals the one with more pairs, then the one that comes first in the list of templates.
 """
 
 from __future__ import annotations
@@ -17,31 +21,77 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from leadloom.llm.batches import ready, slices, texts_of
+from leadloom.llm.batches import Memo, ready, slices, texts_of
+
+# Public licences, as their texts or the notices that they ask for word them.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def _gnu(thing: str, license_: str, version: int) -> str:
+    """The notice that a licence of the GNU family asks for."""
+    return f"""This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {license_} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {license_} for more details."""
+
+
+def _plain(license_: str, version: str) -> str:
+    return f"This work is licensed under the {license_}, version {version}."
+
+
+def _cc(name: str, words: str) -> list[str]:
+    return [f"Licensed under CC {name} 4.0.", f"This work is licensed under a Creative Commons {words} 4.0 International License."]
+
 
-# Notices of public licences, as their texts or usual headers word them.
 TEMPLATES = {
-    "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
-    ],
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
-    ],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "MIT": ["Released under the MIT License.", _MIT],
+    "ISC": ["Released under the ISC License.", _ISC],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", _BSD_TERMS + _BSD_DISCLAIMER],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", _BSD_TERMS + _BSD_THIRD + _BSD_DISCLAIMER],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", _APACHE],
+    "GPL-2.0": [_plain("GNU General Public License", "2"), _gnu("program", "General Public License", 2)],
+    "GPL-3.0": [_plain("GNU General Public License", "3"), _gnu("program", "General Public License", 3)],
+    "LGPL-2.1": [_plain("GNU Lesser General Public License", "2.1"), _gnu("library", "Lesser General Public License", 2)],
+    "LGPL-3.0": [_plain("GNU Lesser General Public License", "3"), _gnu("library", "Lesser General Public License", 3)],
+    "AGPL-3.0": [_plain("GNU Affero General Public License", "3"), _gnu("program", "Affero General Public License", 3)],
+    "MPL-2.0": [_MPL],
+    "Unlicense": [_UNLICENSE],
+    "Zlib": [_ZLIB],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal Public Domain Dedication."],
+    "CC-BY-4.0": _cc("BY", "Attribution"),
+    "CC-BY-SA-4.0": _cc("BY-SA", "Attribution-ShareAlike"),
+    "CC-BY-ND-4.0": _cc("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-NC-4.0": _cc("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-NC-SA-4.0": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
 }
 
 _WORD = regex.compile(rb"[0-9a-z\x80-\xff]+(?:[.\-][0-9a-z\x80-\xff]+)*")
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 62, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Pairs of a block of the shortest class, and pairs of a stretch for each four of a template.
+_LEAST, _STRETCH = 8, 5
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -54,40 +104,35 @@ def bands_for(similarity: float, probability: float = 0.9999) -> int:
     return math.ceil(math.log(1 - probability) / math.log(1 - similarity))
 
 
-def _class_of(n: int) -> int:
-    return max(4, 1 << (n - 1).bit_length())
-
-
 class LicenseScanner:
     """Bands of the templates' MinHashes, and the exact comparison."""
 
     def __init__(self, templates: dict[str, list[str]], containment: float):
         import xxhash
 
-        self.hash = lambda w: xxhash.xxh64_intdigest(w)
         self.containment = containment
-        self.memo: dict[bytes, int] = {}
-        self.items = []
+        self.memo = Memo(lambda new: [xxhash.xxh64_intdigest(w) for w in new])
+        self.items: list[tuple[str, np.ndarray, int]] = []  # name, distinct pairs, pairs of a stretch
         for name, notices in templates.items():
             for notice in notices:
-                pairs = self.pairs(self.codes(words_of(notice)))
+                pairs = self.pairs(self.codes([words_of(notice)])[0])
                 if pairs.size:
-                    self.items.append((name, pairs.size + 1, np.unique(pairs)))
-        self.classes: dict[int, tuple[int, dict[int, list[int]], list[np.ndarray]]] = {}
-        for c in sorted({_class_of(n) for _, n, _ in self.items}):
-            own = [i for i, (_, n, _) in enumerate(self.items) if _class_of(n) == c]
-            least = min((self.items[i][1] - 1) / (2 * c - 1) for i in own)
-            bands = bands_for(least)
-            keys = [np.array([self.minhash(self.items[i][2], b).min() for i in own], np.uint64) for b in range(bands)]
-            self.classes[c] = (bands, own, keys)
-
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > 400_000:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = self.hash(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+                    self.items.append((name, np.unique(pairs), max(pairs.size, pairs.size * _STRETCH // 4)))
+        self.classes: dict[int, tuple[list[int], np.ndarray]] = {}
+        for c in sorted({self.class_of(i) for i in range(len(self.items))}):
+            own = [i for i in range(len(self.items)) if self.class_of(i) == c]
+            sizes = [self.items[i][1].size for i in own]
+            bands = bands_for(min(containment * t / (2 * c + (1 - containment) * t) for t in sizes))
+            self.classes[c] = own, np.array([[self.minhash(self.items[i][1], b).min() for i in own] for b in range(bands)], np.uint64)
+
+    def class_of(self, item: int) -> int:
+        return max(_LEAST, 1 << (self.items[item][2] - 1).bit_length())
+
+    def codes(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the words of texts, one after the other, and the end of each text."""
+        self.memo.learn(set().union(*words))
+        stops = np.cumsum([len(w) for w in words], dtype=np.int64)
+        return np.fromiter((self.memo[w] for ws in words for w in ws), np.uint64, int(stops[-1]) if stops.size else 0), stops
 
     @staticmethod
     def pairs(codes: np.ndarray) -> np.ndarray:
@@ -97,66 +142,85 @@ class LicenseScanner:
     @staticmethod
     def minhash(pairs: np.ndarray, band: int) -> np.ndarray:
         x = pairs * _SEEDS[band]
-        return x ^ (x >> np.uint64(32))
+        x ^= x >> np.uint64(32)
+        return x
+
+    def _candidates(self, pairs: np.ndarray) -> set[tuple[int, int, int]]:
+        """(first pair, end, template) of the windows that a band retrieves for a template."""
+        top = max(self.classes)
+        h = np.full(-(-pairs.size // (2 * top)) * 2 * top, _NONE)
+        found: set[tuple[int, int, int]] = set()
+        for b in range(max(keys.shape[0] for _, keys in self.classes.values())):
+            h[: pairs.size] = self.minhash(pairs, b)
+            least, size = h, 1
+            while size < top:
+                least, size = np.minimum(least[0::2], least[1::2]), 2 * size
+                own, keys = self.classes.get(size, ([], None))
+                if not own or b >= keys.shape[0]:
+                    continue
+                window = np.minimum(least, np.append(least[1:], _NONE))
+                for w in np.flatnonzero(np.isin(window, keys[b])).tolist():
+                    found.update((w * size, (w + 2) * size, own[k]) for k in np.flatnonzero(keys[b] == window[w]).tolist())
+        return found
 
     def scan(self, texts: list[str]) -> list[list[tuple[str, float, int]]]:
-        """For each text its matches (license, share of the best notice's shingles, first word)."""
-        words = [words_of(t) for t in texts]
-        size = np.array([len(w) for w in words], np.int64)
-        stops = np.cumsum(size)
-        pairs = self.pairs(self.codes([w for ws in words for w in ws]))
-        found: list[dict[str, tuple[float, int]]] = [{} for _ in texts]
-        if not pairs.size:
+        """For each text its matches (license, share of the best notice's pairs, first word)."""
+        codes, stops = self.codes([words_of(t) for t in texts])
+        pairs = self.pairs(codes)
+        found: list[list[tuple[float, int, int, int, int]]] = [[] for _ in texts]
+        if not pairs.size or not self.items:
             return [[] for _ in texts]
-        for c, (bands, own, keys) in self.classes.items():
-            width, step = 2 * c - 1, c + 1
-            n = max(1, -(-(pairs.size - width) // step) + 1)
-            index = np.arange(n) * step
-            candidates = []
-            for b in range(bands):
-                h = np.full((n - 1) * step + width, np.uint64(0xFFFFFFFFFFFFFFFF))
-                h[: pairs.size] = self.minhash(pairs, b)[: h.size]
-                least = np.lib.stride_tricks.sliding_window_view(h, width)[::step].min(1)
-                hit = np.flatnonzero(np.isin(least, keys[b]))
-                if hit.size:
-                    at, which = np.nonzero(least[hit][:, None] == keys[b])
-                    candidates.append(hit[at] * len(own) + which)
-            for code in np.unique(np.concatenate(candidates)).tolist() if candidates else []:
-                window, i = index[code // len(own)], own[code % len(own)]
-                name, length, wanted = self.items[i]
-                first = int(np.searchsorted(stops, window, "right"))
-                for d in range(first, int(np.searchsorted(stops, min(window + width, stops[-1] - 1), "right")) + 1):
-                    base = int(stops[d] - size[d])
-                    a, z = max(base, int(window) - length), min(int(stops[d]) - 1, int(window) + width + length)
-                    share, at = self.best(pairs[a:z], wanted, length)
-                    if share >= self.containment and share > found[d].get(name, (0.0, 0))[0]:
-                        found[d][name] = (share, a + at - base)
-        return [sorted((name, share, at) for name, (share, at) in x.items()) for x in found]
+        begins = np.concatenate(([0], stops[:-1]))
+        seen: set[tuple[int, int, int]] = set()
+        for first, end, i in self._candidates(pairs):
+            _, wanted, span = self.items[i]
+            for d in range(int(np.searchsorted(stops, first, "right")), int(np.searchsorted(stops, min(end, codes.size - 1), "right")) + 1):
+                a, z = max(int(begins[d]), first - span), min(int(stops[d]) - 1, end + span)
+                if z <= a or (a, z, i) in seen:
+                    continue
+                seen.add((a, z, i))
+                share, at, last = self.best(pairs[a:z], wanted, span)
+                if share >= self.containment:
+                    base = a - int(begins[d])
+                    found[d].append((-share, -wanted.size, i, base + at, base + last))
+        return [self.distinct(x) for x in found]
+
+    def distinct(self, matches: list[tuple[float, int, int, int, int]]) -> list[tuple[str, float, int]]:
+        """Of overlapping matches the best; of those each license once, by name."""
+        kept: list[tuple[int, int]] = []
+        best: dict[str, tuple[float, int]] = {}
+        for share, _, i, first, last in sorted(set(matches)):
+            if all(last < a or first > z for a, z in kept):
+                kept.append((first, last))
+                best.setdefault(self.items[i][0], (-share, first))
+        return sorted((name, share, first) for name, (share, first) in best.items())
 
     @staticmethod
-    def best(region: np.ndarray, wanted: np.ndarray, length: int) -> tuple[float, int]:
-        """Largest share of ``wanted`` in a stretch of a quarter more words than the notice, and where it starts."""
-        if not region.size:
-            return 0.0, 0
-        span = min(region.size, max(length - 1, (length - 1) * 5 // 4))
-        place = np.searchsorted(wanted, region)
-        place[place == wanted.size] = 0
-        code = np.where(wanted[place] == region, place, -1)
-        best, where = 0, 0
-        for s in range(region.size - span + 1):
-            part = code[s : s + span]
-            n = np.unique(part[part >= 0]).size
+    def best(region: np.ndarray, wanted: np.ndarray, span: int) -> tuple[float, int, int]:
+        """Largest share of ``wanted`` in a stretch of ``span`` pairs, and its first and last place; the first of equals."""
+        place = np.minimum(np.searchsorted(wanted, region), wanted.size - 1)
+        at = np.flatnonzero(wanted[place] == region)
+        held, code = at.tolist(), place[at].tolist()
+        times, n, best, where, k = [0] * wanted.size, 0, 0, (0, 0), 0
+        for j, p in enumerate(held):
+            n += not times[code[j]]
+            times[code[j]] += 1
+            while held[k] <= p - span:
+                times[code[k]] -= 1
+                n -= not times[code[k]]
+                k += 1
             if n > best:
-                best, where = n, s + int(np.argmax(part >= 0))
-        return best / wanted.size, where
+                best, where = n, (held[k], p)
+        return best / wanted.size, *where
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = 0.8) -> DataFrame:
     """(doc_id, licenses, shares, first_words, n_licenses) of every document, over its whole text.
 
-    A license matches if a share of ``containment`` or more of one of its notices' word pairs stands close together.
-    Null, empty and one-word texts match none. Equal rows give equal results; columns besides doc_id and text are
-    ignored. Templates are a parameter of bounded size that goes with the code; no rows are shuffled.
+    A license matches if a share of ``containment`` or more of one of its notices' word pairs stands close together, and
+    no other license's notice fits the same stretch better. Null, empty and one-word texts match none. Equal rows give
+    equal results; columns besides doc_id and text are ignored. Templates are a parameter of bounded size that goes with
+    the code; no rows are shuffled.
     """
     templates = TEMPLATES if templates is None else templates
 
