@@ -64,6 +64,11 @@ def terms_of(piece: str) -> list[str]:
     return words + [w[:k] + "*" for w in words for k in _BEGINNINGS if len(w) > k]
 
 
+def base_rate(toxic: int, total: int) -> float:
+    """Share of toxic examples, drawn towards a tenth; that without examples, so that nothing is rejected unlearnt."""
+    return (toxic + 1) / (total + 10)
+
+
 class Terms(Mapping):
     """Weights of a model's terms by term. Places ascend with the weights: what many hold lies together."""
 
@@ -155,7 +160,7 @@ class BlockMaxIndex:
     def __init__(self, model: ToxicityModel):
         p = self.params = model.params
         self.terms = model.idf
-        self.prior = (model.toxic + 1) / (model.total + 2)
+        self.prior = base_rate(model.toxic, model.total)
         size = np.diff(model.begin)
         some = size > 0
         pos, neg = model.pos[~some].sum(), model.neg[~some].sum()
@@ -288,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     """Fit a model on documents whose ids ``labels`` (doc_id, toxic) marks 0 or 1; null labels are left out.
 
     At most ``params.examples`` labelled ids, least by hash, are used; ids labelled twice count as toxic if any label
-    says so, and of an id with several texts the least counts. Without examples the model scores every text alike.
+    says so, and of an id with several texts the least counts. Without examples the model scores every text alike, as clean.
     """
     ready(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -311,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     counts = sample.mapInArrow(count_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     found = counts.toArrow()
     pos, n = found["pos"].to_numpy(), found["pos"].to_numpy() + found["neg"].to_numpy()
-    base = (toxic + 1) / (total + 2)
+    base = base_rate(toxic, total)
     z = np.maximum(0, (pos - n * base) / np.sqrt(n * base * (1 - base)))
     terms = Terms(found["term"].to_pylist(), (np.log((1 + total) / (1 + n)) + 1) * (1 + z * z))
     del found

@@ -143,7 +143,7 @@ def brute_scores(texts, labelled, params=toxicity.ToxicityParams()):
     """Scores from texts, by a full scan of all examples in plain Python."""
     counts = lambda t: collections.Counter(toxicity.terms_of(t or ""))
     examples = [(counts(t), y) for t, y in labelled]
-    n, base = collections.Counter(t for c, _ in examples for t in c), (sum(y for _, y in labelled) + 1) / (len(labelled) + 2)
+    n, base = collections.Counter(t for c, _ in examples for t in c), toxicity.base_rate(sum(y for _, y in labelled), len(labelled))
     pos = collections.Counter(t for c, y in examples if y for t in c)
     weight = {t: (math.log((1 + len(labelled)) / (1 + k)) + 1) * (1 + max(0, (pos[t] - k * base) / math.sqrt(k * base * (1 - base))) ** 2) for t, k in n.items()}
 
