@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import norm
 from leadloom.functions import patterns as P
-from leadloom.plans.storage import materialise
+from leadloom.plans.storage import materialise, spread
 
 #: What segments may be scored by.
 METRICS = ["gap_pct", "median_rating", "median_reviews", "messenger_pct", "n", "email_pct", "no_own_site_pct", "own_site_pct", "phone_pct", "site_issue_pct", "sites_crawled", "social_only_pct"]
@@ -99,7 +99,7 @@ def normalize_orders(raw: DataFrame) -> DataFrame:
     col = lambda name: F.col(name) if name in raw.columns else F.lit(None).cast("string")
     budget, most = norm.positive_number(col("budget")), norm.positive_number(col("budget_max"))
     offers = col("offers").cast("string")
-    out = raw.select(
+    out = spread(raw).select(
         F.coalesce(norm.blank_to_null(col("url")), F.concat(F.col("source"), F.lit(":"), F.coalesce(col("source_id").cast("string"), F.lit("")))).alias("id"),
         "source",
         col("url").alias("url"),
@@ -155,10 +155,12 @@ def text_of_order() -> Column:
 
 
 def product_label(cfg: MarketConfig, text: Column | None = None) -> Column:
-    """Name of the first rule that matches, the user's before the built-in ones; ``other`` for none."""
+    """Name of the first rule that matches a text in lower case, the user's before the built-in ones; ``other`` for none."""
     text = text_of_order() if text is None else text
-    rules = [(r.name, r.matches) for r in cfg.products] + (P.PRODUCTS if cfg.default_products else [])
-    return F.coalesce(*[F.when(norm.matches(text, p), F.lit(n)) for n, p in rules], F.lit("other"))
+    own = [F.when(norm.matches(text, r.matches), F.lit(r.name)) for r in cfg.products]
+    # The built-in patterns are in lower case, as the text is: they need not look for either case.
+    built_in = [F.when(F.coalesce(text.rlike("(?U)" + p), F.lit(False)), F.lit(n)) for n, p in P.PRODUCTS] if cfg.default_products else []
+    return F.coalesce(*own, *built_in, F.lit("other"))
 
 
 def main_currency(orders: DataFrame, cfg: MarketConfig) -> str | None:
@@ -190,7 +192,8 @@ def prepare_orders(raw: DataFrame, cfg: MarketConfig, as_of: datetime.date) -> D
     once; the amount depends on the currency that most of the written orders have.
     """
     check_config(cfg)
-    orders = current_orders(latest_orders(normalize_orders(raw)), cfg, as_of).withColumn("product", product_label(cfg))
+    orders = current_orders(latest_orders(normalize_orders(raw)), cfg, as_of).withColumn("_text", text_of_order())
+    orders = orders.withColumn("product", product_label(cfg, F.col("_text"))).drop("_text")
     orders = materialise(orders, "orders")
     return orders.withColumn("amount", amount(main_currency(orders, cfg), cfg.rates))
 
@@ -330,7 +333,7 @@ def order_terms(orders: DataFrame) -> DataFrame:
     """
     text = F.lower(F.concat_ws(" ", "title", "description"))
     words = F.filter(F.regexp_extract_all(text, F.lit(r"(?U)[^\W\d_]{3,}"), F.lit(0)), lambda w: ~w.isin(P.STOP_WORDS))
-    tokens = orders.select(words.alias("w"))
+    tokens = spread(orders.select("title", "description")).select(words.alias("w"))
     long_words = F.transform(F.array_distinct(F.filter("w", lambda w: F.length(w) >= 4)), lambda w: F.struct(F.lit("word").alias("kind"), w.alias("term")))
     nexts = F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), nexts, lambda a, b: F.when(a != b, F.concat(a, F.lit(" "), b)))

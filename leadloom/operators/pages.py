@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import norm
 from leadloom.functions import page_patterns as R
 from leadloom.functions import patterns as P
+from leadloom.plans.storage import spread
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -206,7 +207,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Everything that one page tells, one row a page; the html is read once and dropped."""
     html = F.col("html")
     text = norm.visible_text(html)
-    p = pages.withColumn("text", text)
+    p = spread(pages).withColumn("text", text)
     body = F.col("text")
     return p.select(
         "site", "url", "final_url", "status", "cert_ok", "is_home", F.to_date("fetched").cast("string").alias("checked"),

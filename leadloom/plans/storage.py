@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Input of a core below which rows are dealt anew.
+SPREAD_BYTES = 16_000_000
 #: Rows of an id list (one long each) that may be broadcast; larger lists go through a shuffled join.
 BROADCAST_IDS = 200_000
 
@@ -36,6 +38,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input dealt to all cores; a large input stays as it is.
+
+    A small file is one task however many cores there are, which matters where each row costs much. The size is that of
+    the tables that are read, as the optimizer knows it; no job runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", limit: int = BROADCAST_IDS) -> DataFrame:
     """Semi or anti join ``df`` with a list of distinct ids.
 
