@@ -26,8 +26,9 @@ def op3_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "archive")
     archive.write_archive(table(spark, sf_dir, "pages"), path)
     records = archive.read_archive(spark, path)
+    verified = F.when(F.col("verified"), True).otherwise(F.raise_error(F.concat(F.lit("a payload is not what its record says: "), "header")).cast("boolean"))
     return records.select(
-        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to", "verified"
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to", verified.alias("verified")
     )
 
 
