@@ -17,22 +17,27 @@ def brute_repetition(t):
     best = [max((next((k for k in range(n) if i + k >= n or j + k >= n or w[i + k] != w[j + k]), n) for j in range(n) if j != i), default=0) for i in range(n)]
     c = collections.Counter(tuple(w[i : i + 5]) for i in range(n - 4))
     hit = {j for i in range(n - 4) if c[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
-    return n, len(hit), max(best, default=0)
+    covered = {j for i, k in enumerate(best) if k >= 5 for j in range(i, i + k)}
+    return n, len(hit), max(best, default=0), len(covered)
 
 
 def test_repetition_equals_brute_force(frame):
     random.seed(2)
     texts = ["".join(random.choice("ab \n") for _ in range(random.randint(0, 70))) for _ in range(80)] + ["", None, "x" * 50, "a " * 120, " \n\t", "#$ é|", "w " + "one two three four five six " * 2]
+    words = [f"w{i}" for i in range(400)]
+    texts += [" ".join(w + w[5 : 5 + k]) for k in (5, 12, 40, 60) for w in (random.sample(words, 300),)]
     rows = list(enumerate(texts)) + [(0, texts[0])]
     got = repetition.repetition_quality(frame(rows)).collect()
     assert len(got) == len(rows)
     for r in got:
         t = texts[r["doc_id"]] or ""
-        n, hit, longest = brute_repetition(t)
+        n, hit, longest, covered = brute_repetition(t)
         lines = [x for x in t.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
         assert (r["n_words"], r["n_repeat_words"], r["longest_repeat"]) == (n, hit, longest)
         assert r["n_symbols"] == sum(t.count(x) for x in "#*$%&|<>") and r["n_dup_lines"] == len(lines) - len(set(lines)) and r["word_chars"] == len(re.sub(r"[\x20\x09-\x0d]", "", t))
-        assert r["base_failed"] == (n < 10 or 100 * hit > 20 * n) and not (r["base_failed"] and r["kept"])
+        assert r["base_failed"] == (n < 10 or 100 * hit > 20 * n)
+        assert r["n_covered_words"] == covered and abs(r["covered_share"] - covered / max(1, n)) < 1e-12
+        assert r["kept"] == (not r["base_failed"] and covered <= 0.2 * n and longest <= 50)
     assert repetition.repetition_quality(frame(rows).limit(0)).count() == 0
 
 
@@ -54,7 +59,8 @@ def test_archive_round_trip(spark, tmp_path):
     archive.export_warc(archive.read_archive(spark, path).filter("page_id in (1, 9)").coalesce(1), str(tmp_path / "w"))
     files = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part")]
     want = b"".join(sorted(bytes(r["record"]) for r in archive.record_bytes(archive.read_archive(spark, path)).filter("page_id in (1, 9)").collect()))
-    assert len(b"".join(f.read_bytes() for f in files)) == len(want)
+    written = b"".join(f.read_bytes() for f in files)
+    assert len(written) == len(want) and all(bytes(r["record"]) in written for r in archive.record_bytes(archive.read_archive(spark, path)).filter("page_id in (1, 9)").collect())
     empty = shared_dir(spark, "a")
     archive.write_archive(pages.limit(0), empty)
     assert archive.read_archive(spark, empty).count() == 0
