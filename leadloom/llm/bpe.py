@@ -144,7 +144,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = BpeCodec.from_file(ranks_path, pattern)
-        memo = Memo(codec.encode_pieces, most=160_000_000)
+        memo = Memo(codec.encode_pieces, most=100_000_000)
         for batch in slices(batches, "text"):
             cut = [pieces_of(t) for t in texts_of(batch)]
             memo.learn(set().union(*cut))

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.batches import ready, slices, texts_of
+from leadloom.llm.batches import ready, release, slices, texts_of
 from leadloom.plans.storage import materialise
 
 _WORD = regex.compile(r"[^\W_]+")
@@ -36,7 +36,7 @@ _BEGINNINGS = (5, 7)
 #: Marks after a word that need no pattern to be cut off.
 _ENDS = ".,;:!?"
 #: Text that is cut at once, and queries that meet the index together.
-_SLICE_BYTES, _QUERIES = 4_000_000, 64
+_SLICE_BYTES, _QUERIES = 1_000_000, 64
 #: Terms stored as rows; more than the error of sums in single precision.
 _FREQUENT, _MARGIN = 768, 1e-4
 
@@ -48,7 +48,7 @@ Vector = tuple[np.ndarray, np.ndarray]
 class ToxicityParams:
     """``examples`` bounds the labelled ids that a model is fitted on, ``shown`` the neighbours given as evidence."""
 
-    examples: int = 5_000
+    examples: int = 4_000
     neighbours: int = 25
     threshold: float = 0.3
     prior_weight: float = 2.0
@@ -127,7 +127,9 @@ class ToxicityModel:
     def index(self) -> BlockMaxIndex:
         """The model's index, made once a process."""
         if "_index" not in self.__dict__:
+            release()
             self._index = BlockMaxIndex(self)
+            release()
         return self._index
 
     @property
@@ -178,22 +180,25 @@ class BlockMaxIndex:
         self.row = np.full(len(self.terms), -1, np.int32)
         self.row[self.frequent] = np.arange(self.frequent.size)
         self.df = np.where(self.row < 0, df, 0)
-        self.first = np.concatenate(([0], np.cumsum(self.df)))[:-1]
+        self.first = np.cumsum(self.df) - self.df
         self.rows = np.zeros((self.n_blocks * p.block, self.frequent.size), np.float32)
-        rest = []
+        own = self.row[self.places]
+        places, entry, weight = (np.empty(int((own < 0).sum()), t) for t in (np.int32, np.int32, np.float32))
+        done = 0
         for i in range(0, n, 8 * p.block):  # a few entries at a time: the weights of all would take much memory
             k = min(n, i + 8 * p.block)
             part = slice(self.begin[i], self.begin[k])
             w = tf[model.counts[part] - 1] * self.terms.weights[self.places[part]]
             w /= np.repeat(np.sqrt(np.add.reduceat(w * w, self.begin[i:k] - self.begin[i])), size[i:k])
             self.full[part] = w
-            entry, own = np.repeat(np.arange(i, k, dtype=np.int32), size[i:k]), self.row[self.places[part]]
-            self.rows[entry[own >= 0], own[own >= 0]] = w[own >= 0]
-            rest.append((self.places[part][own < 0], entry[own < 0], w[own < 0].astype(np.float32)))
+            of, often = np.repeat(np.arange(i, k, dtype=np.int32), size[i:k]), own[part] >= 0
+            self.rows[of[often], own[part][often]] = w[often]
+            more = slice(done, done + int((~often).sum()))
+            places[more], entry[more], weight[more] = self.places[part][~often], of[~often], w[~often]
+            done = more.stop
         self.block_max = self.rows.reshape(self.n_blocks, p.block, self.frequent.size).max(1).T.copy()
-        places, entry, w = (np.concatenate(x) for x in zip(*rest, strict=True)) if rest else (np.empty(0, np.int32),) * 3
-        order = np.argsort(places, kind="stable")
-        self.entry, self.weight = entry[order], w[order]
+        order = np.argsort(places, kind="stable").astype(np.int32)
+        self.entry, self.weight = entry[order], weight[order]
         self.asked = np.zeros(len(self.terms))
         self._known: dict[bytes, tuple[float, list[int]]] = {}
 
@@ -268,7 +273,7 @@ class BlockMaxIndex:
 
         p, known = self.params, self._known
         keys = [xxhash.xxh3_128_digest(v[0].tobytes() + v[1].tobytes()) if v[0].size and self.n else b"" for v in vectors]
-        if len(known) > 100_000:
+        if len(known) > 20_000:
             known.clear()
         new = {k: v for k, v in zip(keys, vectors, strict=True) if k and k not in known}
         for a in range(0, len(new), _QUERIES):
@@ -362,7 +367,7 @@ class TermCounter:
     until they hold ``most`` bytes; a text of more pieces is counted all the same.
     """
 
-    def __init__(self, terms: Terms, most: int = 100_000_000):
+    def __init__(self, terms: Terms, most: int = 40_000_000):
         self.terms, self.most = terms, most
         self._forget()
 
