@@ -113,7 +113,7 @@ def uk_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("unit", "source_id", "url", "name", "address", "city", "country", flat("categories").alias("categories"), F.col("legal.name").alias("legal_name"), F.element_at("legal.registry_ids", F.lit("company_number")).alias("number"), flat_signals("signals").alias("signals"), "incorporated")
 
 
-def open_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+def register_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies of an open register."""
 
     def payload(k: Column) -> Column:
@@ -326,7 +326,7 @@ def layout_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (map_extract, map_filters, place_search, uk_register, open_register, filing_search, private_offerings, company_submissions, hiring_posts, directory_firms, map_businesses, board_orders, gig_sellers, freelance_projects, listed_projects, tenders, channel_posts, layout_outcomes)
+    for f in (map_extract, map_filters, place_search, uk_register, register_search, filing_search, private_offerings, company_submissions, hiring_posts, directory_firms, map_businesses, board_orders, gig_sellers, freelance_projects, listed_projects, tenders, channel_posts, layout_outcomes)
 }
 
 _K = "SELECT c_custkey AS k, 'u' || (c_custkey % 3) AS unit FROM customer"
@@ -349,7 +349,7 @@ SELECT unit, 'p' || k AS source_id, 'https://maps.example.org/' || k AS url, 'Pl
     "uk_register": f"""WITH c AS (SELECT *, lpad(CAST(k AS VARCHAR), 8, '0') AS number, strftime(DATE '2023-01-01' + CAST(k % 300 AS INTEGER), '%Y-%m-%d') AS born FROM ({_K})), u AS (SELECT *, 'https://find-and-update.company-information.service.gov.uk/company/' || number AS url FROM c)
 SELECT unit, number AS source_id, url, 'FIRM ' || k || ' LTD' AS name, k || ' High St' || CASE WHEN k % 2 = 0 THEN ', Flat 1' ELSE '' END || ', N1' AS address, 'London' AS city, 'GB' AS country, CASE WHEN k % 3 <> 0 THEN 'sic:62,sic:' || (k % 9) ELSE '' END AS categories,
   'FIRM ' || k || ' LTD' AS legal_name, number, 'new_registration|' || born || '|' || url || '|' || born AS signals, born AS incorporated FROM u""",
-    "open_register": f"""WITH c AS (SELECT *, CASE k % 3 WHEN 0 THEN 'gb/' WHEN 1 THEN 'us_de/' ELSE '/' END || k AS ref, 'https://open.example.org/' || k AS url FROM ({_K}))
+    "register_search": f"""WITH c AS (SELECT *, CASE k % 3 WHEN 0 THEN 'gb/' WHEN 1 THEN 'us_de/' ELSE '/' END || k AS ref, 'https://open.example.org/' || k AS url FROM ({_K}))
 SELECT ref AS source_id, url, 'Open ' || k AS name, 'Box ' || k AS address, CASE WHEN k % 4 = 0 THEN 'Leeds' END AS city, CASE k % 3 WHEN 0 THEN 'GB' WHEN 1 THEN 'US' END AS country, CASE WHEN k % 2 = 0 THEN 'uk_sic:' || (k % 90) ELSE '' END AS categories,
   'opencorporates=' || ref || CASE WHEN k % 3 = 0 THEN ',company_number=' || k ELSE '' END AS ids, CASE WHEN k % 5 <> 0 THEN 'new_registration|2023-05-06|' || url || '|2023-05-06' ELSE '' END AS signals, CASE WHEN k % 2 = 0 THEN 'Active' END AS status FROM c""",
     "filing_search": f"""WITH c AS (SELECT *, k // 15 AS cik, strftime(DATE '2023-01-01' + CAST(k % 300 AS INTEGER), '%Y-%m-%d') AS filed FROM ({_K}) WHERE k % 4 <> 0)

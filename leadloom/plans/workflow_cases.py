@@ -125,7 +125,7 @@ def marked_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outreach.mark_status(_marked(spark, sf_dir), _updates(spark, sf_dir))[1]
 
 
-def open_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def waiting_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previewed batches that may still be approved."""
     k = F.col("o_orderkey")
     batches = _table(spark, sf_dir, "orders").select(text(k).alias("batch"), (F.lit(NOW) - F.make_dt_interval(hours=(k % 50).cast("int"))).alias("created"), F.when(k % 3 == 0, F.lit(NOW)).alias("approved"))
@@ -192,7 +192,7 @@ def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (imported_list, joined_sources, log_lines, written_report, imported_drafts, imported_suppressions, collection_quality, campaign_status, drafted_statuses, marked_leads, marked_suppressions, open_batches, batch_verdicts, draft_upserts, stream_sent_once, stream_sent_per_day, stream_enriched)
+    for f in (imported_list, joined_sources, log_lines, written_report, imported_drafts, imported_suppressions, collection_quality, campaign_status, drafted_statuses, marked_leads, marked_suppressions, waiting_batches, batch_verdicts, draft_upserts, stream_sent_once, stream_sent_per_day, stream_enriched)
 }
 
 _MARKED = f"""{_SCORED}, marked AS (SELECT *, CASE WHEN k % 31 = 0 THEN 'replied' WHEN k % 3 <> 0 THEN 'new' END AS status, CASE WHEN k % 3 <> 0 THEN 'site' || k || '.org' END AS domain, CASE WHEN k % 4 = 0 THEN 'old note' END AS notes FROM tiered)"""
@@ -217,7 +217,7 @@ UNION ALL SELECT 'step', 'site', count_if(k % 4 <> 1) FROM marked UNION ALL SELE
     "drafted_statuses": f"""WITH {_MARKED}, d AS (SELECT DISTINCT conv_id % 1600 + 1 AS lead FROM conversations) SELECT CASE WHEN coalesce(status, 'new') = 'new' AND k IN (SELECT lead FROM d) THEN 'drafted' ELSE status END AS status, count(*) AS n FROM marked GROUP BY 1""",
     "marked_leads": f"""WITH {_MARKED} SELECT CAST(k AS VARCHAR) AS id, CASE WHEN k % 12 = 0 THEN 'suppressed' WHEN k % 6 = 0 THEN 'won' ELSE status END AS status, CASE WHEN k % 18 = 0 THEN concat_ws(chr(10), notes, 'asked ' || k) ELSE notes END AS notes FROM marked""",
     "marked_suppressions": f"""WITH {_MARKED} SELECT DISTINCT unnest(CASE WHEN domain IS NOT NULL THEN [domain] ELSE list_filter([CASE WHEN k % 6 <> 0 THEN 'info@site' || k || '.org' END, CASE WHEN k % 2 = 0 THEN '7900' || lpad(CAST(k AS VARCHAR), 7, '0') END], lambda x: x IS NOT NULL) END) AS entry FROM marked WHERE k % 12 = 0""",
-    "open_batches": "SELECT CAST(o_orderkey AS VARCHAR) AS batch FROM orders WHERE o_orderkey % 50 < 24 AND o_orderkey % 3 <> 0",
+    "waiting_batches": "SELECT CAST(o_orderkey AS VARCHAR) AS batch FROM orders WHERE o_orderkey % 50 < 24 AND o_orderkey % 3 <> 0",
     "batch_verdicts": _PLANNED + " SELECT id AS draft_id, CASE WHEN NOT ready THEN 'approved but ' || reason WHEN length(id) % 2 = 1 THEN 'changed since the preview; re-preview' ELSE 'ok' END AS verdict FROM plan",
     "draft_upserts": """WITH c AS (SELECT c_custkey AS k, c_custkey % 2 = 0 AS was, c_custkey % 4 = 0 AS sent, c_custkey % 3 = 0 AS fresh FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0)
 SELECT k || ':1:email' AS id, CASE WHEN fresh AND NOT sent THEN 'new ' ELSE 'old ' END || k AS body, CASE WHEN sent THEN 'sent' ELSE 'draft' END AS status, CASE WHEN was THEN '2024-01-01' ELSE '2024-02-02' END AS created, CASE WHEN fresh AND NOT sent THEN '2024-02-02' ELSE '2024-01-01' END AS updated FROM c""",
