@@ -11,7 +11,8 @@ Prefix tree: the sets of a block, their elements in one order for all of them (m
 whose branches hold runs of elements. A query walks the branches level by level; the overlap of a shared prefix is
 computed once for all sets below it, and runs of subtrees whose remaining length cannot reach the required overlap, or
 that hold no set that is still looked for, are not read. Large clusters are dealt to chunks; members of chunks that are
-not linked yet then meet those with whom they share one of the rarest elements, block by block.
+not linked yet then meet those with whom they share one of the rarest elements, or all others where that is less work,
+block by block.
 """
 
 from __future__ import annotations
@@ -421,18 +422,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int =
     sizes_of = parts.groupBy("cluster", "component").agg(F.count("*").alias("k"))
     largest = sizes_of.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     # Then, in clusters of several chunks that are not one yet, members outside the largest part meet those that share an
-    # element of theirs; elements that the same members have count once.
-    parts = parts.join(largest, "cluster")
-    asked = join_ids(prefixes, parts.filter("component <> main").select("node"), "node")
-    met = join_ids(join_ids(prefixes, parts.select("node"), "node"), asked.select("hash").distinct(), "hash")
-    groups = met.groupBy("hash").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).filter("m > 1")
-    groups = groups.groupBy("m", "x1", "x2").agg(F.min("hash").alias("hash")).join(asked.groupBy("hash").agg(F.count("*").alias("s")), "hash")
-    groups = groups.select("hash", F.ceil(F.col("m") / chunk).cast("int").alias("rows"), F.ceil(F.col("s") / chunk).cast("int").alias("cols"))
+    # element of theirs; elements that the same members have count once. Where that would move more texts than to meet
+    # all members of the cluster, as in a group of copies whose elements all share, they meet all.
+    open_ = materialise(parts.join(largest, "cluster").select("node", "cluster", (F.col("component") != F.col("main")).alias("stray")), "open-clusters")
+    met = prefixes.join(open_, "node")
+    sizes_in = [F.count("*").alias("m"), F.count_if("stray").alias("s")]
+    groups = met.groupBy("hash").agg(*sizes_in, F.min("cluster").alias("cluster"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).filter("m > 1 and s > 0")
+    groups = materialise(groups.groupBy("cluster", "m", "s", "x1", "x2").agg(F.min("hash").alias("hash")), "element-groups")
+    wide = [F.ceil(F.col("m") / chunk).cast("int").alias("rows"), F.ceil(F.col("s") / chunk).cast("int").alias("cols")]
+    moved = F.col("m") * F.ceil(F.col("s") / chunk) + F.col("s") * F.ceil(F.col("m") / chunk)
+    whole = open_.groupBy("cluster").agg(*sizes_in).join(groups.groupBy("cluster").agg(F.sum(moved).alias("by_element")), "cluster", "left")
+    whole = materialise(whole.select("cluster", *wide, (F.coalesce("by_element", F.lit(0)) > moved).alias("all_meet")), "cluster-groups")
+    apart = groups.join(whole.filter("not all_meet").select("cluster"), "cluster", "left_semi").select("hash", F.concat_ws(":", "cluster", "hash").alias("key"), *wide)
+    together = whole.filter("all_meet").select("cluster", F.concat("cluster", F.lit(":all")).alias("key"), "rows", "cols")
+    meeting = met.join(apart, "hash").select("node", "stray", "key", "rows", "cols").unionByName(open_.join(together, "cluster").select("node", "stray", "key", "rows", "cols"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    name = F.concat_ws("/", "hash", "row", "col").alias("block")
-    crossed = met.join(groups, "hash").select("node", "hash", own("rows").alias("row"), every("cols").alias("col")).select("node", name)
-    crossed = crossed.unionByName(asked.join(groups, "hash").select("node", "hash", own("cols").alias("col"), every("rows").alias("row")).select("node", name))
+    name = F.concat_ws("/", "key", "row", "col").alias("block")
+    crossed = meeting.select("node", "key", own("rows").alias("row"), every("cols").alias("col")).select("node", name)
+    crossed = crossed.unionByName(meeting.filter("stray").select("node", "key", own("cols").alias("col"), every("rows").alias("row")).select("node", name))
     links = near
     if largest.limit(1).count():
         links = near.unionByName(_links(kept, crossed.distinct(), n, percent))
