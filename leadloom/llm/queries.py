@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import archive, bpe, decontamination, licenses, ngram_join, repetition, suffix_dedup, token_counts, token_files, toxicity
+from leadloom.llm import archive, bpe, decontamination, licenses, ngram_join, repetition, simhash, suffix_dedup, token_counts, token_files, toxicity
 from leadloom.llm.oracles import ORACLES  # noqa: F401
 from leadloom.plans.storage import shared_dir
 
@@ -77,5 +77,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_archive, op4_token_files, op5_bpe, op6_ngram_join, op7_license_scan, op8_decontamination, op9_toxicity, op10_suffix_dedup)}
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of fingerprints that differ in two bits at most."""
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+NUMBERED = (
+    op1_token_counts,
+    op2_quality_rules,
+    op3_archive,
+    op4_token_files,
+    op5_bpe,
+    op6_ngram_join,
+    op7_license_scan,
+    op8_decontamination,
+    op9_toxicity,
+    op10_suffix_dedup,
+    op13_simhash,
+)
+QUERIES = {f.__name__: f for f in NUMBERED}
 
