@@ -34,5 +34,39 @@ WITH words AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op12_conversation_trie": """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns, CAST(conv_id AS VARCHAR) AS s FROM t GROUP BY conv_id
+), heads AS (
+  -- The crc32 of an id's digits: each byte is mixed in, then eight bits are shifted out.
+  SELECT conv_id, turns, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(range(1, length(s) + 1), lambda i: list_prepend(CAST(ascii(s[i]) AS BIGINT), list_transform(range(8), lambda k: CAST(-1 AS BIGINT)))))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END
+  )) % 9 AS h FROM own
+), built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns FROM heads c LEFT JOIN own b ON b.conv_id = c.base
+), paths AS (
+  SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM built
+), nodes AS (
+  SELECT depth, turns[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(CASE WHEN len(turns) = depth THEN conv_id END, ',' ORDER BY conv_id) AS ends
+  FROM paths GROUP BY depth, turns[1:depth]
+), kin AS (
+  SELECT c.depth, c.conv_id, p.conv_id AS parent_conv_id
+  FROM nodes c JOIN nodes p ON p.depth = c.depth - 1 AND p.prefix = c.prefix[1:c.depth - 1]
+), children AS (
+  SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n_children FROM kin GROUP BY ALL
+), costs AS (
+  SELECT n.depth, n.prefix, (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE strlen(n.prefix[n.depth].text) END AS saved, n_children IS NULL AS is_leaf
+  FROM nodes n LEFT JOIN children USING (depth, conv_id)
+), totals AS (
+  SELECT d AS depth, prefix[1:d] AS prefix, count(*) FILTER (WHERE is_leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT prefix, saved, is_leaf, unnest(range(0, depth + 1)) AS d FROM costs) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes n LEFT JOIN kin USING (depth, conv_id) LEFT JOIN children USING (depth, conv_id) JOIN totals ON totals.depth = n.depth AND totals.prefix = n.prefix
 """,
 }
