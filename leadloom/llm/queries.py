@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import archive, bpe, conversation_trie, decontamination, licenses, ngram_join, repetition, simhash, suffix_dedup, token_counts, token_files, toxicity
+from leadloom.llm import alignment, archive, bpe, conversation_trie, decontamination, licenses, ngram_join, repetition, simhash, suffix_dedup, token_counts, token_files, toxicity
 from leadloom.llm.oracles import ORACLES  # noqa: F401
 from leadloom.plans.storage import shared_dir
 
@@ -77,6 +77,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents' tokens of two tokenizers, and how often what they link is linked."""
+    return alignment.alignment(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of all conversations, rebuilt on the heads of others."""
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
@@ -98,6 +103,7 @@ NUMBERED = (
     op8_decontamination,
     op9_toxicity,
     op10_suffix_dedup,
+    op11_alignment,
     op12_conversation_trie,
     op13_simhash,
 )
