@@ -222,7 +222,7 @@ def join_block(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
 
 
 def _segment_rows(n: int, percent: int):
-    """Rows (hash, node, size): size -1 for a segment's hash; one row (pair, node, size) with the size of each row's set."""
+    """Rows (hash, node, size): size -1 for a segment's hash; one row (k1, node, size) with the size of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, schemes = ShingleSets(n), SegmentSchemes(percent)
@@ -241,13 +241,13 @@ def _segment_rows(n: int, percent: int):
 
 
 def _size_rows(n: int):
-    """Rows (pair, size) of the sets of rows (pair, text)."""
+    """Rows (k1, k2, size) of the sets of rows (k1, k2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = ShingleSets(n)
         for batch in slices(batches, "text"):
             sizes = [s.size for s in shingles.of(texts_of(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32())], names=["pair", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32())], names=["k1", "k2", "size"])
 
     return run
 
@@ -304,7 +304,7 @@ def _join_rows(n: int, percent: int):
 
 
 def _token_rows(n: int):
-    """Rows (hash, node, pair, size) of the elements of the set of each row; ``pair`` names its id and text."""
+    """Rows (hash, node, pair, size) of the elements of the set of each row; ``pair`` names its text among those of its id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = ShingleSets(n)
@@ -351,12 +351,13 @@ def _rare_prefixes(tokens: DataFrame, percent: int) -> DataFrame:
     """(hash, node) of the rarest elements of each set, of which linked sets share at least one.
 
     A set of n elements needs its n - ⌈n · percent / 100⌉ + 1 rarest. Those that no other set has come first and meet
-    nothing; a set with that many of them has no link at all and is gone. An id with several texts has a set for each.
+    nothing; a set with that many of them has no link at all and is gone. An id with several texts has a set for each; an
+    element that several of them want is one row.
     """
     sets = tokens.groupBy("node", "pair").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("shared"))
     wanted = F.expr(f"size - (size * {percent} + 99) div 100 + 1")
     met = (wanted - (F.col("size") - F.size("shared"))).cast("int")
-    return materialise(sets.withColumn("met", met).filter("met > 0").select("node", F.explode(F.expr("slice(shared, 1, met)")).alias("e")).select("e.hash", "node"), "prefixes")
+    return materialise(sets.withColumn("met", met).filter("met > 0").select("node", F.explode(F.expr("slice(shared, 1, met)")).alias("e")).select("e.hash", "node").distinct(), "prefixes")
 
 
 def _chunked(clusters: DataFrame, chunk: int) -> DataFrame:
@@ -386,23 +387,32 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int =
     narrow = materialise(rows.select("doc_id", "k1", "k2"), "text-keys")
     classes = narrow.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows"))
     classes = materialise(classes, "text-classes")
-    pair = F.xxhash64("doc_id", "k1")
-    spare = narrow.join(classes.filter("n_rows > 1"), ["k1", "k2"]).filter("not (doc_id <=> node)").select(pair.alias("pair")).distinct()
-    kept = join_ids(rows.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "text", pair.alias("pair")), spare, "pair", "left_anti")
+    # A text of an id is named by the id and 128 bits; what goes with an id besides needs no more than 64.
+    key = ["node", "k1", "k2"]
+    spare = narrow.join(classes.filter("n_rows > 1"), ["k1", "k2"]).filter("doc_id <> node").select(F.col("doc_id").alias("node"), "k1", "k2").distinct()
+    kept = join_ids(rows.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "text", "k1", "k2"), spare, key, "left_anti")
 
-    hashed = kept.select("node", "pair", "text").mapInArrow(_segment_rows(n, percent), "hash long, node long, size int")
+    hashed = kept.select("node", "k1", "text").mapInArrow(_segment_rows(n, percent), "hash long, node long, size int")
     shared = hashed.repartition("hash").sortWithinPartitions("hash", "node").mapInArrow(_shared_rows, "hash long, node long, size int")
     shared = materialise(shared, "shared-segments")
+    sizes = shared.filter("size >= 0").groupBy("node", F.col("hash").alias("k1")).agg(F.max("size").alias("size"))
     # Texts that only rows without an id have are in no block, but have a size.
-    lone = classes.filter("node is null").select("k1", "k2")
-    lone = rows.filter("doc_id is null").join(lone, ["k1", "k2"], "left_semi").select(pair.alias("pair"), "text").mapInArrow(_size_rows(n), "pair long, size int")
-    sizes = shared.filter("size >= 0").select(F.col("hash").alias("pair"), "size").unionByName(lone).groupBy("pair").agg(F.max("size").alias("size"))
-    sized = materialise(classes.withColumn("pair", F.xxhash64("node", "k1")).join(sizes, "pair", "left").drop("pair"), "sized-classes")
+    lone = classes.filter("node is null")
+    lone_sizes = rows.filter("doc_id is null").join(lone.select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2", "text").mapInArrow(_size_rows(n), "k1 long, k2 long, size int")
+    lone_sizes = lone_sizes.groupBy("k1", "k2").agg(F.max("size").alias("size"))
+    columns = ["k1", "k2", "node", "n_rows", "size"]
+    sized = classes.filter("node is not null").join(sizes, ["node", "k1"], "left").select(columns).unionByName(lone.join(lone_sizes, ["k1", "k2"], "left").select(columns))
+    sized = materialise(sized, "sized-classes")
     # Ids with several texts are linked to the row that stands for each.
     several = narrow.filter("doc_id is not null").groupBy("doc_id").agg((F.count_distinct("k1", "k2") > 1).alias("several")).filter("several").select("doc_id")
     same = narrow.join(several, "doc_id").join(sized.filter("size > 0"), ["k1", "k2"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     candidates = shared.filter("size < 0").select("hash", "node")
-    survivors = join_ids(kept, candidates.select("node").distinct(), "node").select("node", "pair", "text").distinct()
+    survivors = join_ids(kept, candidates.select("node").distinct(), "node")
+    # Only rows that repeat both id and text are moved to be counted once.
+    repeated = materialise(narrow.filter("doc_id is not null").groupBy(F.col("doc_id").alias("node"), "k1", "k2").count().filter("count > 1").select(key), "repeated-rows")
+    if repeated.limit(1).count():
+        survivors = join_ids(survivors, repeated, key, "left_anti").unionByName(join_ids(survivors, repeated, key).dropDuplicates(key))
+    survivors = survivors.select("node", F.col("k1").alias("pair"), "text")
     tokens = survivors.mapInArrow(_token_rows(n), "hash long, node long, pair long, size int")
     tokens = tokens.repartition("hash").sortWithinPartitions("hash").mapInArrow(_frequencies, "hash long, node long, pair long, size int, df int")
     prefixes = _rare_prefixes(tokens, percent)

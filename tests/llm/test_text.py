@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from leadloom.llm import archive, decontamination, licenses, ngram_join, repetition, suffix_dedup, suffix_sort, toxicity
 from leadloom.plans.storage import shared_dir
@@ -458,3 +459,48 @@ def test_deep_shallow_order_and_reach():
             pairs = [(common(rows[i], rows[j]), common(left[i].tobytes(), left[j].tobytes())) for j in range(n) if j != i and group[i] == group[j]]
             ok = [(r, x) for r, x in pairs if r + x >= 200]
             assert (got[0][i], got[1][i], got[2][i]) == (max((r for r, _ in ok), default=0), max((x for _, x in ok), default=0), bool(ok))
+
+
+@pytest.mark.parametrize("chunk, many", [(3, 60), (600, 1500)])
+def test_chain_of_ids_with_several_texts_is_one_component(frame, chunk, many):
+    """Each id links with the next alone, and every second one stands twice, with other white space: no link is lost."""
+    words = [f"w{i}" for i in range(8 * many + 103)]
+    rows = []
+    for i in range(many):
+        w = words[8 * i : 8 * i + 103]
+        rows.append((i, " ".join(w)))
+        if i % 2:
+            rows.append((i, "  ".join(w)))
+    got = ngram_join.near_duplicates(frame(rows), n=4, percent=85, chunk=chunk).collect()
+    assert len(got) == len(rows) and {(r["n_shingles"], r["component_id"]) for r in got} == {(100, 0)}
+
+
+@pytest.mark.parametrize("chunk", [2, 3, 600])
+def test_ids_with_several_near_texts_equal_brute_force(frame, chunk):
+    rng, rows = random.Random(chunk), []
+    for k in range(6):
+        base = [f"a{k}x{j}" for j in range(40)]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                w[rng.randrange(40)] = f"new{rng.randrange(9)}"
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                rows.append((rng.choice([len(rows), len(rows), 5 * k]), rng.choice([" ", "  ", "\n"]).join(w)))
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets.setdefault(i, []).append({tuple(w[j : j + 4]) for j in range(len(w) - 3)})
+    least = {i: i for i in sets}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and any(100 * len(a & b) >= 80 * len(a | b) for a in sets[i] for b in sets[j]):
+                x, y = root(i), root(j)
+                least[max(x, y)] = min(x, y)
+    got = ngram_join.near_duplicates(frame(rows), n=4, percent=80, chunk=chunk).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, root(i)) for i, _ in rows)
