@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,17 +36,6 @@ def read_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).option("ignoreMissingFiles", True).json(path)
 
 
-def read_snapshots(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """Raw snapshots under ``root/<source>/<day>/<unit>.jsonl``, with source, day, unit and pos from the path and line.
-
-    ``pos`` orders the rows of a file, however it is split; filters on source and day are pushed to the paths read.
-    """
-    rows = spark.read.schema(schema).option("ignoreMissingFiles", True).json(f"{root}/*/*/*.jsonl")
-    path = F.url_decode(F.col("_metadata.file_path"))
-    part = lambda n: F.regexp_extract(path, r"([^/]+)/([^/]+)/([^/]+)\.jsonl$", n)
-    return rows.select("*", part(1).alias("_source"), part(2).alias("day"), part(3).alias("unit"), file_place().alias("pos"))
-
-
 def file_place() -> Column:
     """Place of a row in its file: ascending over all parts of the file, whatever the cluster and the size of parts.
 
@@ -57,9 +46,14 @@ def file_place() -> Column:
 
 
 def latest_snapshot(rows: DataFrame) -> DataFrame:
-    """All rows of the newest day of each (source, unit)."""
-    newest = F.max("day").over(Window.partitionBy("source", "unit"))
-    return rows.withColumn("_newest", newest).filter(F.col("day") == F.col("_newest")).drop("_newest")
+    """All rows of the newest day of each (source, unit).
+
+    The newest days are few, found by partial aggregates; the rows are not sorted. Where rows come from files,
+    ``snapshots.newest`` chooses the files instead, so that others are not read.
+    """
+    last = rows.groupBy(F.col("source").alias("_s"), F.col("unit").alias("_u")).agg(F.max("day").alias("_d"))
+    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("unit").eqNullSafe(F.col("_u")) & (F.col("day") == F.col("_d"))
+    return rows.join(last, same, "left_semi")
 
 
 def of_kind(rows: DataFrame, catalogue: DataFrame, kind: str) -> DataFrame:
@@ -155,13 +149,6 @@ def map_aliases(rows: DataFrame, segment: str | None = None, unit: str = "list")
     return mapped.withColumn("socials", socials).withColumn("source_id", F.concat(F.lit(f"{unit}:"), (F.col("pos") + 1).cast("string"))).drop("linkedin", "facebook", "instagram", "telegram", "whatsapp")
 
 
-def write_version(rows: DataFrame, root: str, version: str) -> str:
-    """Write a table as a new version folder; readers switch to it once it is whole."""
-    path = f"{root}/{version}"
-    rows.write.mode("errorifexists").parquet(path)
-    return path
-
-
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

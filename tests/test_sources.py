@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom.operators import market
-from leadloom.sources import files, units
+from leadloom.sources import files, snapshots, units
 from leadloom.streaming import feeds
 
 SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("source_id", "title", "budget")])
@@ -19,7 +19,7 @@ def test_snapshots_by_path(spark, tmp_path):
     write(tmp_path / "fl" / "2024-01-01" / "u 1.jsonl", [{"source_id": "1", "title": "a"}, {"source_id": "2", "title": "b"}])
     write(tmp_path / "fl" / "2024-01-02" / "u 1.jsonl", [{"source_id": "1", "title": "c"}])
     write(tmp_path / "kw" / "2024-01-01" / "x.jsonl", [{"source_id": "9", "title": "z"}])
-    rows = files.read_snapshots(spark, str(tmp_path), SCHEMA).withColumnRenamed("_source", "source")
+    rows = snapshots.read_snapshots(spark, str(tmp_path), SCHEMA).withColumnRenamed("_source", "source")
     assert sorted((r["source"], r["day"], r["unit"]) for r in rows.collect()) == [("fl", "2024-01-01", "u 1"), ("fl", "2024-01-01", "u 1"), ("fl", "2024-01-02", "u 1"), ("kw", "2024-01-01", "x")]
     assert sorted(r["title"] for r in files.latest_snapshot(rows).collect()) == ["c", "z"]
     catalogue = spark.createDataFrame([("fl", "demand"), ("kw", "businesses")], "source string, kind string")
@@ -91,7 +91,7 @@ def test_places_ascend_in_a_split_file(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        got = files.read_snapshots(spark, str(tmp_path), SCHEMA)
+        got = snapshots.read_snapshots(spark, str(tmp_path), SCHEMA)
         assert got.rdd.getNumPartitions() > 5
         for unit, n in (("big", 4000), ("small", 50)):
             assert [int(r["source_id"]) for r in got.filter(F.col("unit") == unit).orderBy("pos").collect()] == list(range(n))
