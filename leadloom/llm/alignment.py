@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,17 @@ from leadloom.llm.batches import ready, slices
 from leadloom.plans.storage import materialise
 
 #: Text aligned at once.
-_SLICE_BYTES = 2_000_000
+_SLICE_BYTES = 1_000_000
 #: Bytes of pieces and their alignments that a worker remembers.
-REMEMBERED = 100_000_000
+REMEMBERED = 60_000_000
+#: New pieces that the libraries get as one text, and that are aligned together.
+_JOINED, _TOGETHER = 100, 20_000
 #: Distinct linked pairs of ids (a few words each) that may be broadcast; more take the shuffled join.
 BROADCAST_PAIRS = 400_000
 
 # What Unicode takes for white space, as code points.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_BLANK = set(map(chr, _SPACES))
 _ANY = "[" + "".join(rf"\x{{{c:x}}}" for c in _SPACES) + "]"
 #: Texts in which white space stands at the beginning or next to white space.
 _ADJACENT = f"^{_ANY}|{_ANY}{_ANY}"
@@ -89,33 +93,58 @@ class Aligner:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.texts: list[bytes] = []
+        # Keys are pieces without their first space; a piece that starts otherwise, or with a space and a line feed, is
+        # its own key in a tuple, unless it starts with a line feed.
+        self.numbers: dict[str | tuple[str], int] = {}
         self.counts = np.empty((5, 0), np.int64)  # valid, tokens of A, of B, groups, links
-        self.pairs, self.stops = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.pairs, self.pair_stops = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.written, self.written_stops = np.empty(0, np.uint8), np.zeros(1, np.int64)
         self.held = 0
 
-    def _b_ids(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of B, which adds a space of its own: that of a piece is left to it, or its token is dropped again."""
-        asked = [p[1:] if p[0] == " " else p for p in pieces]
+    def _b_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of B, which adds a space of its own: that of a text is left to it, or its token is dropped again."""
+        asked = [t[1:] if t[0] == " " else t for t in texts]
         found = self.b.encode(asked, num_threads=1)
-        return [ids[1:] if p[0] != " " else ids if q else [self.space] for p, q, ids in zip(pieces, asked, found, strict=True)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode and align new pieces, all together."""
-        first = len(self.texts)
-        ids = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)], self._b_ids(pieces)
+        return [ids[1:] if t[0] != " " else ids if q else [self.space] for t, q, ids in zip(texts, asked, found, strict=True)]
+
+    def _spelt(self, texts: list[str], ends: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A and B of texts, one after the other; None if they do not spell ``raw`` or no token ends at an end."""
+        found = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self._b_ids(texts)
+        sides = []
+        for lists, tokens, sizes in zip(found, (self.a_token, self.b_token), (self.a_size, self.b_size), strict=True):
+            flat = list(chain.from_iterable(lists))
+            ids = np.array(flat, np.int64)
+            at = np.cumsum(sizes[ids])
+            if b"".join(map(tokens.__getitem__, flat)) != raw or not np.isin(ends, at, assume_unique=True).all():
+                return None
+            sides.append(ids)
+        return sides[0], sides[1]
+
+    def _encode(self, pieces: list[str], join: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, ids of B, bytes of each piece) of pieces, one after the other; no ids and no bytes if not spelt.
+
+        The libraries get ``join`` pieces as one text where they cut it as it was joined: pieces end visibly.
+        """
         raw = [p.encode("utf-8", "replace") for p in pieces]
-        tokens = self.a_token, self.b_token
-        valid = np.ones(len(pieces), bool)
-        if any(b"".join([t[i] for x in side for i in x]) != b"".join(raw) for side, t in zip(ids, tokens, strict=True)) or any(
-            (np.fromiter((sum(map(len, map(t.__getitem__, x))) for x in side), np.int64, len(pieces)) != np.fromiter(map(len, raw), np.int64, len(pieces))).any() for side, t in zip(ids, tokens, strict=True)
-        ):
-            valid = np.array([all(b"".join([t[i] for i in side[k]]) == raw[k] for side, t in zip(ids, tokens, strict=True)) for k in range(len(pieces))])
-            ids = tuple([x if ok else [] for x, ok in zip(side, valid.tolist(), strict=True)] for side in ids)
-        many = [np.fromiter(map(len, side), np.int64, len(pieces)) for side in ids]
-        a, b = (np.fromiter((i for x in side for i in x), np.int64, int(m.sum())) for side, m in zip(ids, many, strict=True))
-        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        joined = ["".join(pieces[k : k + join]) for k in range(0, len(pieces), join)]
+        if sides := self._spelt(joined, np.cumsum(size), b"".join(raw)):
+            return *sides, size
+        if len(pieces) == 1:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
+        step = join if len(pieces) > join else 1
+        parts = [self._encode(pieces[k : k + step], join) for k in range(0, len(pieces), step)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _learn(self, keys: list[str | tuple[str]]) -> None:
+        """Encode and align new pieces, all together."""
+        keys = sorted(keys, key=self._ends_blank)
+        blank = sum(map(self._ends_blank, keys))
+        pieces = [k[0] if isinstance(k, tuple) else k if k[:1] == "\n" else " " + k for k in keys]
+        first, n = self.counts.shape[1], len(pieces)
+        parts = [self._encode(x, join) for x, join in ((pieces[: n - blank], _JOINED if self.cuts else 1), (pieces[n - blank :], 1)) if x]
+        a, b, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        a_ends, b_ends, ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.cumsum(size)
         last = terminals(a_ends, b_ends)
         ends_group = last[a.size :] == a.size + np.arange(b.size)
         number = np.cumsum(ends_group) - 1  # of the group that a terminal ends
@@ -125,75 +154,99 @@ class Aligner:
         links = high - low
         linked = np.repeat(np.arange(a.size), links)
         other = np.repeat(low - np.cumsum(links) + links, links) + np.arange(linked.size)
-        a_piece, b_piece = (np.repeat(np.arange(len(pieces)), m) for m in many)
-        n_groups = np.bincount(b_piece[ends_group], minlength=len(pieces))
-        n_links = np.bincount(a_piece[linked], minlength=len(pieces))
-        self.texts += self._written(a, b, group, np.cumsum(many[0] + many[1]))
+        a_piece, b_piece = np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends)
+        of_piece = lambda x: np.bincount(x, minlength=n)
+        counts = np.stack([size > 0, of_piece(a_piece), of_piece(b_piece), of_piece(b_piece[ends_group]), of_piece(a_piece[linked])]).astype(np.int64)
         pairs = a[linked] * self.b_size.size + b[other]
+        text, length = self._write(a, b, group, np.concatenate((a_piece, b_piece)), n)
         self.pairs = np.concatenate((self.pairs, pairs))
-        self.stops = np.concatenate((self.stops, self.stops[-1] + np.cumsum(n_links)))
-        self.counts = np.concatenate((self.counts, np.stack([valid, *many, n_groups, n_links]).astype(np.int64)), axis=1)
-        self.numbers.update(zip(pieces, range(first, first + len(pieces)), strict=True))
-        self.held += sum(map(len, raw)) + sum(map(len, self.texts[first:])) + 8 * pairs.size + 300 * len(pieces)
+        self.pair_stops = np.concatenate((self.pair_stops, self.pair_stops[-1] + np.cumsum(counts[4])))
+        self.written = np.concatenate((self.written, text))
+        self.written_stops = np.concatenate((self.written_stops, self.written_stops[-1] + np.cumsum(length)))
+        self.counts = np.concatenate((self.counts, counts), axis=1)
+        self.numbers.update(zip(keys, range(first, first + n), strict=True))
+        self.held += int(size.sum()) + text.size + 8 * pairs.size + 250 * n
+
+    @staticmethod
+    def _write(a: np.ndarray, b: np.ndarray, group: np.ndarray, piece: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Groups of pieces as bytes, and how many each of ``n`` pieces has: ids of A, a bar, ids of B, a semicolon."""
+        key = 2 * group + np.repeat([0, 1], [a.size, b.size])
+        order = np.argsort(key, kind="stable")
+        key, ids, piece = key[order], np.concatenate((a, b))[order], piece[order]
+        digits = max(1, len(str(int(ids.max(initial=0)))))
+        # A row a token: its digits, blank where it has fewer, and the mark behind it.
+        marks = np.empty((ids.size, digits + 1), np.uint8)
+        rest = ids.copy()
+        for k in range(digits - 1, -1, -1):
+            marks[:, k] = np.where((rest > 0) | (k == digits - 1), rest % 10 + ord("0"), 0)
+            rest //= 10
+        marks[:, digits] = ord(",")
+        if ids.size:
+            ends = np.append(key[1:] != key[:-1], True)
+            marks[ends, digits] = np.where(key[ends] % 2 == 1, ord(";"), ord("|"))
+        used = marks > 0
+        return marks[used], np.bincount(piece, used.sum(axis=1), n).astype(np.int64)
 
     @staticmethod
-    def _written(a: np.ndarray, b: np.ndarray, group: np.ndarray, stops: np.ndarray) -> list[bytes]:
-        """Groups of each piece as text: ids of A, a bar, ids of B; groups divided by semicolons."""
-        side = np.repeat([0, 1], [a.size, b.size])
-        order = np.argsort(2 * group + side, kind="stable")
-        key = (2 * group + side)[order]
-        before = np.full(order.size, ",", "U1")
-        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if order.size else np.empty(0, np.int64)
-        before[new] = np.where(key[new] % 2 == 1, "|", ";")
-        begins = np.concatenate(([0], stops[:-1]))
-        before[begins[begins < stops]] = ""
-        ids = np.concatenate((a, b))[order].tolist()
-        parts = [s + str(i) for s, i in zip(before.tolist(), ids, strict=True)]
-        return ["".join(parts[x:y]).encode() for x, y in zip(begins.tolist(), stops.tolist(), strict=True)]
+    def _ends_blank(key: str | tuple[str]) -> bool:
+        text = key[0] if isinstance(key, tuple) else key
+        return not text or text[-1] in _BLANK
 
     def pieces_of(self, text: str) -> list[str]:
         """A text, with a space before it, cut where both tokenizers start a new token."""
         return _CUT.split(" " + text) if self.cuts else [" " + text]
 
-    def _cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(distinct pieces, pieces of all texts by their place there, how many each text has) of texts that are not empty."""
+    @staticmethod
+    def _key(piece: str) -> str | tuple[str]:
+        if piece[0] == "\n":
+            return piece
+        return piece[1:] if piece[0] == " " and piece[1:2] != "\n" else (piece,)
+
+    def _cut(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+        """(keys of distinct pieces, pieces of all texts by their place there, how many each text has) of texts that are not empty."""
         plain = self.cuts and not pc.any(pc.match_substring_regex(texts, _ADJACENT)).as_py()
         if plain:
             lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
             numbered = lists.flatten().dictionary_encode()
-            distinct = [p if p[:1] == "\n" else " " + p for p in numbered.dictionary.to_pylist()]
-            return distinct, numbered.indices.to_numpy(), lists.value_lengths().to_numpy()
+            return numbered.dictionary.to_pylist(), numbered.indices.to_numpy(), lists.value_lengths().to_numpy()
         lists = [self.pieces_of(t) for t in texts.to_pylist()]
         numbered = pa.array([p for x in lists for p in x], pa.large_string()).dictionary_encode()
-        return numbered.dictionary.to_pylist(), numbered.indices.to_numpy(), np.array([len(x) for x in lists])
+        return [self._key(p) for p in numbered.dictionary.to_pylist()], numbered.indices.to_numpy(), np.array([len(x) for x in lists])
 
     def align(self, texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """Of texts that are not empty: counts (tokens of A, of B, groups, links), written groups, and their links.
 
-        Links are the codes of (row, pair), repeated as often as they occur; a pair of ids is a · (size of B) + b.
-        Texts whose tokens do not spell them have no tokens.
+        Links are (row, pair), repeated as often as they occur; a pair of ids is a · (size of B) + b. Texts whose tokens
+        do not spell them have no tokens.
         """
         if self.held > self.remembered:
             self._forget()
         distinct, place, many = self._cut(texts)
-        new = [p for p in distinct if p not in self.numbers]
-        if new:
-            self._learn(new)
+        new = [k for k in distinct if k not in self.numbers]
+        for at in range(0, len(new), _TOGETHER):
+            self._learn(new[at : at + _TOGETHER])
         own = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
         piece = own[place]
         row = np.repeat(np.arange(len(texts)), many)
         valid = np.bincount(row, 1 - self.counts[0][piece], len(texts)) == 0
         counts = np.stack([np.bincount(row, c[piece], len(texts)) for c in self.counts[1:]]).astype(np.int64) * valid
-        stops = np.cumsum(many).tolist()
-        listed = piece.tolist()
-        written = [b";".join([self.texts[i] for i in listed[e - m : e]]) if ok else b"" for e, m, ok in zip(stops, many.tolist(), valid.tolist(), strict=True)]
         row, piece = row[valid[row]], piece[valid[row]]
-        begin = self.stops[piece]
-        size = self.stops[piece + 1] - begin
-        pairs = self.pairs[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        text, length = _gathered(self.written, self.written_stops, piece)
+        stops = np.cumsum(np.bincount(row, length, len(texts)).astype(np.int64)).tolist()
+        # The last semicolon of a text goes.
+        view = memoryview(text)
+        written = [bytes(view[x : max(x, y - 1)]) for x, y in zip([0, *stops], stops, strict=False)]
+        pairs, size = _gathered(self.pairs, self.pair_stops, piece)
         return counts, written, np.repeat(row, size), pairs
 
 
+def _gathered(values: np.ndarray, stops: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the wanted lists, one list after the other, and the length of each."""
+    begin = stops[wanted]
+    size = stops[wanted + 1] - begin
+    return values[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))], size
+
+
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
