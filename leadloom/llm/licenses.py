@@ -1,14 +1,15 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, shingle containment verifies them.
 
-Windows: templates are classed by length. For class c (templates of up to c word pairs, a power of two) texts are cut
-into blocks of c pairs, and two neighbouring blocks are a window, so that any stretch of c pairs lies whole in one. A
-block's MinHash is the least of the two blocks of half its size, so all classes share one pass over the text. A window
-that holds a share s of a template of T pairs has a Jaccard similarity of at least s T / (2c + (1 - s) T) with it. Bands
-of one MinHash each, as many as ``bands_for`` asks at the accepted share, make a band agree with the wanted probability.
-Templates that a band retrieves are then compared exactly: the share of the template's pairs in a stretch of the text.
-
-Licences word much alike, and their versions almost so. Of matches whose stretches overlap only the one with the largest
-share stays; of equals the one with more pairs, then the one that comes first in the list of templates.
+Windows: templates are classed by length. For class c (templates of up to c word pairs, a power of two) every text is
+cut into blocks of c pairs, from its beginning, and two neighbouring blocks are a window, so that any stretch of c pairs
+lies whole in one. A block's MinHash is the least of the two blocks of half its size, so all classes share one pass over
+the text. A window that holds a share s of a template of T pairs has a Jaccard similarity of at least
+s T / (2c + (1 - s) T) with it. Bands of one MinHash each, as many as ``bands_for`` asks at the accepted share, make a
+band agree with the wanted probability. Templates that a band retrieves are then compared exactly, with every stretch of
+the whole text: the share of the template's pairs in it. What is found depends on the text alone.
+
+Licences word much alike, and their versions almost so. Of stretches that overlap only the one with the largest share
+stays; of equals the one with more pairs, then the one that comes first in the list of templates.
 """
 
 from __future__ import annotations
@@ -47,6 +48,11 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
+_LGPL_CODE = """GNU LESSER GENERAL PUBLIC LICENSE
+Version 3, 29 June 2007
+This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."""
+_CC0_CODE = """The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an original work of authorship and/or a database (each, a "Work").
+Certain owners wish to permanently relinquish those rights to a Work for the purpose of contributing to a commons of creative, cultural and scientific works ("Commons") that the public can reliably and without fear of later claims of infringement build upon, modify, incorporate in other works, reuse and redistribute as freely as possible in any form whatsoever and for any purposes, including without limitation commercial purposes."""
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
 
@@ -61,7 +67,10 @@ def _plain(license_: str, version: str) -> str:
 
 
 def _cc(name: str, words: str) -> list[str]:
-    return [f"Licensed under CC {name} 4.0.", f"This work is licensed under a Creative Commons {words} 4.0 International License."]
+    """Two notices, and how the legal code begins."""
+    code = f"""Creative Commons {words} 4.0 International Public License
+By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {words} 4.0 International Public License ("Public License"). To the extent this Public License may be interpreted as a contract, You are granted the Licensed Rights in consideration of Your acceptance of these terms and conditions, and the Licensor grants You such rights in consideration of benefits the Licensor receives from making the Licensed Material available under these terms and conditions."""
+    return [f"Licensed under CC {name} 4.0.", f"This work is licensed under a Creative Commons {words} 4.0 International License.", code]
 
 
 TEMPLATES = {
@@ -73,12 +82,12 @@ TEMPLATES = {
     "GPL-2.0": [_plain("GNU General Public License", "2"), _gnu("program", "General Public License", 2)],
     "GPL-3.0": [_plain("GNU General Public License", "3"), _gnu("program", "General Public License", 3)],
     "LGPL-2.1": [_plain("GNU Lesser General Public License", "2.1"), _gnu("library", "Lesser General Public License", 2)],
-    "LGPL-3.0": [_plain("GNU Lesser General Public License", "3"), _gnu("library", "Lesser General Public License", 3)],
+    "LGPL-3.0": [_plain("GNU Lesser General Public License", "3"), _gnu("library", "Lesser General Public License", 3), _LGPL_CODE],
     "AGPL-3.0": [_plain("GNU Affero General Public License", "3"), _gnu("program", "Affero General Public License", 3)],
     "MPL-2.0": [_MPL],
     "Unlicense": [_UNLICENSE],
     "Zlib": [_ZLIB],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal Public Domain Dedication."],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal Public Domain Dedication.", _CC0_CODE],
     "CC-BY-4.0": _cc("BY", "Attribution"),
     "CC-BY-SA-4.0": _cc("BY-SA", "Attribution-ShareAlike"),
     "CC-BY-ND-4.0": _cc("BY-ND", "Attribution-NoDerivatives"),
@@ -145,44 +154,44 @@ class LicenseScanner:
         x ^= x >> np.uint64(32)
         return x
 
-    def _candidates(self, pairs: np.ndarray) -> set[tuple[int, int, int]]:
-        """(first pair, end, template) of the windows that a band retrieves for a template."""
-        top = max(self.classes)
-        h = np.full(-(-pairs.size // (2 * top)) * 2 * top, _NONE)
-        found: set[tuple[int, int, int]] = set()
+    def _candidates(self, pairs: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
+        """(text, template) for which a band retrieves the template by a window of the text; texts have ``sizes`` pairs."""
+        levels, c, blocks = [], _LEAST, -(-sizes // _LEAST)
+        first = np.cumsum(sizes) - sizes
+        while c <= max(self.classes):
+            # Where the blocks begin in the level below, the text of each, and whether it is its text's last.
+            text = np.repeat(np.arange(sizes.size), blocks)
+            place = np.arange(text.size) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            begin = first[text] + place * (_LEAST if c == _LEAST else 2)
+            levels.append((c, begin, text, place == blocks[text] - 1))
+            first, blocks, c = np.cumsum(blocks) - blocks, -(-blocks // 2), 2 * c
+        found: set[tuple[int, int]] = set()
         for b in range(max(keys.shape[0] for _, keys in self.classes.values())):
-            h[: pairs.size] = self.minhash(pairs, b)
-            least, size = h, 1
-            while size < top:
-                least, size = np.minimum(least[0::2], least[1::2]), 2 * size
-                own, keys = self.classes.get(size, ([], None))
+            least = self.minhash(pairs, b)
+            for c, begin, text, last in levels:
+                least = np.minimum.reduceat(least, begin)
+                own, keys = self.classes.get(c, ([], None))
                 if not own or b >= keys.shape[0]:
                     continue
-                window = np.minimum(least, np.append(least[1:], _NONE))
+                window = np.minimum(least, np.where(last, _NONE, np.append(least[1:], _NONE)))
                 for w in np.flatnonzero(np.isin(window, keys[b])).tolist():
-                    found.update((w * size, (w + 2) * size, own[k]) for k in np.flatnonzero(keys[b] == window[w]).tolist())
+                    found.update((int(text[w]), own[k]) for k in np.flatnonzero(keys[b] == window[w]).tolist())
         return found
 
     def scan(self, texts: list[str]) -> list[list[tuple[str, float, int]]]:
         """For each text its matches (license, share of the best notice's pairs, first word)."""
         codes, stops = self.codes([words_of(t) for t in texts])
-        pairs = self.pairs(codes)
+        begins = np.concatenate(([0], stops[:-1]))
+        sizes = np.maximum(stops - begins - 1, 0)
+        held = np.flatnonzero(sizes)
         found: list[list[tuple[float, int, int, int, int]]] = [[] for _ in texts]
-        if not pairs.size or not self.items:
+        if not held.size or not self.items:
             return [[] for _ in texts]
-        begins = np.concatenate(([0], stops[:-1]))
-        seen: set[tuple[int, int, int]] = set()
-        for first, end, i in self._candidates(pairs):
+        # Pairs of texts with two words or more, none over the end of a text.
+        own = [self.pairs(codes[begins[d] : stops[d]]) for d in held.tolist()]
+        for k, i in self._candidates(np.concatenate(own), sizes[held]):
             _, wanted, span = self.items[i]
-            for d in range(int(np.searchsorted(stops, first, "right")), int(np.searchsorted(stops, min(end, codes.size - 1), "right")) + 1):
-                a, z = max(int(begins[d]), first - span), min(int(stops[d]) - 1, end + span)
-                if z <= a or (a, z, i) in seen:
-                    continue
-                seen.add((a, z, i))
-                share, at, last = self.best(pairs[a:z], wanted, span)
-                if share >= self.containment:
-                    base = a - int(begins[d])
-                    found[d].append((-share, -wanted.size, i, base + at, base + last))
+            found[held[k]] += [(-share, -wanted.size, i, first, last) for share, first, last in self.stretches(own[k], wanted, span, self.containment)]
         return [self.distinct(x) for x in found]
 
     def distinct(self, matches: list[tuple[float, int, int, int, int]]) -> list[tuple[str, float, int]]:
@@ -196,22 +205,25 @@ class LicenseScanner:
         return sorted((name, share, first) for name, (share, first) in best.items())
 
     @staticmethod
-    def best(region: np.ndarray, wanted: np.ndarray, span: int) -> tuple[float, int, int]:
-        """Largest share of ``wanted`` in a stretch of ``span`` pairs, and its first and last place; the first of equals."""
-        place = np.minimum(np.searchsorted(wanted, region), wanted.size - 1)
-        at = np.flatnonzero(wanted[place] == region)
+    def stretches(pairs: np.ndarray, wanted: np.ndarray, span: int, least: float) -> list[tuple[float, int, int]]:
+        """(share of ``wanted``, first place, last place) of all stretches of ``span`` pairs that begin with a wanted one
+        and hold a share of ``least`` or more."""
+        place = np.minimum(np.searchsorted(wanted, pairs), wanted.size - 1)
+        at = np.flatnonzero(wanted[place] == pairs)
+        if np.unique(place[at]).size < least * wanted.size:
+            return []
         held, code = at.tolist(), place[at].tolist()
-        times, n, best, where, k = [0] * wanted.size, 0, 0, (0, 0), 0
-        for j, p in enumerate(held):
-            n += not times[code[j]]
-            times[code[j]] += 1
-            while held[k] <= p - span:
-                times[code[k]] -= 1
-                n -= not times[code[k]]
-                k += 1
-            if n > best:
-                best, where = n, (held[k], p)
-        return best / wanted.size, *where
+        times, n, end, found = [0] * wanted.size, 0, 0, []
+        for k, p in enumerate(held):
+            while end < len(held) and held[end] < p + span:
+                n += not times[code[end]]
+                times[code[end]] += 1
+                end += 1
+            if n / wanted.size >= least:
+                found.append((n / wanted.size, p, held[end - 1]))
+            times[code[k]] -= 1
+            n -= not times[code[k]]
+        return found
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = 0.8) -> DataFrame:
