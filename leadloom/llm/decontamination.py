@@ -49,16 +49,19 @@ def _marks(words: str, shorter: list[int]) -> Column:
     return F.concat(F.transform(_winnow("grams"), lambda g: F.struct(F.lit(0).alias("n"), g.alias("gram"))), *[marked(F.array_distinct(_grams(words, n)), n) for n in shorter])
 
 
-def _windows(texts: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
-    """(keys, words, n, at, gram): hash and start of every window of each length."""
+def _windows(texts: DataFrame, keys: list[str], lengths: list[int], words: bool = True) -> DataFrame:
+    """(keys, words, n, at, gram): hash and start of every window of each length.
+
+    Rows that are not shuffled may carry the words of their text, of which there is one array in memory; others must not.
+    """
     placed = lambda n: F.transform(_grams("words", n), lambda g, i: F.struct(F.lit(n).alias("n"), i.alias("at"), g.alias("gram")))
-    return texts.select(*keys, "words", F.explode(F.concat(*map(placed, lengths))).alias("w")).select(*keys, "words", "w.*")
+    kept = [*keys, "words"] if words else keys
+    return texts.select(*kept, F.explode(F.concat(*map(placed, lengths))).alias("w")).select(*kept, "w.*")
 
 
-def _checked(df: DataFrame, row_bytes: Column) -> DataFrame:
-    """The benchmark's side of a join, broadcast if all of it is small enough."""
-    total = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+def _small(df: DataFrame, row_bytes: Column, most: int) -> bool:
+    """Whether all of the benchmark's side of a join may be broadcast."""
+    return df.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0] <= most
 
 
 def _key(text: str = "text") -> list[Column]:
@@ -67,7 +70,7 @@ def _key(text: str = "text") -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _hits(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(k1, k2, n_words, n_hit, items) of the texts that windows of the benchmark hit, once a text."""
     keys = ["k1", "k2"]
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), words_of(F.col("text")).alias("words"))
@@ -83,14 +86,20 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short_grams = F.coalesce(*[F.when(F.size("words") == n, F.element_at(_grams("words", n), 1)) for n in shorter], F.lit(None).cast("long"))
     short_marks = items.filter(F.size("words") < SPAN).select(F.size("words").alias("n"), short_grams.alias("gram"))
     marks = long_marks.unionByName(short_marks).distinct()
-    found = materialise(entries.join(_checked(marks, F.lit(40)), ["n", "gram"], "left_semi").select(*keys).distinct(), "contaminated")
+    met = F.broadcast(marks) if _small(marks, F.lit(40), broadcast_bytes) else marks.hint("shuffle_hash")
+    found = materialise(entries.join(met, ["n", "gram"], "left_semi").select(*keys).distinct(), "contaminated")
 
     # Only documents with a shared fingerprint are cut into windows; their words decide, not the hashes.
     suspects = join_ids(texts, found, keys).dropDuplicates(keys).select(*keys, words_of(F.col("text")).alias("words"))
     lengths = [SPAN, *shorter]
     theirs = _windows(items, ["item_id"], lengths).filter(F.col("n") == F.least(F.lit(SPAN), F.size("words")))
     theirs = theirs.select("item_id", "n", "gram", F.slice("words", F.col("at") + 1, F.col("n")).alias("span")).distinct()
-    pairs = _windows(suspects, keys, lengths).join(_checked(theirs, F.octet_length(F.array_join("span", " ")) + 16 * F.size("span") + 100), ["n", "gram"])
+    if _small(theirs, F.octet_length(F.array_join("span", " ")) + 16 * F.size("span") + 100, broadcast_bytes):
+        pairs = _windows(suspects, keys, lengths).join(F.broadcast(theirs), ["n", "gram"])
+    else:
+        # Windows are shuffled by their hashes alone; the words of texts meet those that a hash found.
+        suspects = materialise(suspects, "suspects")
+        pairs = _windows(suspects, keys, lengths, words=False).join(theirs.hint("shuffle_hash"), ["n", "gram"]).join(suspects, keys)
     pairs = pairs.filter(F.slice("words", F.col("at") + 1, F.col("n")) == F.col("span"))
     extended = materialise(pairs.select(*keys, F.size("words").alias("n_words"), "item_id", "at", (F.col("at") + F.col("n")).alias("stop")), "contaminated-spans")
 
@@ -102,22 +111,23 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return materialise(covered.join(named, keys), "contaminated-texts")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows of ``docs``, with all their columns, that are not contaminated; each row is judged by its own text."""
-    bad = _hits(docs, benchmark).filter(100 * F.col("n_hit") >= percent * F.col("n_words")).select("k1", "k2")
+    bad = _hits(docs, benchmark, broadcast_bytes).filter(100 * F.col("n_hit") >= percent * F.col("n_words")).select("k1", "k2")
     rows = docs.select(F.struct("*").alias("row"), *_key())
     return join_ids(rows, bad, ["k1", "k2"], "left_anti").select("row.*")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Words of each document that lie under windows of the benchmark.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are ignored. Returns doc_id, n_words,
     n_hit, n_items, items (sorted as strings), contaminated: at least one word and ``percent`` of the words are hit.
     Null and empty texts have no words and are never hit; a null item_id counts as the item ``null``. Rows that repeat
-    an id are judged each by its own text.
+    an id are judged each by its own text. A benchmark of more than ``broadcast_bytes`` meets the documents in shuffled
+    joins, in which windows travel without the words of their texts.
     """
-    hits = _hits(docs, benchmark).drop("n_words")
+    hits = _hits(docs, benchmark, broadcast_bytes).drop("n_words")
     counted = docs.select("doc_id", *_key(), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     out = counted.join(hits, ["k1", "k2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")

@@ -109,6 +109,43 @@ def test_contamination_equals_brute_force(spark, frame):
     assert decontamination.contamination(frame(docs), bench.limit(0)).filter("n_hit > 0").count() == 0 and decontamination.contamination(frame(docs).limit(0), bench).count() == 0
 
 
+def shuffled_bytes(spark):
+    """Bytes that all stages of this session have written for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_large_benchmarks_move_no_words_with_windows(spark, frame):
+    """Without a broadcast the results are the same, and a text of very many words costs in proportion to its length."""
+    random.seed(11)
+    words = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(random.choices(words, k=random.choice([4, 13, 30])))) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def text(n):
+        w = random.choices(words, k=n)
+        for at in (5, n // 2, n - 40):
+            w[at:at] = random.choice(items)[1].split()
+        return " ".join(w)
+
+    docs = [(i, text(200)) for i in range(30)] + [(99, "plain words only")]
+    rows = lambda **kw: sorted(map(repr, contamination_rows(frame(docs), bench, **kw)))
+    assert rows(broadcast_bytes=0) == rows()
+    written = []
+    for n in (50_000, 200_000):
+        long = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        before = shuffled_bytes(spark)
+        assert decontamination.contamination(long, bench, broadcast_bytes=0).first()["n_hit"] > 0
+        written.append(shuffled_bytes(spark) - before)
+    assert 0 < written[1] < 6 * written[0] and written[1] < 60_000_000
+
+
+def contamination_rows(docs, bench, **kw):
+    return decontamination.contamination(docs, bench, **kw).select("doc_id", "n_words", "n_hit", "items", "contaminated").collect()
+
+
 def test_toxicity_learns_terms_and_scores_all_rows(spark, frame):
     random.seed(6)
     plain = [f"word{i}" for i in range(300)]
