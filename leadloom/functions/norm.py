@@ -68,7 +68,7 @@ def phone_digits(phone: Column, default_cc: str | None = None) -> Column:
     """Digits with the country code where it can be told; null outside 7 to 15 digits."""
     raw = F.trim(phone)
     d = F.regexp_replace(phone, r"\D", "")
-    d = F.when(F.startswith(raw, F.lit("00")), F.substring(d, 3, 1000)).otherwise(d)
+    d = F.when(F.startswith(raw, F.lit("00")), F.substring(d, F.lit(3), F.length(d))).otherwise(d)
     out = d
     if default_cc:
         local = (F.length(d) <= 10) & ~F.startswith(raw, F.lit("+"))

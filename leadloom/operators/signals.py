@@ -80,7 +80,7 @@ def registry_rows(pages: DataFrame) -> DataFrame:
     cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)), cell)
     table = pages.filter(F.contains("html", F.lit("ResList1"))).select("inn", F.explode(rows).alias("row")).select("inn", cells.alias("c")).filter(F.size("c") >= 5)
     lines = F.filter(F.transform(F.split(F.get("c", F.lit(1)), r"\|"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    kind = F.get(F.filter(F.slice(lines, 2, 100), lambda x: ~F.startswith(x, F.lit("ИНН"))), F.lit(0))
+    kind = F.get(F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: ~F.startswith(x, F.lit("ИНН"))), F.lit(0))
     return table.select("inn", F.btrim(F.get("c", F.lit(0)), F.lit("| ")).alias("regn"), F.get(lines, F.lit(0)).alias("name"), kind.alias("kind"), F.get("c", F.lit(3)).alias("notified"), F.get("c", F.lit(4)).alias("processing_since"))
 
 
@@ -145,6 +145,10 @@ def board_guesses(domain: Column, name: Column) -> Column:
     return F.when(F.length(domain) > 0, good).otherwise(F.array().cast("array<string>"))
 
 
+#: Roles of a board that are kept.
+ROLES = 25
+
+
 def join_boards(leads: DataFrame, postings: DataFrame, date: str, most: int = 2) -> DataFrame:
     """Leads with their boards and a hiring signal.
 
@@ -161,10 +165,12 @@ def join_boards(leads: DataFrame, postings: DataFrame, date: str, most: int = 2)
     first = Window.partitionBy("id", "ats", "token").orderBy("k", "i")
     wanted = wanted.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
     own = F.lower(F.concat_ws(" ", "text", "company", "url"))
-    roles = postings.groupBy("ats", "token").agg(
-        F.count("*").alias("open_roles"),
-        F.slice(F.sort_array(F.collect_list(F.struct("i", "title", "location", "team", "url", "posted", norm.norm_name(F.col("company")).alias("company"), F.left(own, F.lit(2000)).alias("own")))), 1, 25).alias("roles"),
-    )
+    # Of a board only its first roles are gathered: rows beyond them go before and after the shuffle.
+    shown = ["i", "title", "location", "team", "url", "posted"]
+    early = postings.withColumn("n", F.row_number().over(Window.partitionBy("ats", "token").orderBy(*shown))).filter(F.col("n") <= ROLES)
+    early = early.select("ats", "token", F.struct(*shown, norm.norm_name(F.col("company")).alias("company"), F.left(own, F.lit(2000)).alias("own")).alias("role"))
+    roles = early.groupBy("ats", "token").agg(F.sort_array(F.collect_list("role")).alias("roles"))
+    roles = postings.groupBy("ats", "token").agg(F.count("*").alias("open_roles")).join(roles, ["ats", "token"])
     joined = wanted.join(roles, ["ats", "token"])
     ten = F.slice("roles", 1, 10)
     blob = F.array_join(F.transform(ten, lambda r: r["own"]), " ")

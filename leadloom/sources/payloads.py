@@ -315,15 +315,19 @@ def directory_state(landed: DataFrame) -> DataFrame:
 
 def reuse_org_sites(firms: DataFrame) -> DataFrame:
     """Branches of one organisation share the sites of its first branch that has any."""
-    first = F.first_value(F.when(F.size("sites") > 0, F.col("sites")), ignoreNulls=True).over(Window.partitionBy("source", "org").orderBy("pos", "i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return firms.withColumn("sites", F.when((F.size("sites") > 0) | F.col("org").isNull(), F.col("sites")).otherwise(F.coalesce(first, "sites")))
+    first = firms.filter("org is not null and size(sites) > 0").groupBy("source", F.col("org").alias("_org")).agg(F.min_by("sites", F.struct("pos", "i")).alias("_first"))
+    # Firms without an organisation meet nothing; a key of its own for each keeps them from lying in one task.
+    own = F.coalesce("org", F.concat(F.lit("\0"), F.xxhash64("source_id", "pos", "i").cast("string")))
+    joined = firms.withColumn("_org", own).join(first, ["source", "_org"], "left")
+    return joined.withColumn("sites", F.when(F.size("sites") > 0, F.col("sites")).otherwise(F.coalesce("_first", "sites"))).select(*firms.columns)
 
 
 def backfill_city(firms: DataFrame) -> DataFrame:
     """Rows whose city is the unit's location code take the first real city name of the unit."""
     code = F.split_part("unit", F.lit("__"), F.lit(1))
-    real = F.min_by("city", F.when(F.col("city") != code, F.struct("pos", "i"))).over(Window.partitionBy("source", "unit"))
-    return firms.withColumn("city", F.when(F.col("city") == code, F.coalesce(real, "city")).otherwise(F.col("city")))
+    real = firms.filter(F.col("city") != code).groupBy("source", "unit").agg(F.min_by("city", F.struct("pos", "i")).alias("_real"))
+    joined = firms.join(real, ["source", "unit"], "left")
+    return joined.withColumn("city", F.when(F.col("city") == code, F.coalesce("_real", "city")).otherwise(F.col("city"))).select(*firms.columns)
 
 
 _STACK = "struct<stack:array<struct<results:struct<items:array<struct<type:string,id:string,title:string,seoname:string,fullAddress:string,address:string,categories:array<struct<name:string>>,phones:array<struct<value:string,number:string>>,urls:array<string>,socialLinks:array<struct<type:string,href:string>>,ratingData:struct<ratingValue:double,reviewCount:bigint>,coordinates:array<double>>>>>>>"
@@ -381,7 +385,9 @@ def gig_sellers(landed: DataFrame) -> DataFrame:
 
 
 def _blocks(landed: DataFrame, marker: str) -> DataFrame:
-    return landed.select(*_BASE, F.posexplode(F.slice(F.split("payload", marker), 2, 100_000)).alias("i", "b")).withColumn("source_id", _extract("b", r"^(\d+)").cast("long")).filter("source_id is not null")
+    """What follows each marker of a page, by place."""
+    blocks = landed.select(*_BASE, F.posexplode(F.split("payload", marker)).alias("i", "b")).filter("i > 0")
+    return blocks.withColumn("source_id", _extract("b", r"^(\d+)").cast("long")).filter("source_id is not null")
 
 
 def freelance_blocks(landed: DataFrame) -> DataFrame:
@@ -452,7 +458,7 @@ def budget_from_text(text: Column) -> Column:
 
 def channel_posts(landed: DataFrame) -> DataFrame:
     """Posts of a channel's pages (unit is the channel): the first line is the title, money is read from the text."""
-    b = landed.select(*_BASE, F.posexplode(F.slice(F.split("payload", 'class="tgme_widget_message_wrap'), 2, 100_000)).alias("i", "b"))
+    b = landed.select(*_BASE, F.posexplode(F.split("payload", 'class="tgme_widget_message_wrap')).alias("i", "b")).filter("i > 0")
     body = F.regexp_replace(F.regexp_replace(F.regexp_extract("b", r'(?s)class="tgme_widget_message_text[^"]*"[^>]*>(.*?)</div>', 1), r"<br\s*/?>", "\n"), "<[^>]+>", " ")
     b = b.withColumns({"text": F.trim(F.regexp_replace(norm.unescape_html(body), r"[ \t]+", " ")), "source_id": _extract("b", r'data-post="[^"/]+/(\d+)"').cast("long")}).filter("source_id is not null and length(text) > 0")
     money = budget_from_text(F.col("text"))

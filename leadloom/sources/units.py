@@ -186,7 +186,10 @@ def register(spark: SparkSession, adapter: Any) -> None:
 
 
 class LandedUnits:
-    """Adapter over landed files ``<source>/<day>/<unit>.jsonl`` below the option ``path``: a file is a unit, a line a row."""
+    """Adapter over landed files of JSON lines below the option ``path``: a file is a unit, a line a row.
+
+    Files lie as ``<source>/<day>/<unit>.jsonl`` or, as Spark writes them, ``source=…/day=…/<unit>.json``.
+    """
 
     NAME, KIND, SCHEMA = "landed_units", "demand", "source string, day string, unit string, pos long, line string"
     UNIT_COLUMNS = {"source": "source", "day": "day", "unit": "unit"}
@@ -198,8 +201,9 @@ class LandedUnits:
         found = []
         for info in files.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
             parts = info.path.split("/")
-            if info.is_file and info.base_name.endswith(".jsonl"):
-                found.append({"source": parts[-3], "day": parts[-2], "unit": parts[-1].removesuffix(".jsonl"), "path": info.path, "root": options["path"], "bytes": info.size})
+            if info.is_file and info.base_name.endswith((".jsonl", ".json")):
+                source, day, unit = parts[-3].removeprefix("source="), parts[-2].removeprefix("day="), parts[-1].rpartition(".")[0]
+                found.append({"source": source, "day": day, "unit": unit, "path": info.path, "root": options["path"], "bytes": info.size})
         return sorted(found, key=lambda u: (u["day"], u["source"], u["unit"]))
 
     def unit_key(self, unit: dict[str, Any]) -> str:

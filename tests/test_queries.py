@@ -8,10 +8,10 @@ import os
 import duckdb
 import pytest
 
-from leadloom.plans import lead_cases, market_cases, outreach_cases, page_cases, signal_cases, source_cases, stream_cases, workflow_cases
+from leadloom.plans import lead_cases, market_cases, outreach_cases, page_cases, signal_cases, source_cases, stream_cases, table_cases, workflow_cases
 
 TABLES = "/root/testdata/sf0.001"
-CASES = [(m, name) for m in (market_cases, lead_cases, outreach_cases, page_cases, source_cases, signal_cases, stream_cases, workflow_cases) for name in m.ORACLES]
+CASES = [(m, name) for m in (market_cases, lead_cases, outreach_cases, page_cases, source_cases, signal_cases, stream_cases, table_cases, workflow_cases) for name in m.ORACLES]
 
 
 @pytest.fixture(scope="module")

@@ -3,8 +3,8 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.operators import market
-from leadloom.sources import files, snapshots, units
+from leadloom.operators import market, signals
+from leadloom.sources import files, payloads, snapshots, units
 from leadloom.streaming import feeds
 
 SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("source_id", "title", "budget")])
@@ -116,3 +116,30 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(Session(), "x")
+
+
+def test_pages_of_very_many_blocks_are_read_whole(spark):
+    n = 100_010
+    posts = "".join(f'<div class="tgme_widget_message_wrap" data-post="ch/{i}"><div class="tgme_widget_message_text">t{i}</div></div>' for i in range(n))
+    landed = spark.createDataFrame([("tg", "ch", "2024-01-01", 0, posts)], "source string, unit string, collected string, pos long, payload string")
+    got = payloads.channel_posts(landed).agg(F.count("*"), F.min("source_id"), F.max("source_id")).first()
+    assert tuple(got) == (n, 0, n - 1)
+
+
+def test_firms_share_sites_and_cities_without_a_task_for_those_without_an_organisation(spark):
+    rows = [(f"s{i}", "moscow__x" if i % 2 else "omsk__x", i, 0, "o1" if i % 3 == 0 else None, [f"site{i}.org"] if i in (6, 9, 10) else [], "moscow" if i % 4 else "Moskva") for i in range(40)]
+    firms = spark.createDataFrame([("2g", *r) for r in rows], "source string, source_id string, unit string, pos long, i int, org string, sites array<string>, city string")
+    got = {r.source_id: r for r in payloads.backfill_city(payloads.reuse_org_sites(firms)).collect()}
+    assert len(got) == 40 and payloads.reuse_org_sites(firms).columns == firms.columns
+    for i in range(40):
+        assert got[f"s{i}"].sites == ([f"site{i}.org"] if i in (6, 9, 10) else ["site6.org"] if i % 3 == 0 else [])
+        assert got[f"s{i}"].city == ("moscow" if i % 2 == 0 and i % 4 else "moscow" if i % 2 else "Moskva")
+
+
+def test_no_more_roles_of_a_board_are_gathered_than_are_kept(spark):
+    postings = spark.range(3000).select(F.lit("lever").alias("ats"), F.lit("acme").alias("token"), F.col("id").cast("int").alias("i"), F.concat(F.lit("role "), F.col("id").cast("string")).alias("title"), *[F.lit(x).alias(c) for c, x in (("location", "x"), ("url", "u"), ("posted", "2024-01-01"), ("team", "t"), ("company", "Acme"), ("text", "acme.org"))])
+    leads = spark.createDataFrame([("1", "acme.org", "Acme", [("lever", "acme")], [])], "id string, domain string, name string, job_boards array<struct<ats:string,token:string>>, signals array<struct<type:string,value:string,source:string,date:string>>")
+    joined = signals.join_boards(leads, postings, "2024-01-02")
+    board = joined.first()["jobs"]["boards"][0]
+    assert board["open_roles"] == 3000 and [r["title"] for r in board["roles"]] == [f"role {i}" for i in range(signals.ROLES)]
+    assert "WindowGroupLimit" in joined._jdf.queryExecution().executedPlan().toString()
