@@ -15,7 +15,7 @@ from leadloom.plans.outreach_cases import draft_rows
 from leadloom.plans.source_cases import say, text
 from leadloom.plans.storage import shared_dir
 from leadloom.sources import files, jsonl_table, snapshots, units
-from leadloom.streaming import approvals, feeds
+from leadloom.streaming import approvals, feeds, followups
 
 _VALUES = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType())])
 
@@ -123,6 +123,20 @@ def stream_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(approvals.VERDICTS).parquet(out).filter("event_id is not null").select("batch", "event_id", "verdict")
 
 
+def stream_follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as streams of drafts and of sent mail: when each draft may go out, or that none came before it."""
+    path = f"{sf_dir}/conversations.parquet"
+    rows = feeds.new_files(spark, sf_dir, spark.read.parquet(path).schema, "parquet", "conversations*.parquet")
+    conv, turn, step = F.col("conv_id"), F.col("turn"), (F.col("turn") + 1).cast("int").alias("step")
+    day = lambda n, hours: F.lit(datetime.datetime(2024, 1, 1)) + F.make_dt_interval(days=n.cast("int"), hours=F.lit(hours))
+    drafts = rows.select(F.concat_ws(":", text(conv), text(turn)).alias("id"), text(conv).alias("lead_id"), step, day(conv % 90, 0).alias("created"))
+    sent = rows.filter((conv * 7 + turn) % 3 != 0).select(text(conv).alias("lead_id"), step, day(conv % 90 + turn * 2, 6).alias("sent_at"))
+    out = shared_dir(spark, "follow-ups")
+    told = followups.follow_ups(drafts, sent, followup_days=3.0, horizon_days=10, delay="25 hours")
+    told.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_dir(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(followups.TOLD).parquet(out).select("id", "step", F.date_format("due", "yyyy-MM-dd HH").alias("due"))
+
+
 def listed_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waiting drafts for messengers, with the link that opens each, and the hash of its content."""
     drafts = outreach.drafts_where(draft_rows(spark, sf_dir), status="draft", channels=["telegram"])
@@ -143,7 +157,7 @@ def raw_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (newest_snapshots, unit_days, units_to_collect, replaced_table, imported_json, user_source, stream_units, stream_approvals, listed_drafts, paid_lookups, raw_status)
+    for f in (newest_snapshots, unit_days, units_to_collect, replaced_table, imported_json, user_source, stream_units, stream_approvals, stream_follow_ups, listed_drafts, paid_lookups, raw_status)
 }
 
 _WEEKS = "w AS (SELECT event_id, value, event_type AS source, strftime(date_trunc('week', ts), '%Y-%m-%d') AS day, 'u__' || (user_id % 3) AS unit, * FROM events)"
@@ -164,6 +178,13 @@ c AS (SELECT *, max(CASE WHEN kind = 0 THEN ts END) OVER (PARTITION BY batch, tu
 a AS (SELECT *, row_number() OVER (PARTITION BY batch, turn ORDER BY ts, event_id) AS n, ts - created <= INTERVAL 24 HOUR AS in_time FROM c WHERE kind = 1),
 u AS (SELECT *, bool_or(n = 1 AND in_time) OVER (PARTITION BY batch, turn) AS used FROM a)
 SELECT batch, event_id, CASE WHEN created IS NULL THEN 'no such batch' WHEN n = 1 AND in_time THEN 'approved' WHEN used THEN 'already approved' ELSE 'older than 24 h' END AS verdict FROM u""",
+    "stream_follow_ups": """WITH d AS (SELECT conv_id || ':' || turn AS id, conv_id, turn, CAST(turn + 1 AS INTEGER) AS step, TIMESTAMP '2024-01-01' + to_days(CAST(conv_id % 90 AS INTEGER)) AS created FROM conversations),
+s AS (SELECT conv_id, step, created + to_days(CAST(turn * 2 AS INTEGER)) + INTERVAL 6 HOUR AS sent_at FROM d WHERE (conv_id * 7 + turn) % 3 <> 0),
+w AS (SELECT least((SELECT max(created) FROM d WHERE step > 1), (SELECT max(sent_at) FROM s)) - INTERVAL 25 HOUR AS mark)
+SELECT id, step, strftime(created, '%Y-%m-%d %H') AS due FROM d WHERE step = 1
+UNION ALL SELECT d.id, d.step, strftime(s.sent_at + INTERVAL 3 DAY, '%Y-%m-%d %H') FROM d JOIN s ON s.conv_id = d.conv_id AND s.step = d.step - 1 AND s.sent_at BETWEEN created - INTERVAL 10 DAY AND created + INTERVAL 10 DAY
+UNION ALL SELECT d.id, d.step, NULL FROM d, w WHERE d.step > 1 AND created + INTERVAL 10 DAY < mark
+  AND NOT EXISTS (SELECT 1 FROM s WHERE s.conv_id = d.conv_id AND s.step = d.step - 1 AND s.sent_at BETWEEN created - INTERVAL 10 DAY AND created + INTERVAL 10 DAY)""",
     "listed_drafts": """WITH d AS (SELECT conv_id || ':' || turn AS id, conv_id % 1600 + 1 AS lead, conv_id * 7 + turn AS k, conv_id FROM conversations WHERE conv_id % 17 <> 0),
 m AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'Ann@Mail' || (conv_id % 20) || '.org' ELSE '@user' || lead END AS recipient FROM d WHERE k % 5 = 4)
 SELECT id, 'https://t.me/' || regexp_replace(recipient, '^@', '') AS link, 'https://wa.me/7900' || lead || '?text=Hello%20' || conv_id AS message,
