@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.errors import IllegalArgumentException
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import norm
 from leadloom.functions import patterns as P
+from leadloom.operators.pattern_index import PatternIndex
 from leadloom.plans.storage import materialise, spread
 
 #: What segments may be scored by.
@@ -58,6 +59,10 @@ class MarketConfig:
     reach_metric: str = "messenger_pct"
 
 
+#: Rules from which on texts are met with an index of the rules' literals, which costs as much as a few patterns do.
+INDEX_FROM = 40
+
+
 class MarketError(ValueError):
     """A rule of the user's configuration that cannot be used, by name."""
 
@@ -163,6 +168,17 @@ def product_label(cfg: MarketConfig, text: Column | None = None) -> Column:
     return F.coalesce(*own, *built_in, F.lit("other"))
 
 
+def with_product(orders: DataFrame, cfg: MarketConfig) -> DataFrame:
+    """Orders with ``product``, as ``product_label`` names it; many rules of the user are met with by an index."""
+    orders = orders.withColumn("_searched", text_of_order())
+    if len(cfg.products) < INDEX_FROM:
+        return orders.withColumn("product", product_label(cfg, F.col("_searched"))).drop("_searched")
+    orders = PatternIndex([r.matches for r in cfg.products]).matched(orders, F.col("_searched"), "_hits")
+    names = F.array(*[F.lit(r.name) for r in cfg.products])
+    built_in = product_label(replace(cfg, products=[]), F.col("_searched"))
+    return orders.withColumn("product", F.coalesce(F.element_at(names, F.array_min("_hits") + 1), built_in)).drop("_searched", "_hits")
+
+
 def main_currency(orders: DataFrame, cfg: MarketConfig) -> str | None:
     """The configured currency, else the one that most orders with a value name (the first by name of equals)."""
     if cfg.currency:
@@ -192,8 +208,7 @@ def prepare_orders(raw: DataFrame, cfg: MarketConfig, as_of: datetime.date) -> D
     once; the amount depends on the currency that most of the written orders have.
     """
     check_config(cfg)
-    orders = current_orders(latest_orders(normalize_orders(raw)), cfg, as_of).withColumn("_text", text_of_order())
-    orders = orders.withColumn("product", product_label(cfg, F.col("_text"))).drop("_text")
+    orders = with_product(current_orders(latest_orders(normalize_orders(raw)), cfg, as_of), cfg)
     orders = materialise(orders, "orders")
     return orders.withColumn("amount", amount(main_currency(orders, cfg), cfg.rates))
 
@@ -256,8 +271,18 @@ def products_table(orders: DataFrame) -> DataFrame:
 
 
 def rule_hits(orders: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """Orders with ``rule``, one row for each rule that matches; the texts are read once for all rules."""
-    text = text_of_order()
+    """Orders with ``rule``, one row for each rule that matches; the texts are read once for all rules.
+
+    From ``INDEX_FROM`` rules on only those run on a text of which it holds what a match needs.
+    """
+    text, rules = text_of_order(), list(rules)
+    if len(rules) >= INDEX_FROM:
+        found = PatternIndex([r.matches for r in rules]).matched(orders, text, "_hits").select(*orders.columns, F.explode("_hits").alias("_rule"))
+        named = orders.sparkSession.createDataFrame([(i, r.name, list(r.product)) for i, r in enumerate(rules)], "_rule int, rule string, _for array<string>")
+        hits = found.join(F.broadcast(named), "_rule")
+        if any(r.product for r in rules):
+            hits = hits.filter((F.size("_for") == 0) | F.array_contains("_for", F.col("product")))
+        return hits.select(*orders.columns, "rule")
     tests = []
     for r in rules:
         hit = norm.matches(text, r.matches)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom.functions import norm
-from leadloom.operators import outreach, report, rules
+from leadloom.operators import market, outreach, report, rules
 from leadloom.plans.lead_cases import _SCORED, scored_leads
 from leadloom.plans.outreach_cases import draft_rows
 from leadloom.plans.source_cases import say, text
@@ -137,6 +137,16 @@ def stream_follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(followups.TOLD).parquet(out).select("id", "step", F.date_format("due", "yyyy-MM-dd HH").alias("due"))
 
 
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts under a thousand rules, which are met by an index of their literals: brands, sizes and kinds, and many that miss."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    texts = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", say("size {}mm", F.col("p_size"))).alias("title"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("category"), F.col("p_type").alias("product"))
+    rules = [market.Rule(f"brand {i}", rf"brand#{i}\b", ("ECONOMY", "SMALL") if i % 2 else ()) for i in range(1, 301)]
+    rules += [market.Rule(f"size {i}", rf"(?:of )?size {i}mm|mm{i}size") for i in range(1, 501)]
+    rules += [market.Rule(f"kind {i}", rf"\bwid?get{i}s?|gear{i}") for i in range(199)] + [market.Rule("ring", r"\bring\b")]
+    return market.rule_hits(texts, rules).select("p_partkey", "rule")
+
+
 def listed_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waiting drafts for messengers, with the link that opens each, and the hash of its content."""
     drafts = outreach.drafts_where(draft_rows(spark, sf_dir), status="draft", channels=["telegram"])
@@ -157,7 +167,7 @@ def raw_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (newest_snapshots, unit_days, units_to_collect, replaced_table, imported_json, user_source, stream_units, stream_approvals, stream_follow_ups, listed_drafts, paid_lookups, raw_status)
+    for f in (newest_snapshots, unit_days, units_to_collect, replaced_table, imported_json, user_source, stream_units, stream_approvals, stream_follow_ups, many_rules, listed_drafts, paid_lookups, raw_status)
 }
 
 _WEEKS = "w AS (SELECT event_id, value, event_type AS source, strftime(date_trunc('week', ts), '%Y-%m-%d') AS day, 'u__' || (user_id % 3) AS unit, * FROM events)"
@@ -185,6 +195,10 @@ SELECT id, step, strftime(created, '%Y-%m-%d %H') AS due FROM d WHERE step = 1
 UNION ALL SELECT d.id, d.step, strftime(s.sent_at + INTERVAL 3 DAY, '%Y-%m-%d %H') FROM d JOIN s ON s.conv_id = d.conv_id AND s.step = d.step - 1 AND s.sent_at BETWEEN created - INTERVAL 10 DAY AND created + INTERVAL 10 DAY
 UNION ALL SELECT d.id, d.step, NULL FROM d, w WHERE d.step > 1 AND created + INTERVAL 10 DAY < mark
   AND NOT EXISTS (SELECT 1 FROM s WHERE s.conv_id = d.conv_id AND s.step = d.step - 1 AND s.sent_at BETWEEN created - INTERVAL 10 DAY AND created + INTERVAL 10 DAY)""",
+    "many_rules": r"""WITH b AS (SELECT *, CAST(regexp_extract(p_brand, '#(\d+)$', 1) AS INTEGER) AS n FROM part)
+SELECT p_partkey, 'brand ' || n AS rule FROM b WHERE n BETWEEN 1 AND 300 AND (n % 2 = 0 OR p_type IN ('ECONOMY', 'SMALL'))
+UNION ALL SELECT p_partkey, 'size ' || p_size FROM part WHERE p_size BETWEEN 1 AND 500
+UNION ALL SELECT p_partkey, 'ring' FROM part WHERE regexp_matches(p_name, '\bring\b')""",
     "listed_drafts": """WITH d AS (SELECT conv_id || ':' || turn AS id, conv_id % 1600 + 1 AS lead, conv_id * 7 + turn AS k, conv_id FROM conversations WHERE conv_id % 17 <> 0),
 m AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'Ann@Mail' || (conv_id % 20) || '.org' ELSE '@user' || lead END AS recipient FROM d WHERE k % 5 = 4)
 SELECT id, 'https://t.me/' || regexp_replace(recipient, '^@', '') AS link, 'https://wa.me/7900' || lead || '?text=Hello%20' || conv_id AS message,
