@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm.batches import ready, release, slices, texts_of
@@ -46,9 +46,10 @@ Vector = tuple[np.ndarray, np.ndarray]
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``examples`` bounds the labelled ids that a model is fitted on, ``shown`` the neighbours given as evidence."""
+    """``examples`` and ``example_bytes`` bound what a model is fitted on, ``shown`` the neighbours given as evidence."""
 
     examples: int = 4_000
+    example_bytes: int = 64_000_000
     neighbours: int = 25
     threshold: float = 0.3
     prior_weight: float = 2.0
@@ -298,7 +299,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     """Fit a model on documents whose ids ``labels`` (doc_id, toxic) marks 0 or 1; null labels are left out.
 
     At most ``params.examples`` labelled ids, least by hash, are used; ids labelled twice count as toxic if any label
-    says so, and of an id with several texts the least counts. Without examples the model scores every text alike, as clean.
+    says so, and of an id with several texts the least counts. Of these the first ones by hash are taken whose texts hold
+    ``params.example_bytes`` in all, so a model is as large as its parameters allow, however long texts are; a text longer
+    than that is no example. Without examples the model scores every text alike, as clean.
     """
     ready(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -306,6 +309,10 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     sample = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", "doc_id")
     sample = materialise(sample.repartition(max(1, params.examples // 500)), "toxicity-examples")
+    # At most ``params.examples`` sizes are summed up; texts beyond the bound are left where they are.
+    sizes = sample.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).filter(F.col("bytes") <= params.example_bytes)
+    upto = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    sample = sample.join(F.broadcast(sizes.withColumn("upto", upto).filter(F.col("upto") <= params.example_bytes).select("doc_id")), "doc_id", "left_semi").select("text", "toxic", "doc_id")
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

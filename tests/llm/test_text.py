@@ -564,3 +564,17 @@ def test_ids_with_several_near_texts_equal_brute_force(frame, chunk):
                 least[max(x, y)] = min(x, y)
     got = ngram_join.near_duplicates(frame(rows), n=4, percent=80, chunk=chunk).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, root(i)) for i, _ in rows)
+
+
+def test_very_long_examples_do_not_outgrow_a_model(spark, frame):
+    """Examples are taken by hash until their texts hold the bytes that a model may be fitted on; scores go to all rows."""
+    docs = [(i, f"plain{i} " * 4 + ("vile" if i % 3 == 0 else "kind")) for i in range(30)] + [(100, "endless vile " * 200_000), (101, "word " * 3000)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)] + [(100, 1), (101, 0)], "doc_id long, toxic int")
+    whole = toxicity.fit(frame(docs), labels)
+    bound = toxicity.fit(frame(docs), labels, toxicity.ToxicityParams(example_bytes=10_000))
+    small = toxicity.fit(frame(docs), labels, toxicity.ToxicityParams(example_bytes=300))
+    assert "endless" in set(whole.idf) and "endless" not in set(bound.idf) and 0 < len(small.idf) < len(bound.idf)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(frame(docs), bound).collect()}
+    assert len(got) == len(docs) and got[0] == got[3] == 1 and got[1] == got[101] == 0
+    none = toxicity.fit(frame(docs), labels, toxicity.ToxicityParams(example_bytes=0))
+    assert toxicity.score(frame(docs), none).filter("predicted = 1").count() == 0
