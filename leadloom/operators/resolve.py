@@ -132,8 +132,11 @@ def _items(c: str) -> Column:
     return F.transform(c, lambda v: F.struct(F.lit(c).alias("field"), _key_of(v, by).alias("key"), F.to_json(v).alias("payload")))
 
 
-def fold_groups(fragments: DataFrame, components: DataFrame) -> DataFrame:
-    """One lead per component. Values of the record that comes first win; lists keep the first of equal items."""
+def fold_groups(fragments: DataFrame, components: DataFrame, keep: bool = False) -> DataFrame:
+    """One lead per component. Values of the record that comes first win; lists keep the first of equal items.
+
+    With ``keep`` a lead keeps its component.
+    """
     order = F.struct(F.col("domain").isNull().alias("no_site"), (-F.coalesce("reviews", F.lit(0))).alias("fewer"), F.col("pos"))
     rows = fragments.join(components, "pos").withColumn("order", order)
     first = lambda c, ok: F.min_by(F.col(c), F.when(ok, F.col("order"))).alias(c)
@@ -156,6 +159,7 @@ def fold_groups(fragments: DataFrame, components: DataFrame) -> DataFrame:
     part = lambda prefix: F.map_filter(F.coalesce("lists", F.create_map().cast("map<string,array<string>>")), lambda k, v: F.startswith(k, F.lit(prefix)))
     strip = lambda m, n: F.transform_keys(m, lambda k, v: F.substr(k, F.lit(n + 1)))
     return out.select(
+        *(["component"] if keep else []),
         norm.lead_id(F.array("website"), F.col("name"), F.col("city"), values("phones")).alias("id"),
         *SCALARS,
         *[values(c).alias(c) for c in PLAIN],

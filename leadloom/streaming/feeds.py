@@ -61,6 +61,26 @@ def _current(spark: SparkSession, root: str, before: int | None, buckets: list[i
     return spark.read.parquet(*sorted(paths)) if paths else None
 
 
+def write_version(rows: DataFrame, root: str, number: int) -> None:
+    """Write the buckets that rows (with ``bucket``) fall in as version ``number`` of a folder's table.
+
+    The version counts once it is whole; versions of a bucket beyond the last ``KEPT`` go.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v={number}")
+    path, fs = _folder(spark, root)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.create(at(path, f"done-{number}"), True).close()
+    for b, versions in _versions(spark, root).items():
+        for v in versions[:-KEPT]:
+            fs.delete(at(path, f"v={v}/bucket={b}"), True)
+
+
+def current_rows(spark: SparkSession, root: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """Rows of the last whole version of buckets, or of the last one before a number; other buckets are not opened."""
+    return _current(spark, root, before, buckets)
+
+
 def accumulate_orders(raw: DataFrame, root: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Fold demand rows into one row per order as they arrive: the last snapshot wins, the first day stays.
 
@@ -79,13 +99,7 @@ def accumulate_orders(raw: DataFrame, root: str, checkpoint: str, buckets: int =
         old = _current(spark, root, number, touched)
         both = rows if old is None else rows.unionByName(old)
         merged = both.groupBy("id").agg(F.max_by("row", "place").alias("row"), F.max("place").alias("place"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-        merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v={number}")
-        path, fs = _folder(spark, root)
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs.create(at(path, f"done-{number}"), True).close()
-        for b, versions in _versions(spark, root).items():
-            for v in versions[:-KEPT]:
-                fs.delete(at(path, f"v={v}/bucket={b}"), True)
+        write_version(merged.withColumn("bucket", bucket), root, number)
 
     return raw.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
