@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,12 @@ def raw_status(raw: DataFrame) -> DataFrame:
     return raw.groupBy("source").agg(F.count("*").alias("n_rows"), F.max("collected").alias("last_day"))
 
 
+def sent_on(log: DataFrame, day: datetime.date) -> DataFrame:
+    """Mail of a day by the recipient's domain."""
+    today = log.filter(F.to_date("sent_at") == F.lit(day))
+    return today.groupBy(F.substring_index("to", "@", -1).alias("domain")).agg(F.count("*").alias("sent"))
+
+
 def counts_of(rows: DataFrame, column: str) -> DataFrame:
     """Rows by value of a column, most first (drafts by status, skipped drafts by reason)."""
     return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)

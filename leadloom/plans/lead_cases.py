@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import norm
-from leadloom.operators import export, report, resolve, rules
+from leadloom.operators import export, incremental, report, resolve, rules
 from leadloom.plans.market_cases import business_leads
+from leadloom.plans.storage import shared_dir
 
 
 def raw_businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,18 @@ def lead_key_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lead_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Businesses folded from their records."""
-    leads = resolve.resolve(raw_businesses(spark, sf_dir))
+    return _lead_columns(resolve.resolve(raw_businesses(spark, sf_dir)))
+
+
+def lead_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same businesses, resolved by increments: records that come later join what is there."""
+    root, raw = shared_dir(spark, "resolution"), raw_businesses(spark, sf_dir)
+    for number, part in enumerate((F.col("pos") % 10 < 7, F.col("pos") % 10 >= 7)):
+        incremental.add_records(raw.filter(part), root, number, buckets=4)
+    return _lead_columns(incremental.resolved_leads(spark, root))
+
+
+def _lead_columns(leads: DataFrame) -> DataFrame:
     return leads.select(
         "id", "name", "website", "domain", "city", "rating", "reviews", "n_records", F.array_join("phones", ",").alias("phones"), F.array_join("names", ",").alias("names"),
         F.array_join(F.transform("emails", lambda e: e["value"]), ",").alias("emails"), F.size("sources").alias("n_sources"), F.coalesce(F.size(F.try_element_at("socials", F.lit("telegram"))), F.lit(0)).alias("n_telegram"),
@@ -177,7 +189,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lead_components, lead_key_degrees, lead_resolve, lead_carry_over, lead_scores, lead_score_summary, lead_export, lead_fill_rates, lead_needs, url_hosts, scalar_functions,
+        lead_components, lead_key_degrees, lead_resolve, lead_increments, lead_carry_over, lead_scores, lead_score_summary, lead_export, lead_fill_rates, lead_needs, url_hosts, scalar_functions,
     )
 }
 
@@ -225,3 +237,4 @@ SELECT k, '79001' || lpad(CAST(k AS VARCHAR), 6, '0') AS phone, '49' || lpad(CAS
   CASE WHEN k % 3 = 0 THEN 'spam' || k || '.org' WHEN k % 3 = 1 THEN 'bob@spam' || k || '.org' ELSE 'spam' || k || '.org' END AS blocked,
   CASE WHEN k % 2 = 0 THEN CAST('10000' || k AS DOUBLE) ELSE CAST('1' || k AS DOUBLE) END AS budget_max FROM s""",
 }
+ORACLES["lead_increments"] = ORACLES["lead_resolve"]

@@ -36,15 +36,15 @@ def draft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First turns of every fourth conversation, as mail that was sent in the last days."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("conv_id % 4 = 0 and turn = 0")
-    conv = F.col("conv_id")
+    """A line for each turn of a conversation: first turns of some as mail of the last days, all others as mail of old campaigns."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    conv, late = F.col("conv_id"), F.expr("conv_id % 4 = 0 and turn = 0")
     return c.select(
-        F.concat(conv.cast("string"), F.lit(":0")).alias("draft_id"),
-        (conv % 1600 + 1).cast("string").alias("lead_id"),
+        F.when(late, F.concat(conv.cast("string"), F.lit(":0"))).otherwise(F.concat_ws(":", F.lit("old"), "conv_id", "turn")).alias("draft_id"),
+        F.when(late, (conv % 1600 + 1).cast("string")).otherwise("-1").alias("lead_id"),
         F.lit(1).alias("step"),
         F.concat(F.lit("ann@mail"), (conv % 20).cast("string"), F.lit(".org")).alias("to"),
-        (F.lit(NOW) - F.make_dt_interval(days=(conv % 9).cast("int"))).alias("sent_at"),
+        (F.lit(NOW) - F.make_dt_interval(days=F.when(late, conv % 9).otherwise(400).cast("int"))).alias("sent_at"),
     )
 
 
@@ -74,6 +74,11 @@ def draft_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.counts_of(draft_rows(spark, sf_dir), "status")
 
 
+def sent_today(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail of a day by domain."""
+    return report.sent_on(sent_rows(spark, sf_dir), NOW.date())
+
+
 def sent_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads by status once the log of sent mail is applied."""
     leads = scored_leads(spark, sf_dir).withColumn("status", F.when(F.col("id").cast("long") % 31 == 0, "replied").otherwise("new"))
@@ -81,14 +86,15 @@ def sent_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.counts_of(leads, "status")
 
 
-QUERIES = {f.__name__: f for f in (send_plan, send_skip_reasons, draft_violations, draft_counts, sent_statuses)}
+QUERIES = {f.__name__: f for f in (send_plan, send_skip_reasons, draft_violations, draft_counts, sent_today, sent_statuses)}
 
 _DRAFTS = """drafts AS (
   SELECT conv_id || ':' || turn AS id, CAST(conv_id % 1600 + 1 AS VARCHAR) AS lead_id, conv_id % 1600 + 1 AS lead, CAST(turn % 3 + 1 AS INTEGER) AS step, CASE WHEN (conv_id * 7 + turn) % 5 = 4 THEN 'telegram' ELSE 'email' END AS channel,
     CASE WHEN (conv_id * 7 + turn) % 3 = 0 THEN 'ann@mail' || (conv_id % 20) || '.org' END AS "to", text AS body, (conv_id * 7 + turn) AS e, CASE WHEN conv_id % 17 = 0 THEN 'sent' ELSE 'draft' END AS status, conv_id, turn
   FROM conversations
 ), sent AS (
-  SELECT conv_id || ':0' AS draft_id, conv_id % 1600 + 1 AS lead, 1 AS step, 'mail' || (conv_id % 20) || '.org' AS domain, TIMESTAMP '2024-03-10 12:00:00' - to_days(CAST(conv_id % 9 AS INTEGER)) AS sent_at FROM conversations WHERE conv_id % 4 = 0 AND turn = 0
+  SELECT CASE WHEN late THEN conv_id || ':0' ELSE 'old:' || conv_id || ':' || turn END AS draft_id, CASE WHEN late THEN conv_id % 1600 + 1 ELSE -1 END AS lead, 1 AS step, 'mail' || (conv_id % 20) || '.org' AS domain,
+    TIMESTAMP '2024-03-10 12:00:00' - to_days(CAST(CASE WHEN late THEN conv_id % 9 ELSE 400 END AS INTEGER)) AS sent_at FROM (SELECT *, conv_id % 4 = 0 AND turn = 0 AS late FROM conversations)
 )"""
 _PLANNED = f"""WITH {_SCORED}, {_DRAFTS}, before AS (SELECT lead, step + 1 AS step, max(sent_at) AS previous FROM sent GROUP BY 1, 2), base AS (
   SELECT d.*, t.k, t.tier, t.score, coalesce(d."to", CASE WHEN t.k % 6 <> 0 THEN 'info@site' || t.k || '.org' END) AS recipient, previous, d.id IN (SELECT draft_id FROM sent) AS gone
@@ -115,5 +121,6 @@ ORACLES = {
     "draft_violations": f"""WITH {_DRAFTS}, p AS (SELECT id, unnest([CASE WHEN lead > (SELECT max(c_custkey) FROM customer) THEN 'unknown lead_id' END, CASE WHEN body IS NULL OR body = '' THEN 'no body' END,
   CASE WHEN e % 4 = 0 THEN 'no evidence' WHEN e % 7 = 0 THEN 'evidence without fact or source' END]) AS problem FROM drafts) SELECT * FROM p WHERE problem IS NOT NULL""",
     "draft_counts": f"WITH {_DRAFTS} SELECT status, count(*) AS n FROM drafts GROUP BY 1",
+    "sent_today": f"WITH {_DRAFTS} SELECT domain, count(*) AS sent FROM sent WHERE CAST(sent_at AS DATE) = DATE '2024-03-10' GROUP BY 1",
     "sent_statuses": f"""WITH {_DRAFTS} SELECT CASE WHEN c_custkey % 31 = 0 THEN 'replied' WHEN c_custkey IN (SELECT lead FROM sent) THEN 'sent' ELSE 'new' END AS status, count(*) AS n FROM customer GROUP BY 1""",
 }
