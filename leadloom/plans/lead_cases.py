@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import norm
 from leadloom.operators import export, incremental, report, resolve, rules
 from leadloom.plans.market_cases import business_leads
-from leadloom.plans.storage import shared_dir
+from leadloom.plans.storage import bucketed, shared_dir
 
 
 def raw_businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +86,22 @@ def _lead_columns(leads: DataFrame) -> DataFrame:
 
 def lead_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New leads of a segment joined with scored leads of the run before."""
+    return _carried(*_two_runs(spark, sf_dir))
+
+
+def bucketed_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over tables in buckets by lead: neither side is shuffled."""
+    new, old = _two_runs(spark, sf_dir)
+    return _carried(bucketed(new, "new-leads", "id", 8), bucketed(old, "old-leads", "id", 8))
+
+
+def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     leads = business_leads(spark, sf_dir)
     old = leads.filter(F.col("id").cast("long") % 3 == 0).select("id", "phones", F.lit("A").alias("tier"), F.lit("sent").alias("status"))
-    new = leads.filter(F.col("id").cast("long") % 2 == 0).select("id", "name", F.array(F.lit("111")).alias("phones"))
+    return leads.filter(F.col("id").cast("long") % 2 == 0).select("id", "name", F.array(F.lit("111")).alias("phones")), old
+
+
+def _carried(new: DataFrame, old: DataFrame) -> DataFrame:
     out = resolve.carry_over(new, old)
     return out.select("id", "name", "tier", "status", F.array_join("phones", ",").alias("phones"))
 
@@ -189,7 +202,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lead_components, lead_key_degrees, lead_resolve, lead_increments, lead_carry_over, lead_scores, lead_score_summary, lead_export, lead_fill_rates, lead_needs, url_hosts, scalar_functions,
+        lead_components, lead_key_degrees, lead_resolve, lead_increments, lead_carry_over, bucketed_carry_over, lead_scores, lead_score_summary, lead_export, lead_fill_rates, lead_needs, url_hosts, scalar_functions,
     )
 }
 
@@ -237,4 +250,4 @@ SELECT k, '79001' || lpad(CAST(k AS VARCHAR), 6, '0') AS phone, '49' || lpad(CAS
   CASE WHEN k % 3 = 0 THEN 'spam' || k || '.org' WHEN k % 3 = 1 THEN 'bob@spam' || k || '.org' ELSE 'spam' || k || '.org' END AS blocked,
   CASE WHEN k % 2 = 0 THEN CAST('10000' || k AS DOUBLE) ELSE CAST('1' || k AS DOUBLE) END AS budget_max FROM s""",
 }
-ORACLES["lead_increments"] = ORACLES["lead_resolve"]
+ORACLES |= {"lead_increments": ORACLES["lead_resolve"], "bucketed_carry_over": ORACLES["lead_carry_over"]}

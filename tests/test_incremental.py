@@ -1,10 +1,14 @@
 """Resolution by increments equals one run over all records, and leaves untouched buckets alone."""
 
+import datetime
 import random
 
 import pytest
 
-from leadloom.operators import incremental, resolve
+from pyspark.sql import functions as F
+
+from leadloom.operators import incremental, outreach, resolve
+from leadloom.plans import storage
 from leadloom.streaming import feeds
 
 SCHEMA = "pos long, source string, source_id string, name string, website string, city string, phones array<string>, emails array<string>, reviews long"
@@ -50,3 +54,45 @@ def test_untouched_buckets_are_neither_read_nor_written(spark, tmp_path, monkeyp
         assert 1 <= len(written) <= 3
     assert incremental.resolved_leads(spark, root).count() == resolve.resolve(spark.createDataFrame([*rows, new], SCHEMA)).count()
     assert incremental.resolved_leads(spark, root + "/none") is None
+
+
+def shuffled_tables(df):
+    """Of every exchange of rows in a plan what is read below it."""
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            leaves = node.collectLeaves()
+            found.append([leaves.apply(i).toString() for i in range(leaves.size())])
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return found
+
+
+def test_tables_in_buckets_are_joined_without_a_shuffle(spark):
+    leads = spark.createDataFrame([(str(i), f"s{i}.org", "A", i, "new", [(f"a@s{i}.org", "s", "personal", "mx")], [f"7900{i:07d}"]) for i in range(50)], f"id string, domain string, tier string, score int, status string, emails array<{resolve.EMAIL}>, phones array<string>")
+    drafts = spark.createDataFrame([(f"{i}:{s}", str(i), s, "email", None, "s", "b", "draft") for i in range(60) for s in (1, 2)], "id string, lead_id string, step int, channel string, to string, subject string, body string, status string")
+    log = spark.createDataFrame([(f"{i}:1", str(i), 1, f"a@s{i}.org", datetime.datetime(2024, 1, 1)) for i in range(0, 50, 2)], "draft_id string, lead_id string, step int, to string, sent_at timestamp")
+    entries = spark.createDataFrame([("s3.org",)], "entry string")
+    cfg, now = outreach.SendConfig(min_tier="B", followup_days=3.0), datetime.datetime(2024, 2, 1)
+    plain = outreach.checked_drafts(drafts, leads, log, entries, cfg, now)
+    want = sorted(map(repr, plain.select("id", "recipient", "reason").collect()))
+    previous = leads.withColumn("notes", F.lit("n")).filter("score % 3 = 0")
+    carried = shown(resolve.carry_over(leads, previous))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(before, ("false", "-1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        tables = [storage.bucketed(t, name, key, 4) for t, name, key in ((leads, "leads", "id"), (drafts, "drafts", "lead_id"), (log, "sent-log", "lead_id"), (previous, "previous", "id"))]
+        joined = resolve.carry_over(tables[0], tables[3])
+        assert shuffled_tables(joined) == [] and shown(joined) == carried
+        planned = outreach.checked_drafts(tables[1], tables[0], tables[2], F.broadcast(entries), cfg, now)
+        # Drafts move on, joined, to meet the log by their own ids; leads alone are never moved.
+        assert not [x for x in shuffled_tables(planned) if all("leads_" in t or "LocalTable" in t for t in x)]
+        assert sorted(map(repr, planned.select("id", "recipient", "reason").collect())) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
