@@ -4,11 +4,13 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from leadloom.llm import archive, decontamination, licenses, ngram_join, repetition, suffix_dedup, suffix_sort, toxicity
+from leadloom.llm import archive, decontamination, licenses, ngram_join, queries, repetition, suffix_dedup, suffix_sort, toxicity
+from leadloom.llm.oracles import ORACLES
 from leadloom.plans.storage import shared_dir
 
 
@@ -578,3 +580,13 @@ def test_very_long_examples_do_not_outgrow_a_model(spark, frame):
     assert len(got) == len(docs) and got[0] == got[3] == 1 and got[1] == got[101] == 0
     none = toxicity.fit(frame(docs), labels, toxicity.ToxicityParams(example_bytes=0))
     assert toxicity.score(frame(docs), none).filter("predicted = 1").count() == 0
+
+
+def test_ngram_join_query_equals_sql(spark):
+    tables = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tables}/documents.parquet'")
+    want = con.sql(ORACLES["op6_ngram_join"])
+    order = [want.columns.index(c) for c in ("doc_id", "n_shingles", "component_id")]
+    got = queries.op6_ngram_join(spark, tables).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
