@@ -73,7 +73,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of all documents without repeated strings of 200 bytes."""
+    """What is left of all documents without repeated strings of 200 bytes.
+
+    Anchors with more than ``suffix_dedup.MOST_MEMBERS`` different surroundings take an exact fallback, a distributed count
+    of their strings.
+    """
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
