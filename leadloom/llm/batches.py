@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -27,8 +28,11 @@ def ready(spark: SparkSession) -> None:
     """Make a session ready for this package's Python tasks.
 
     Executors get the package's code once per application, so that they need no copy of it, and batches are cut to
-    ``BATCH_ROWS`` where the session leaves Spark's default.
+    ``BATCH_ROWS`` where the session leaves Spark's default. What an earlier operator left in the driver's Python, such as
+    a model that was shared, is given back first.
     """
+    gc.collect()
+    release()
     if spark.conf.get(_ROWS_KEY) == "10000":
         spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
     sc = spark.sparkContext
