@@ -13,6 +13,7 @@ memory, which is bounded in bytes. Where the vocabulary does not allow such cuts
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -77,6 +78,8 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # A task has one core; threads of the library would each hold memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a, self.remembered = Tokenizer.from_file(a_path), remembered
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -241,10 +244,14 @@ class Aligner:
 
 
 def _gathered(values: np.ndarray, stops: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the wanted lists, one list after the other, and the length of each."""
-    begin = stops[wanted]
-    size = stops[wanted + 1] - begin
-    return values[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))], size
+    """Values of the wanted lists, one list after the other, and the length of each.
+
+    Arrow copies whole lists; places of single values would take eight bytes for each byte that is written.
+    """
+    size = stops[wanted + 1] - stops[wanted]
+    lists = pa.Array.from_buffers(pa.large_binary(), stops.size - 1, [None, pa.py_buffer(stops * values.itemsize), pa.py_buffer(values)])
+    total = int(size.sum())
+    return np.frombuffer(lists.take(pa.array(wanted)).buffers()[2], values.dtype, total) if total else values[:0], size
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}

@@ -130,3 +130,30 @@ def test_groups_are_given_on_request(frame):
 
 def test_empty_table(frame):
     assert alignment.alignment(frame([(1, "a")]).filter("doc_id > 1"), A, B).count() == 0
+
+
+def test_lists_are_gathered_without_places_of_single_values():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    stops = np.concatenate(([0], np.cumsum(rng.integers(0, 9, 1000))))
+    wanted = rng.integers(0, 1000, 400_000)
+    for values in (rng.integers(0, 256, stops[-1]).astype(np.uint8), rng.integers(0, 1 << 40, stops[-1])):
+        few, size = alignment._gathered(values, stops, wanted[:500])
+        assert few.tolist() == [x for i in wanted[:500] for x in values[stops[i] : stops[i + 1]].tolist()]
+        assert size.tolist() == [stops[i + 1] - stops[i] for i in wanted[:500]]
+        empty = np.flatnonzero(np.diff(stops) == 0)
+        assert alignment._gathered(values, stops, empty)[0].size == alignment._gathered(values, stops, wanted[:0])[0].size == 0
+    tracemalloc.start()
+    gathered = alignment._gathered(values.astype(np.uint8), stops, wanted)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert gathered.size > 1_000_000 and peak < 8 * gathered.size
+
+
+def test_a_worker_encodes_without_threads_of_the_library(monkeypatch):
+    import os
+
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    alignment.Aligner(A, B)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
