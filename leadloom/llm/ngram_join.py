@@ -373,6 +373,25 @@ def _links(kept: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFrame
     return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_join_rows(n, percent), "a long, b long")
 
 
+def _crossed(prefixes: DataFrame, parts: DataFrame, chunk: int) -> DataFrame:
+    """Blocks (node, block) of clusters of several chunks that are not one yet.
+
+    Members outside the largest part meet those that share an element of theirs; elements that the same members have count
+    once.
+    """
+    parts = materialise(parts, "parts-apart")
+    asked = materialise(join_ids(prefixes, parts.filter("component <> main").select("node"), "node"), "asked")
+    met = materialise(join_ids(join_ids(prefixes, parts.select("node"), "node"), asked.select("hash").distinct(), "hash"), "met")
+    groups = met.groupBy("hash").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).filter("m > 1")
+    groups = groups.groupBy("m", "x1", "x2").agg(F.min("hash").alias("hash")).join(asked.groupBy("hash").agg(F.count("*").alias("s")), "hash")
+    groups = materialise(groups.select("hash", F.ceil(F.col("m") / chunk).cast("int").alias("rows"), F.ceil(F.col("s") / chunk).cast("int").alias("cols")), "groups")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    name = F.concat_ws("/", "hash", "row", "col").alias("block")
+    crossed = met.join(groups, "hash").select("node", "hash", own("rows").alias("row"), every("cols").alias("col")).select("node", name)
+    return crossed.unionByName(asked.join(groups, "hash").select("node", "hash", own("cols").alias("col"), every("rows").alias("row")).select("node", name)).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
@@ -426,26 +445,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int =
     alone = clusters.select("node", F.concat_ws("/", "cluster", "mine").alias("block"))
     hubs = clusters.filter("hubs is not null").select("cluster", "mine", "hubs").distinct().select(F.explode("hubs").alias("node"), F.concat_ws("/", "cluster", "mine").alias("block"))
     near = materialise(_links(kept, alone.unionByName(hubs).distinct(), n, percent), "links")
-    parts = clusters.filter(F.col("members") > chunk).join(connected_components(near), "node", "left")
-    parts = parts.withColumn("component", F.coalesce("component", "node"))
-    sizes_of = parts.groupBy("cluster", "component").agg(F.count("*").alias("k"))
-    largest = sizes_of.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    # Then, in clusters of several chunks that are not one yet, members outside the largest part meet those that share an
-    # element of theirs; elements that the same members have count once.
-    parts = parts.join(largest, "cluster")
-    asked = join_ids(prefixes, parts.filter("component <> main").select("node"), "node")
-    met = join_ids(join_ids(prefixes, parts.select("node"), "node"), asked.select("hash").distinct(), "hash")
-    groups = met.groupBy("hash").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).filter("m > 1")
-    groups = groups.groupBy("m", "x1", "x2").agg(F.min("hash").alias("hash")).join(asked.groupBy("hash").agg(F.count("*").alias("s")), "hash")
-    groups = groups.select("hash", F.ceil(F.col("m") / chunk).cast("int").alias("rows"), F.ceil(F.col("s") / chunk).cast("int").alias("cols"))
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    name = F.concat_ws("/", "hash", "row", "col").alias("block")
-    crossed = met.join(groups, "hash").select("node", "hash", own("rows").alias("row"), every("cols").alias("col")).select("node", name)
-    crossed = crossed.unionByName(asked.join(groups, "hash").select("node", "hash", own("cols").alias("col"), every("rows").alias("row")).select("node", name))
     links = near
-    if largest.limit(1).count():
-        links = near.unionByName(_links(kept, crossed.distinct(), n, percent))
+    large = clusters.filter(F.col("members") > chunk)
+    if large.limit(1).count():
+        # Components stand for their links from here on.
+        joined = connected_components(near)
+        links = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        parts = materialise(large.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "parts")
+        sizes_of = parts.groupBy("cluster", "component").agg(F.count("*").alias("k"))
+        largest = sizes_of.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+        largest = materialise(largest, "largest-parts")
+        if largest.limit(1).count():
+            links = links.unionByName(_links(kept, _crossed(prefixes, parts.join(largest, "cluster"), chunk), n, percent))
     found = connected_components(links.unionByName(same))
 
     nodes = sized.join(found, "node", "left")
