@@ -51,7 +51,10 @@ def release() -> None:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the strings of ``column`` hold about ``most`` bytes; a longer string stands alone."""
+    """Cut batches so that the strings of ``column`` hold about ``most`` bytes; a longer string stands alone.
+
+    What a slice took is given back after it: freed memory that a worker keeps adds up with that of the others.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -62,6 +65,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
         while begin < n:
             end = max(begin + 1, int(offsets.searchsorted(base + most, "right")))
             yield batch.slice(begin, end - begin)
+            if offsets[end - 1] - base >= most // 2:
+                release()
             begin, base = end, int(offsets[end - 1])
     release()
 

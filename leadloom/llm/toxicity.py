@@ -77,16 +77,11 @@ class Terms(Mapping):
         weights = np.asarray(weights, float)
         order = np.array(sorted(range(len(names)), key=lambda i: (weights[i], names[i])), np.int64)
         self.weights, self.names = weights[order], pa.array(names, pa.string()).take(pa.array(order))
-        self._at: dict[str, int] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_at": {}}
 
     def places(self, names: list[str]) -> np.ndarray:
-        """Places of terms, -1 for unknown ones."""
-        if not self._at:
-            self._at = {t: i for i, t in enumerate(self.names.to_pylist())}
-        return np.fromiter((self._at.get(t, -1) for t in names), np.int32, len(names))
+        """Places of terms, -1 for unknown ones. Arrow looks them up, so no worker keeps a Python object a term."""
+        at = pc.index_in(pa.array(names, pa.string()), value_set=self.names)
+        return pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
 
     def __len__(self) -> int:
         return self.weights.size
