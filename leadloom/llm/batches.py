@@ -15,11 +15,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import SparkSession
 
 _ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Text handled at once inside a task. Bounds a worker's memory whatever the size of Arrow's batches.
 SLICE_BYTES = 1_000_000
 #: Rows of a batch between Spark and its Python workers. Texts are long: the default of 10,000 would hold tens of MB.
 BATCH_ROWS = 2_000
+#: Bytes of such a batch: Spark's process and the worker hold it at once, and again on its way back.
+BATCH_BYTES = 2_000_000
 
 _shipped: set[str] = set()
 
@@ -28,13 +31,15 @@ def ready(spark: SparkSession) -> None:
     """Make a session ready for this package's Python tasks.
 
     Executors get the package's code once per application, so that they need no copy of it, and batches are cut to
-    ``BATCH_ROWS`` where the session leaves Spark's default. What an earlier operator left in the driver's Python, such as
+    ``BATCH_ROWS`` and ``BATCH_BYTES`` where the session leaves Spark's defaults. What an earlier operator left in the driver's Python, such as
     a model that was shared, is given back first.
     """
     gc.collect()
     release()
     if spark.conf.get(_ROWS_KEY) == "10000":
         spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
+    if spark.conf.get(_BYTES_KEY) == "67108864b":
+        spark.conf.set(_BYTES_KEY, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]

@@ -54,7 +54,7 @@ class BpeCodec:
 
     def _pair_keys(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Leaf values of pairs; ``_NONE`` for pairs that do not merge."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         i = np.searchsorted(self._keys, key)
         return np.where(self._keys[i] == key, self._merged[i] << _POS | at, _NONE)
 
@@ -62,15 +62,17 @@ class BpeCodec:
         """Ids of pieces of at most ``width`` bytes (a power of two), as little-endian 32-bit integers."""
         n = len(pieces)
         length = np.array([len(p) for p in pieces], np.int64)
-        tok = np.zeros((n, width), np.int64)
+        tok = np.zeros((n, width), np.int32)
         used = np.arange(width) < length[:, None]
         tok[used] = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
-        after = np.tile(np.arange(1, width + 1), (n, 1))
-        before = np.tile(np.arange(-1, width - 1), (n, 1))
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
         tree = np.full((n, 2 * width), _NONE, np.int64)
         if width > 1:
-            r, c = np.nonzero(used[:, 1:])
-            tree[r, width + c] = self._pair_keys(tok[r, c], tok[r, c + 1], c)
+            for k in range(0, n, rows_at_once := max(1, _LEAVES // 8 // width)):
+                r, c = np.nonzero(used[k : k + rows_at_once, 1:])
+                r += k
+                tree[r, width + c] = self._pair_keys(tok[r, c], tok[r, c + 1], c)
         level = width
         while level > 1:
             tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])

@@ -39,6 +39,8 @@ _ENDS = ".,;:!?"
 _SLICE_BYTES, _QUERIES = 1_000_000, 64
 #: Terms stored as rows; more than the error of sums in single precision.
 _FREQUENT, _MARGIN = 768, 1e-4
+#: Postings whose weights are made at once.
+_POSTINGS = 1 << 17
 
 #: Places of a text's terms in the model, ascending, and how often it holds each.
 Vector = tuple[np.ndarray, np.ndarray]
@@ -70,6 +72,12 @@ def base_rate(toxic: int, total: int) -> float:
     return (toxic + 1) / (total + 10)
 
 
+def _hashes(names: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+
+
 class Terms(Mapping):
     """Weights of a model's terms by term. Places ascend with the weights: what many hold lies together."""
 
@@ -77,11 +85,23 @@ class Terms(Mapping):
         weights = np.asarray(weights, float)
         order = np.array(sorted(range(len(names)), key=lambda i: (weights[i], names[i])), np.int64)
         self.weights, self.names = weights[order], pa.array(names, pa.string()).take(pa.array(order))
+        hashes = _hashes(self.names.to_pylist())
+        self.by_hash = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.by_hash]
 
     def places(self, names: list[str]) -> np.ndarray:
-        """Places of terms, -1 for unknown ones. Arrow looks them up, so no worker keeps a Python object a term."""
-        at = pc.index_in(pa.array(names, pa.string()), value_set=self.names)
-        return pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
+        """Places of terms, -1 for unknown ones. Sorted hashes tell where a term can be, its name whether it is there:
+        no worker keeps a Python object a term, nor makes a table of all terms to look up a few."""
+        asked, out = pa.array(names, pa.string()), np.full(len(names), -1, np.int32)
+        hashes = _hashes(names)
+        at, open_ = np.searchsorted(self.hashes, hashes), np.arange(len(names))
+        while (open_ := open_[at[open_] < self.hashes.size]).size and (open_ := open_[self.hashes[at[open_]] == hashes[open_]]).size:
+            place = self.by_hash[at[open_]]
+            same = pc.equal(self.names.take(pa.array(place)), asked.take(pa.array(open_))).to_numpy(zero_copy_only=False)
+            out[open_[same]] = place[same]
+            open_ = open_[~same]
+            at[open_] += 1
+        return out
 
     def __len__(self) -> int:
         return self.weights.size
@@ -114,7 +134,7 @@ class ToxicityModel:
 
     def __getstate__(self) -> dict:
         """Vectors are packed for the way to the executors, each of which writes them to its disk."""
-        packed = {k: _packed(np.diff(v, prepend=v.dtype.type(0))) for k, v in (("places", self.places), ("counts", self.counts))}
+        packed = {k: _packed(np.diff(v.astype(np.int32), prepend=np.int32(0))) for k, v in (("places", self.places), ("counts", self.counts))}
         return {k: v for k, v in self.__dict__.items() if k != "_index"} | packed
 
     def __setstate__(self, state: dict) -> None:
@@ -125,6 +145,7 @@ class ToxicityModel:
         if "_index" not in self.__dict__:
             release()
             self._index = BlockMaxIndex(self)
+            self.counts = self._index.counts  # of the two one is kept
             release()
         return self._index
 
@@ -169,8 +190,10 @@ class BlockMaxIndex:
         self.n_blocks = -(-n // p.block)
         self.begin = np.concatenate(([0], np.cumsum(size)))
         self.places = model.places
-        tf = 1 + np.log(np.arange(1, int(model.counts.max(initial=1)) + 1))
-        self.full = np.empty(self.places.size)
+        most = int(model.counts.max(initial=1))
+        self.tf = 1 + np.log(np.arange(1, most + 1))
+        # Weights in double precision are made anew from the counts where they are asked for: those of all would take much memory.
+        self.counts, self.norm = model.counts.astype(np.min_scalar_type(most)), np.empty(n)
         df = np.bincount(self.places, minlength=len(self.terms))
         self.frequent = np.sort(np.argsort(-df, kind="stable")[:_FREQUENT])
         self.row = np.full(len(self.terms), -1, np.int32)
@@ -178,22 +201,24 @@ class BlockMaxIndex:
         self.df = np.where(self.row < 0, df, 0)
         self.first = np.cumsum(self.df) - self.df
         self.rows = np.zeros((self.n_blocks * p.block, self.frequent.size), np.float32)
-        own = self.row[self.places]
-        places, entry, weight = (np.empty(int((own < 0).sum()), t) for t in (np.int32, np.int32, np.float32))
+        few = int(self.df.sum())
+        places, entry, weight = (np.empty(few, t) for t in (np.int32, np.min_scalar_type(n), np.float32))
         done = 0
         for i in range(0, n, 8 * p.block):  # a few entries at a time: the weights of all would take much memory
             k = min(n, i + 8 * p.block)
             part = slice(self.begin[i], self.begin[k])
-            w = tf[model.counts[part] - 1] * self.terms.weights[self.places[part]]
-            w /= np.repeat(np.sqrt(np.add.reduceat(w * w, self.begin[i:k] - self.begin[i])), size[i:k])
-            self.full[part] = w
-            of, often = np.repeat(np.arange(i, k, dtype=np.int32), size[i:k]), own[part] >= 0
-            self.rows[of[often], own[part][often]] = w[often]
+            w = self.tf[self.counts[part] - 1] * self.terms.weights[self.places[part]]
+            self.norm[i:k] = np.sqrt(np.add.reduceat(w * w, self.begin[i:k] - self.begin[i]))
+            w /= np.repeat(self.norm[i:k], size[i:k])
+            own = self.row[self.places[part]]
+            of, often = np.repeat(np.arange(i, k, dtype=np.int32), size[i:k]), own >= 0
+            self.rows[of[often], own[often]] = w[often]
             more = slice(done, done + int((~often).sum()))
             places[more], entry[more], weight[more] = self.places[part][~often], of[~often], w[~often]
             done = more.stop
         self.block_max = self.rows.reshape(self.n_blocks, p.block, self.frequent.size).max(1).T.copy()
-        order = np.argsort(places, kind="stable").astype(np.int32)
+        order = np.argsort(places, kind="stable")
+        del places
         self.entry, self.weight = entry[order], weight[order]
         self.asked = np.zeros(len(self.terms))
         self._known: dict[bytes, tuple[float, list[int]]] = {}
@@ -253,9 +278,18 @@ class BlockMaxIndex:
         if not e.size:
             return e, np.empty(0)
         size = self.begin[e + 1] - self.begin[e]
-        at = _runs(self.begin[e], size)
         self.asked[vector[0]] = w
-        c = np.add.reduceat(self.asked[self.places[at]] * self.full[at], np.concatenate(([0], np.cumsum(size)[:-1])))
+        c, upto = np.empty(e.size), np.cumsum(size)
+        i = 0
+        while i < e.size:  # some candidates at a time: there can be very many
+            k = max(i + 1, int(np.searchsorted(upto, upto[i] - size[i] + _POSTINGS, "right")))
+            at, part = _runs(self.begin[e[i:k]], size[i:k]), size[i:k]
+            places = self.places[at]
+            product = self.asked[places]
+            hit = np.flatnonzero(product)
+            product[hit] *= self.tf[self.counts[at[hit]] - 1] * self.terms.weights[places[hit]] / np.repeat(self.norm[e[i:k]], part)[hit]
+            c[i:k] = np.add.reduceat(product, np.cumsum(part) - part)
+            i = k
         self.asked[vector[0]] = 0
         o = np.argsort(-c, kind="stable")
         last = int(np.searchsorted(np.cumsum((self.pos + self.neg)[e[o]]), self.params.neighbours))
