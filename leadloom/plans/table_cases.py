@@ -126,7 +126,8 @@ def stream_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as streams of drafts and of sent mail: when each draft may go out, or that none came before it."""
     path = f"{sf_dir}/conversations.parquet"
-    rows = feeds.new_files(spark, sf_dir, spark.read.parquet(path).schema, "parquet", "conversations*.parquet")
+    # Turns lie in no order of time: files of a later micro-batch would come behind the watermark of an earlier one.
+    rows = feeds.new_files(spark, sf_dir, spark.read.parquet(path).schema, "parquet", "conversations*.parquet", most=None)
     conv, turn, step = F.col("conv_id"), F.col("turn"), (F.col("turn") + 1).cast("int").alias("step")
     day = lambda n, hours: F.lit(datetime.datetime(2024, 1, 1)) + F.make_dt_interval(days=n.cast("int"), hours=F.lit(hours))
     drafts = rows.select(F.concat_ws(":", text(conv), text(turn)).alias("id"), text(conv).alias("lead_id"), step, day(conv % 90, 0).alias("created"))

@@ -18,10 +18,14 @@ from pyspark.sql.types import StructType
 from leadloom.operators import market
 
 
-def new_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "json", glob: str | None = None) -> DataFrame:
-    """Stream of files that have not been read before; the query's checkpoint remembers them."""
-    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", 1000)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+def new_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "json", glob: str | None = None, most: int | None = 1000) -> DataFrame:
+    """Stream of files that have not been read before; the query's checkpoint remembers them.
+
+    ``glob`` names files or folders of files below ``path``. A micro-batch takes ``most`` files, or all that there are.
+    """
+    reader = spark.readStream.schema(schema).format(fmt)
+    reader = reader.option("maxFilesPerTrigger", most) if most else reader
+    return reader.load(f"{path.rstrip('/')}/{glob}" if glob else path)
 
 
 #: Versions of a bucket that stay: the current one, and one for readers that began before it.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom.operators import outreach
+from leadloom.plans import stream_cases, table_cases, workflow_cases
 from leadloom.sources import files, jsonl_table, snapshots, units
 from leadloom.streaming import approvals, followups
 
@@ -302,3 +303,15 @@ def test_follow_ups_of_streams_equal_the_batch(spark, tmp_path, cut):
     have = {(lead, step) for _, lead, step, _ in log}
     assert {r.id for r in follow.filter("previous is null and step > 1").collect()} == {i for i, lead, step, _ in drafts if step > 1 and (lead, step - 1) not in have}
     assert {r.id for r in sent.filter("sent_at is null").collect()} == {i for i, lead, step, _ in drafts if (lead, step) not in have}
+
+
+@pytest.mark.parametrize("name", ["stream_follow_ups", "stream_enriched", "stream_orders"])
+def test_streams_take_tables_that_are_folders(spark, tmp_path, name):
+    """A table may be one file or a folder of files; a stream of it holds the same rows."""
+    tables = "/root/testdata/sf0.001"
+    for table in ("conversations", "events", "customer"):
+        spark.read.parquet(f"{tables}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    query = (stream_cases.QUERIES | table_cases.QUERIES | workflow_cases.QUERIES)[name]
+    rows = lambda path: sorted(map(tuple, query(spark, path).collect()), key=repr)
+    want = rows(tables)
+    assert want and rows(str(tmp_path)) == want
