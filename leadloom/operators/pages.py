@@ -7,6 +7,7 @@ Catalyst expressions; a site's pages are then folded by one aggregation.
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -203,8 +204,11 @@ def fetch_error(status: Column, html: Column) -> Column:
     return F.when(status >= 400, F.lit("HTTPError")).when(status.isNull(), F.lit("unreachable")).when(F.coalesce(F.length(html), F.lit(0)) == 0, F.lit("not_html"))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """Everything that one page tells, one row a page; the html is read once and dropped."""
+def extract_pages(pages: DataFrame, unescape: Callable[[Column], Column] = norm.unescape_html) -> DataFrame:
+    """Everything that one page tells, one row a page; the html is read once and dropped.
+
+    ``unescape`` resolves the entities of titles; all other fields resolve all entities.
+    """
     html = F.col("html")
     text = norm.visible_text(html)
     p = spread(pages).withColumn("text", text)
@@ -212,7 +216,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     return p.select(
         "site", "url", "final_url", "status", "cert_ok", "is_home", F.to_date("fetched").cast("string").alias("checked"),
         fetch_error(F.col("status"), html).alias("error"),
-        F.left(F.trim(norm.unescape_html(_first(html, r"(?is)<title[^>]*>(.*?)</title>"))), F.lit(200)).alias("title"),
+        F.left(F.trim(unescape(_first(html, r"(?is)<title[^>]*>(.*?)</title>"))), F.lit(200)).alias("title"),
         F.coalesce(norm.blank_to_null(meta(html, "description")), meta(html, "og:description")).alias("description"),
         _first(html, r"(?i)<html[^>]+lang=[\"']([\w-]+)").alias("lang"),
         norm.matches(html, r"<meta[^>]+name=[\"']viewport").alias("mobile"),

@@ -1,8 +1,10 @@
 import datetime
 
+import duckdb
 from pyspark.sql import functions as F
 
 from leadloom.operators import outreach, pages, signals
+from leadloom.plans import page_cases
 from leadloom.sources import payloads, quality
 from leadloom.sources.files import map_aliases, uncollected, unit_plan
 
@@ -40,6 +42,25 @@ def test_site_rollup_and_signals(spark):
     assert found == {"outdated_site", "not_mobile_friendly", "form_without_privacy_link"}
 
 
+def equals_sql(spark, folder, rows, name):
+    """Whether a query over a table of pages (page_id, url, html) gives the rows of its SQL, on one thread."""
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).sortWithinPartitions("page_id").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"create view pages as select * from read_parquet('{folder}/pages.parquet/*.parquet')")
+    got, want = page_cases.QUERIES[name](spark, str(folder)), con.sql(page_cases.ORACLES[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+TITLES = ["token = &quot;2a&quot;", " Bright &amp; Co&nbsp;", "&amp;lt;b&amp;gt; &eacute;&#39;", "", "&quot;" * 60]
+
+
+def test_titles_of_page_facts_resolve_what_the_sql_does(spark, tmp_path):
+    html = lambda t: f"<html lang='en'><title>{t}</title><form><a href='/x'>x</a></html>"
+    equals_sql(spark, tmp_path, [(i, f"https://a.org/{i}", html(t)) for i, t in enumerate(TITLES)], "page_facts")
+    whole = pages.extract_pages(page_rows(spark).withColumn("html", F.lit(html(TITLES[0]))))
+    assert {r["title"] for r in whole.collect()} == {'token = "2a"'}
+
+
 def test_dns_blocks(spark):
     rows = [
         ("a.org", "MX", 0, ["20 alt.aspmx.l.google.com.", "10 ASPMX.L.Google.com."]), ("a.org", "TXT", 0, ['"v=spf1 include:_spf.google.com " "include:sendgrid.net ~all"']), ("_dmarc.a.org", "TXT", 0, ["v=DMARC1; p=reject"]),
