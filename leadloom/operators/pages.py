@@ -1,7 +1,8 @@
 """Contacts, ids, people, technologies and health of sites from a table of landed pages.
 
-Pages have site, url, final_url, status, cert_ok, html, fetched and is_home. Extraction is by bounded patterns in
-Catalyst expressions; a site's pages are then folded by one aggregation.
+Pages have site, url, final_url, status, cert_ok, html, fetched and is_home, and may have a place, by which those of one
+address are ordered. Extraction is by bounded patterns in Catalyst expressions; a site's pages are then folded by one
+aggregation.
 """
 
 from __future__ import annotations
@@ -204,6 +205,11 @@ def fetch_error(status: Column, html: Column) -> Column:
     return F.when(status >= 400, F.lit("HTTPError")).when(status.isNull(), F.lit("unreachable")).when(F.coalesce(F.length(html), F.lit(0)) == 0, F.lit("not_html"))
 
 
+def _place(pages: DataFrame) -> list[str]:
+    """The column that orders pages of one address, if they have one."""
+    return [c for c in ("place",) if c in pages.columns]
+
+
 def extract_pages(pages: DataFrame, unescape: Callable[[Column], Column] = norm.unescape_html) -> DataFrame:
     """Everything that one page tells, one row a page; the html is read once and dropped.
 
@@ -214,7 +220,7 @@ def extract_pages(pages: DataFrame, unescape: Callable[[Column], Column] = norm.
     p = spread(pages).withColumn("text", text)
     body = F.col("text")
     return p.select(
-        "site", "url", "final_url", "status", "cert_ok", "is_home", F.to_date("fetched").cast("string").alias("checked"),
+        "site", "url", *_place(pages), "final_url", "status", "cert_ok", "is_home", F.to_date("fetched").cast("string").alias("checked"),
         fetch_error(F.col("status"), html).alias("error"),
         F.left(F.trim(unescape(_first(html, r"(?is)<title[^>]*>(.*?)</title>"))), F.lit(200)).alias("title"),
         F.coalesce(norm.blank_to_null(meta(html, "description")), meta(html, "og:description")).alias("description"),
@@ -258,19 +264,20 @@ def site_values(extracted: DataFrame) -> DataFrame:
 
     Values are combined before they move, so a site of very many pages is spread like any other.
     """
-    place = F.struct("inner", "url", "pos")
-    read = extracted.filter("error is null").select("site", "url", (~F.col("is_home")).alias("inner"), F.explode(_page_entries()).alias("e"))
-    rows = read.select("site", "inner", "url", "e.*")
-    return rows.groupBy("site", "field", "key").agg(F.min(place).alias("first"), F.min_by("v", place).alias("v"))
+    page = ["inner", "url", *_place(extracted)]
+    read = extracted.filter("error is null").withColumn("inner", ~F.col("is_home")).select("site", *page, F.explode(_page_entries()).alias("e"))
+    least = F.min(F.struct(F.struct(*page, "e.pos").alias("first"), "e.v")).alias("least")
+    return read.groupBy("site", "e.field", "e.key").agg(least).select("site", "field", "key", "least.v", "least.first")
 
 
 def site_rollup(extracted: DataFrame) -> DataFrame:
     """One row a site: what its home page says of itself, contacts and ids of all its pages in order, home first.
 
     A site is reachable if any of its pages was read; else it has the error and status of its first page. Lists are cut
-    to ``MOST`` values before they are gathered; ``n_pages`` counts all pages that were read.
+    to ``MOST`` values before they are gathered; ``n_pages`` counts all pages that were read. The first page is that of
+    the least url, then place, then facts, so it is one page however the rows are dealt.
     """
-    order = F.struct((~F.col("is_home")).alias("inner"), F.col("url").alias("url"))
+    order = [(~F.col("is_home")).alias("inner"), *[F.col(c) for c in ("url", *_place(extracted))]]
     values = site_values(extracted)
     rank = Window.partitionBy("site", "field").orderBy("first", "key")
     is_id = F.startswith("field", F.lit("id:"))
@@ -294,13 +301,12 @@ def site_rollup(extracted: DataFrame) -> DataFrame:
         F.transform(of("job_boards"), lambda v: F.struct(v[0].alias("ats"), v[1].alias("token"), v[2].alias("url"))).alias("job_boards"), F.transform(people, person).alias("people"),
         keyed("link:").alias("socials"), keyed("id:").alias("registry_ids"), plain("pages").alias("pages"),
     )
-    home = lambda c: F.min_by(c, F.when(F.col("is_home"), F.col("order"))).alias(c)
-    facts = extracted.filter("error is null").withColumn("order", order).groupBy("site").agg(
-        home("final_url"), home("title"), home("description"), home("lang"), home("mobile"), home("cookie_notice"), home("copyright_year"), home("cert_ok"), home("checked"),
-        F.max("has_form").alias("has_form"), F.max("privacy_link").alias("privacy_link"), F.count("*").alias("n_pages"),
-    )
+    told = ["final_url", "title", "description", "lang", "mobile", "cookie_notice", "copyright_year", "cert_ok", "checked"]
+    facts = extracted.filter("error is null").groupBy("site").agg(
+        F.min(F.when(F.col("is_home"), F.struct(*order, *told))).alias("home"), F.max("has_form").alias("has_form"), F.max("privacy_link").alias("privacy_link"), F.count("*").alias("n_pages"),
+    ).select("site", *[f"home.{c}" for c in told], "has_form", "privacy_link", "n_pages")
     out = facts.join(lists, "site").withColumns({"builder": site_builder(F.col("tech")), "https": F.startswith("final_url", F.lit("https")), "reachable": F.lit(True)})
-    tried = extracted.groupBy("site").agg(F.min_by("error", order).alias("first_error"), F.min_by("status", order).alias("first_status"), F.max("checked").alias("tried"))
+    tried = extracted.groupBy("site").agg(F.min(F.struct(*order, "error", "status")).alias("f"), F.max("checked").alias("tried")).select("site", F.col("f.error").alias("first_error"), F.col("f.status").alias("first_status"), "tried")
     joined = tried.join(out, "site", "left")
     reachable = F.coalesce("reachable", F.lit(False))
     return joined.withColumns({

@@ -61,6 +61,20 @@ def test_titles_of_page_facts_resolve_what_the_sql_does(spark, tmp_path):
     assert {r["title"] for r in whole.collect()} == {'token = "2a"'}
 
 
+def test_titles_of_site_pages_resolve_what_the_sql_does(spark, tmp_path):
+    equals_sql(spark, tmp_path, [(2 * i, f"https://a{i}.org/", f"<title>{t}</title>") for i, t in enumerate(TITLES) if i < 3], "site_pages")
+
+
+def test_of_pages_with_one_address_the_first_is_home(spark, tmp_path):
+    """Certificate, title and language are those of one page: the first with the least address."""
+    rows = [(i, f"https://a.org/{'z' if i < 6 else 'b'}", f"<html lang='l{i}'><title>{t}</title></html>") for i, t in enumerate("hgfedcbahgfedcba")]
+    equals_sql(spark, tmp_path, rows, "site_pages")
+    # Without places there is no first page, but still one page however the rows are dealt.
+    landed = page_cases.landed_pages(spark, str(tmp_path)).drop("place")
+    dealt = [pages.site_rollup(pages.extract_pages(landed).repartition(n, F.xxhash64("html", F.lit(n)))).select("title", "lang", "cert_ok", "final_url").collect() for n in (1, 5)]
+    assert dealt[0] == dealt[1] and dealt[0][0]["title"] == "hgfedcba"[int(dealt[0][0]["lang"][1:]) % 8]
+
+
 def test_dns_blocks(spark):
     rows = [
         ("a.org", "MX", 0, ["20 alt.aspmx.l.google.com.", "10 ASPMX.L.Google.com."]), ("a.org", "TXT", 0, ['"v=spf1 include:_spf.google.com " "include:sendgrid.net ~all"']), ("_dmarc.a.org", "TXT", 0, ["v=DMARC1; p=reject"]),
